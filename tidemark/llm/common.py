@@ -44,8 +44,11 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, count: str, total: int,
     A plain shuffle join would put all rows of a frequent key into one task. Keys with more than a
     1/HOT_SHARE share of the `total` rows, of which there are at most HOT_SHARE, are joined by
     broadcast; their rows are then dealt out by `spread` in the shuffle join that serves the rest.
-    Rows with a null key get nulls.
+    Rows with a null key get nulls. A table that is not yet in the shared folder is written there first:
+    it is read twice, and the partitioning by key that made it would otherwise be taken over for the rows.
     """
+    if not hasattr(table, "_tidemark_path"):
+        table = materialise(table, "lookup")
     least = max(HOT_LEAST, total // HOT_SHARE)
     values = [c for c in table.columns if c != key]
     packed = table.select(F.col(key).alias("_k"), F.struct(*values).alias("_v"), F.col(count).alias("_n"))
