@@ -151,5 +151,5 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, counts
     joined = F.array_join(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     out = out.withColumn(text_col, F.when(F.exists("_kinds", lambda f: f["k"].isNotNull()), joined).otherwise(text))
     for kind in KINDS if counts else ():
-        out = out.withColumn(f"n_{kind}", F.size(F.filter("_kinds", lambda f, kind=kind: f["k"] == kind)).cast("long"))
+        out = out.withColumn(f"n_{kind}", F.expr(f"cast(size(filter(_kinds, f -> f.k = '{kind}')) as bigint)"))
     return out.drop("_found", "_kinds")
