@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import exact_dedup, pii, simhash, url_filter
+from tidemark.llm import embedding_dedup, exact_dedup, html_extract, pii, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its number of links at cosine 0.9 or more and the component they make."""
+    return embedding_dedup.near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays for its text, by two-pass Bloom filtering."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -23,6 +28,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text by line-block distribution."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with private values under format-preserving pseudonyms, and their counts."""
     return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -65,8 +75,10 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_url_filter": op7_url_filter,
+    "op8_html_extract": op8_html_extract,
     "op9_pii": op9_pii,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
