@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import embedding_dedup, exact_dedup, html_extract, pii, simhash, url_filter
+from tidemark.llm import embedding_dedup, exact_dedup, html_extract, pii, secrets, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: base patterns and the formats learned from what they find."""
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.learn(secrets.labelled_sample(docs)))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by the host and path rules."""
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rules_table(spark))
@@ -77,6 +83,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_url_filter": op7_url_filter,
     "op8_html_extract": op8_html_extract,
     "op9_pii": op9_pii,
