@@ -6,18 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import embedding_dedup, exact_dedup, html_extract, pii, secrets, simhash, url_filter
+from tidemark.llm import embedding_dedup, exact_dedup, html_extract, language, packing, pii, secrets, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's spans with their bin and offset."""
+    return packing.best_fit(_table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector with its number of links at cosine 0.9 or more and the component they make."""
     return embedding_dedup.near_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by a conditional random field learned from the held-in labels."""
+    docs = _table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(language.labelled_sample(docs)))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays for its text, by two-pass Bloom filtering."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -81,7 +92,9 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_url_filter": op7_url_filter,
