@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import embedding_dedup, exact_dedup, html_extract, language, packing, pii, secrets, simhash, url_filter
+from tidemark.llm import embedding_dedup, exact_dedup, html_extract, language, packing, pii, secrets, sentencepiece_scan, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SentencePiece ids, and whether decoding them gives the text back."""
+    return sentencepiece_scan.encode(_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's spans with their bin and offset."""
     return packing.best_fit(_table(spark, sf_dir, "documents"))
@@ -92,6 +97,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
