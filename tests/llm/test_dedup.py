@@ -1,0 +1,195 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings, strategies as st
+
+from tidemark.llm import embedding_dedup, exact_dedup, simhash
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, sha string, row string, fp long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", "z", 7) for i, t in rows], SCHEMA)
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def expected_exact(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(lowered(t), []).append(i)
+    out = []
+    for text, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        sha = hashlib.sha256(text.encode()).hexdigest()
+        first = True
+        for i in ids:
+            kept = i == keep and first
+            first = first and not kept
+            out.append((i, keep, len(ids), kept, sha))
+    return sorted(out, key=repr)
+
+
+CASES = [
+    [],
+    [(1, None), (2, ""), (3, " ")],
+    [(1, "Abc É"), (2, "aBC É"), (3, "abc é"), (4, "abc É")],
+    [(5, "x"), (5, "x"), (5, "y"), (None, "x"), (None, "z"), (None, "z")],
+    [(i, "hot copy" if i % 3 else f"text {i}") for i in range(300)],
+    [(1, "long " * 50_000), (2, "LONG " * 50_000), (3, "long " * 49_999)],
+]
+
+
+@pytest.mark.parametrize("rows", CASES)
+@pytest.mark.parametrize("bits", [None, 1 << 16])
+def test_exact_dedup_matches_brute_force(spark, rows, bits):
+    found = exact_dedup.exact_dedup(docs(spark, rows), most_bits=bits).collect()
+    assert sorted(map(tuple, found), key=repr) == expected_exact(rows)
+
+
+@pytest.mark.parametrize("rows", CASES)
+def test_keep_one_of_each_keeps_all_columns(spark, rows):
+    df = docs(spark, rows)
+    kept = exact_dedup.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i is None, i or 0, t or "") for i, t in dict(((lowered(t), i), (i, t)) for i, t in rows if any(e[0] == i and e[3] and e[4] == hashlib.sha256(lowered(t).encode()).hexdigest() for e in expected_exact(rows))).values())
+
+
+def slow_fingerprint(text):
+    words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", lowered(text)) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+@given(st.text(alphabet="aB é\n\t\x0b\x1c\xa0", max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_fingerprint_matches_definition(text):
+    assert simhash.fingerprint(text.encode()) == slow_fingerprint(text)
+
+
+def components(fps):
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                parent[find(i)] = find(j)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_links_lose_no_component(spark):
+    rng = random.Random(5)
+    fps = set()
+    for _ in range(40):
+        seed = rng.getrandbits(64)
+        for _ in range(12):
+            x = seed
+            for _ in range(rng.randint(0, 6)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    fps = sorted(fps)
+    frame = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    pairs = [(int(np.int64(r.u).view(np.uint64)), int(np.int64(r.v).view(np.uint64))) for r in simhash.links(frame).collect()]
+    assert all(bin(a ^ b).count("1") <= 3 for a, b in pairs)
+    parent = {f: f for f in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    truth = components(fps)
+    assert len({(t, find(f)) for t, f in zip(truth, fps)}) == len(set(truth)) == len({find(f) for f in fps})
+
+
+def test_large_group_is_split_exactly(monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT_AT", 16)
+    rng = random.Random(1)
+    fps = {rng.getrandbits(36) << 28 for _ in range(200)}
+    for f in list(fps)[:60]:
+        fps.add(f ^ 1 << rng.randrange(34, 60) ^ 1 << rng.randrange(34, 60))
+    fps = np.array(sorted(fps), np.uint64)
+    parent = {int(f): int(f) for f in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in simhash._forest(fps, 0):
+        for a, b in zip(u, v):
+            parent[find(int(a))] = find(int(b))
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :])
+    chained = near <= 3
+    for i, j in zip(*np.nonzero(chained)):
+        if simhash._near(fps[i], fps[j : j + 1], 0)[0]:
+            assert find(int(fps[i])) == find(int(fps[j]))
+
+
+@pytest.mark.parametrize("rows", CASES)
+def test_simhash_matches_brute_force(spark, rows):
+    found = simhash.near_dedup(docs(spark, rows)).collect()
+    fps = [slow_fingerprint(t) for _, t in rows]
+    groups = components(fps)
+    low = {}
+    for (i, _), g in zip(rows, groups):
+        if i is not None:
+            low[g] = min(i, low.get(g, i))
+    want = sorted((i is None, i or 0, f, low.get(g)) for (i, _), f, g in zip(rows, fps, groups))
+    assert sorted((r.doc_id is None, r.doc_id or 0, int(np.int64(r.fp).view(np.uint64)), r.component_id) for r in found) == want
+
+
+def test_simhash_stage_keeps_one(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    df = docs(spark, [(3, base), (1, base + " tail"), (2, "other text entirely here"), (None, base)])
+    assert sorted(str(r.doc_id) for r in simhash.keep_one_of_each(df).collect()) == ["1", "2", "None"]
+
+
+def test_embedding_dedup_recall_and_edges(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(300, 24))
+    rows = []
+    for c in centres:
+        for _ in range(int(rng.integers(1, 5))):
+            rows.append((len(rows), (c + rng.normal(size=24) * rng.choice([0, 0.05, 0.2])).astype(np.float32).tolist()))
+    n = len(rows)
+    rows += [(n, None), (n + 1, []), (n + 2, [0.0] * 24), (n + 3, [float("nan")] + [1.0] * 23), (n + 4, [None] + [1.0] * 23), (n + 5, rows[0][1][:12]), (None, rows[0][1])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, n int, node int")
+    got = {r.vec_id: r for r in embedding_dedup.near_dedup(df).collect()}
+    x = np.array([v for _, v in rows[:n]], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = x @ x.T >= 0.9
+    truth = links.sum(axis=1) - 1
+    mine = np.array([got[i].n_links for i in range(n)])
+    assert (mine <= truth).all() and mine.sum() >= 0.97 * truth.sum()
+    for i in [n, n + 1, n + 2, n + 3, n + 4, n + 5]:
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
+    assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, False)
+    assert embedding_dedup.near_dedup(df.limit(0)).count() == 0
+
+
+def test_embedding_dedup_doubles_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "CELL", 16)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(200, 16))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.15])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    truth = ((u @ u.T) >= 0.9).sum() - len(x)
+    got = sum(r.n_links for r in embedding_dedup.near_dedup(df).collect())
+    assert truth > 100 and 0.93 * truth <= got <= truth

@@ -1,0 +1,31 @@
+import __spark_entry__
+import corpus_pipeline
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_queries_are_registered():
+    names = __spark_entry__.queries()
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
+
+
+def test_pipeline_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    extra = spark.createDataFrame([(10_001, None, "en", "a", 0), (10_002, "", "en", "a", 0), (10_003, "123 456", None, None, 7)], docs.schema)
+    docs = docs.unionByName(extra)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, SF)
+        assert docs.columns == columns, name
+        assert 0 < docs.count() <= before.count()
+    assert {10_001, 10_002, 10_003}.isdisjoint({r.doc_id for r in docs.select("doc_id").collect()})
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+
+
+def test_pipeline_on_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.count() == 0

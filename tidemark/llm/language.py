@@ -33,12 +33,14 @@ GRAM_BITS, LEXICON_BITS = 16, 15
 ROUNDS, RATE, SHRINK = 30, 0.35, 1e-6
 SEGMENT = 32
 #: Characters worked on at a time; longer texts are worked on alone.
-BLOCK_CHARS = 400_000
+BLOCK_CHARS = 200_000
 UNDETERMINED = "und"
 MARK = 1
 LEXICON_AT = len(ORDERS) << GRAM_BITS
 SIZE = LEXICON_AT + (1 << LEXICON_BITS)
 HELD_OUT, FOLDS = 1, 3
+#: In a filter, the share below which no language is said to hold a text; code-switched prose stays above it.
+LEAST_SCORE = 0.4
 
 
 @cache
@@ -274,13 +276,15 @@ def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 class _Label:
+    """Adds lang_pred and score to batches whose last column is the text, which is left out."""
+
     def __init__(self, model):
         self.model = model
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = self.model.value if hasattr(self.model, "value") else self.model
+        model = self.model.value
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(2).to_pylist()]
+            texts = ["" if t is None else t for t in batch.column(batch.num_columns - 1).to_pylist()]
             found: list = []
             held, size = [], 0
             for text in texts:
@@ -291,7 +295,8 @@ class _Label:
                 size += len(text)
             if held:
                 found += model.label(held)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            labels = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *labels], [*batch.schema.names[:-1], "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,3 +305,12 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     kind = own.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return own.mapInArrow(_Label(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def in_a_language(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has letters and a language with a share of `least` or more."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = packed.schema["row"].dataType.simpleString()
+    labelled = packed.mapInArrow(_Label(shared), f"row {kind}, lang_pred string, score double")
+    return labelled.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
