@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -35,7 +36,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
 BLANK = "▁"
 #: Words and pairs that a worker remembers, in each of two generations.
-MEMO_WORDS, MEMO_PAIRS = 200_000, 500_000
+MEMO_WORDS, MEMO_PAIRS = 100_000, 300_000
+LONE = re.compile("[\udc80-\udcff]")
 NEVER = -(1 << 60)
 #: State before the first character.
 START = (-2, 0)
@@ -59,7 +61,7 @@ class Codec:
     """Encoding and decoding with the tables of load()."""
 
     def __init__(self, tables: dict):
-        self.pieces, self.kept, self.scores, self.bytes = tables["pieces"], tables["kept"], tables["scores"], tables["bytes"]
+        self.pieces, self.kept, self.scores, self.bytes = tables["pieces"], dict(tables["kept"]), tables["scores"], tables["bytes"]
         self.longest = max(map(len, self.kept), default=1)
         self.broken: set[int] = set()
         self.of_byte = {i: b for b, i in enumerate(self.bytes)}
@@ -68,6 +70,12 @@ class Codec:
         self.old: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[int, bool] = {}
         self.unit = self._units()
+        #: Text of each piece number; bytes from 128 on as lone surrogates until they are decoded together.
+        self.shown = [""] * len(self.pieces)
+        for i, piece in self.plain.items():
+            self.shown[i] = piece.replace(BLANK, " ")
+        for i, byte in self.of_byte.items():
+            self.shown[i] = chr(byte) if byte < 128 else chr(0xDC00 + byte)
         #: Order of merging of each piece, and the two parts it is merged from; pieces that do not encode to themselves are left out.
         self.turn = {p: n for n, p in enumerate(sorted(self.kept, key=lambda p: -self.scores[self.kept[p]]))}
         self.halves: dict[str, tuple[str, str]] = {}
@@ -79,6 +87,11 @@ class Codec:
                 self.halves[piece] = halves
         for i in self.broken:
             del self.kept[self.plain[i]]
+        automaton = ahocorasick.Automaton()
+        for piece, i in self.kept.items():
+            automaton.add_word(piece, (i, len(piece)))
+        automaton.make_automaton()
+        self.matches = automaton.iter
 
     def _units(self) -> re.Pattern:
         """Splits a text where no piece can cross: before blanks, and before signs that in no piece follow another character than signs."""
@@ -149,31 +162,45 @@ class Codec:
 
         The best path to a position is unique, so one predecessor is kept for each.
         """
-        get, known, longest, pair = self.kept.get, self.pairs.get, self.longest, self.pair
-        last: list[int] = [UNKNOWN] * (len(text) + 1)
+        known, pair = self.pairs.get, self.pair
+        last: list[int | None] = [None] * (len(text) + 1)
         back = [0] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                piece = get(text[start:end])
-                if piece is None:
-                    continue
+        done = 0
+        # All pieces that end at each character, longest first.
+        for at, (piece, length) in self.matches(text):
+            end = at + 1
+            if end == done:
+                continue
+            start = end - length
+            if start:
                 before = last[start]
-                if start and before >= 0:
-                    fits = known(before << 20 | piece)
-                    if not (pair(before, piece) if fits is None else fits):
-                        continue
-                last[end], back[end] = piece, start
-                break
-            else:
-                if text[end - 1] in self.kept:
-                    raise ValueError("no path: the vocabulary is not closed under its merges")
-                back[end] = end - 1
+                if before is None:
+                    continue
+                fits = known(before << 20 | piece)
+                if not (pair(before, piece) if fits is None else fits):
+                    continue
+            last[end], back[end] = piece, start
+            done = end
+        if text and last[-1] is None:
+            return self._path_around(text)
         out, at = [], len(text)
         while at:
             out.append(last[at])
             at = back[at]
         return out[::-1]
 
+    def _path_around(self, text: str) -> list[int]:
+        """best_path() of a text with characters that are no piece: they stand alone between what can merge."""
+        out: list[int] = []
+        at = 0
+        for end in [i for i, c in enumerate(text) if c not in self.kept] + [len(text)]:
+            if at == 0 and end == len(text) > 0:
+                raise ValueError("no path: the vocabulary is not closed under its merges")
+            out += self.best_path(text[at:end])
+            out += [UNKNOWN] * (end < len(text))
+            at = end + 1
+        return out
+
     def written(self, path: list[int], text: str) -> tuple[int, ...]:
         """Piece numbers with unknown characters as bytes; `text` is what the path covers."""
         if UNKNOWN not in path:
@@ -219,19 +246,10 @@ class Codec:
 
     def surface(self, ids: list[int]) -> str:
         """The text of pieces as it stands, the blank in front included."""
-        plain, out, held = self.plain, [], bytearray()
-        for i in ids:
-            piece = plain.get(i)
-            if piece is not None:
-                if held:
-                    out.append(held.decode("utf-8", "replace"))
-                    held.clear()
-                out.append(piece)
-            elif i in self.of_byte:
-                held.append(self.of_byte[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        return "".join(out).replace(BLANK, " ")
+        text = "".join(map(self.shown.__getitem__, ids))
+        if text.isascii() or not LONE.search(text):
+            return text
+        return text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
 
     # Chunks. Positions are relative to a window of text that goes `longest` characters past both boundaries.
 
@@ -410,13 +428,12 @@ class _Encode(_Step):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) for i in ids], pa.int64()), _lists(ids), pa.array(fine, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 
 
-class _Split(_Step):
-    def __init__(self, shared, chunk: int):
-        super().__init__(shared)
-        self.chunk = chunk
+class _Split:
+    def __init__(self, chunk: int, side: int):
+        self.chunk, self.side = chunk, side
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side = self.codec.longest
+        side = self.side
         for batch in batches:
             for doc, row, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = BLANK + item.as_py().replace(" ", BLANK)
@@ -481,14 +498,15 @@ class _Decode(_Step):
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, ids, round_trip (decoding the ids gives the text back)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load(model))
+    tables = load(model)
+    shared = spark.sparkContext.broadcast(tables)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     giant = F.coalesce(F.char_length("text") > chunk - 1, F.lit(False))
     short = own.where(~giant).mapInArrow(_Encode(shared), f"doc_id {kind}, n_tokens long, ids array<int>, round_trip boolean")
 
     rows = own.where(giant).select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    chunks = rows.mapInArrow(_Split(shared, chunk), f"doc_id {kind}, row long, k long, text string, begin int, stop int")
+    chunks = rows.mapInArrow(_Split(chunk, max(map(len, tables["kept"]), default=1)), f"doc_id {kind}, row long, k long, text string, begin int, stop int")
     chunks = materialise(chunks.repartition("row", "k"), "chunks")
     moves = chunks.mapInArrow(_Transfer(shared), "row long, k long, moves array<int>")
     states = moves.repartition("row").sortWithinPartitions("row", "k").mapInArrow(_combine, "row long, k long, in_piece int, in_at int, out_piece int, out_at int")
