@@ -36,7 +36,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
 BLANK = "▁"
 #: Words and pairs that a worker remembers, in each of two generations.
-MEMO_WORDS, MEMO_PAIRS = 100_000, 300_000
+MEMO_WORDS, MEMO_PAIRS = 250_000, 300_000
 LONE = re.compile("[\udc80-\udcff]")
 NEVER = -(1 << 60)
 #: State before the first character.
@@ -510,6 +510,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     chunks = materialise(chunks.repartition("row", "k"), "chunks")
     moves = chunks.mapInArrow(_Transfer(shared), "row long, k long, moves array<int>")
     states = moves.repartition("row").sortWithinPartitions("row", "k").mapInArrow(_combine, "row long, k long, in_piece int, in_at int, out_piece int, out_at int")
+    # Written first, so that a task never runs two steps' workers, each with its memory, at a time.
+    states = materialise(states, "states")
     traced = chunks.join(states, ["row", "k"]).mapInArrow(_Backtrace(shared), f"doc_id {kind}, row long, k long, ids array<int>, fine boolean")
     whole = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.bool_and("fine").alias("fine"))
     ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
