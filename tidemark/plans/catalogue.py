@@ -1,4 +1,6 @@
-"""Registered queries and their SQL counterparts."""
+"""All registered queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.plans import evaluation_queries, market_queries, text_queries
+
+QUERIES: dict = {**market_queries.QUERIES, **text_queries.QUERIES, **evaluation_queries.QUERIES}
+ORACLES: dict = {**market_queries.ORACLES, **text_queries.ORACLES, **evaluation_queries.ORACLES}

@@ -19,8 +19,8 @@ def aligned(articles: DataFrame, schedule: DataFrame, ts: str = "timestamp_utc")
 
 def session_counts(articles: DataFrame, schedule: DataFrame, late: str = "3 days", ts: str = "timestamp_utc") -> DataFrame:
     """Articles of each (session_open, ticker) and their mean score; a session closes once the watermark has passed its open."""
-    marked = aligned(articles, schedule, ts).withColumn("session_open", F.col("session_open")).withWatermark("session_open", late)
-    return marked.groupBy(F.window("session_open", "1 day").alias("day"), "session_open", "ticker").agg(F.count("*").alias("n_articles"), F.avg("score").alias("mean_score"))
+    marked = aligned(articles, schedule, ts).withWatermark("session_open", late)
+    return marked.groupBy("session_open", "ticker").agg(F.count("*").alias("n_articles"), F.avg("score").alias("mean_score"))
 
 
 def append_to(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
