@@ -269,6 +269,10 @@ PAGES = [
     ("<article><p>a<p>b<div class='ad'>x</div><ul><li>c</ul></article>", "a\nb\nc"),
     ("<div class=sidebar><p>" + "side words " * 30 + "</p></div><div><p>" + "main words here " * 20 + "</p><p>end.</p></div><div id='comments'><p>" + "I agree fully " * 30 + "</p></div>", ("main words here " * 20).strip() + "\nend."),
     ("<!-- <p>no</p> --><main><p>yes</p></main><aside>no</aside>", "yes"),
+    ("<article><p class='ad'>buy<p>kept<p>kept too <span class=ad>not <span>this</span> nor this</span>end</p></article>", "kept\nkept too end"),
+    ("<article><div class='post-header'><h1>Head</h1><p>By us</p></div><p>body</p></article>", "Head\nbody"),
+    ("<div class='header'><h1>Site</h1></div><div role=main><p>text</p><p style='display: none'>no</p><p>more</p></div>", "text\nmore"),
+    ("<article><ul><li class='social'>share<li>item</ul><div hidden>h</div><p>p</p></article>", "item\np"),
     ("<title>t</title><p>unclosed <a href='x>y'>link", "unclosed link"),
 ]
 

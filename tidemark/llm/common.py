@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 HOT_SHARE = 1000
 HOT_LEAST = 1000
 _LOCAL: dict[str, str] = {}
+#: Paths of the tables made in this process and not yet released.
+_MADE: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +28,7 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _MADE.add(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tidemark_path = path
     return back
@@ -33,9 +36,20 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete a table made by materialise() that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._tidemark_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df._tidemark_path)
+
+
+def release_all(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete all tables made so far but those in `keep`: for when no other result of this process is still to be read."""
+    kept = {df._tidemark_path for df in keep}
+    for path in sorted(_MADE - kept):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _MADE.discard(path)
 
 
 def lookup(rows: DataFrame, key: str, table: DataFrame, count: str, total: int, spread: str) -> DataFrame:

@@ -28,7 +28,7 @@ WINDOW = 3
 SURGE = 86
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
+ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
 RAW = {"script", "style", "title", "textarea", "xmp", "noembed", "noframes", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("""address article aside blockquote body button canvas caption center dd details dialog dir div dl dt fieldset
@@ -39,45 +39,59 @@ FURNITURE_ROLES = set("navigation banner contentinfo complementary search form d
 FURNITURE_WORDS = set("""ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments
 commentlist consent cookie cookies disqus footer gdpr header hidden masthead menu menus modal nav navbar navigation newsletter notice
 notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar
-sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets login search alert discussion teaser""".split())
+sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets login search alert""".split())
+#: Furniture whose headings still belong to an article that they stand in.
+HEADER_WORDS = {"header", "masthead"}
 #: Elements whose class words do not make all of the page furniture.
 WHOLE = {"html", "body", "main"}
+#: Elements that end at the next of their kind; elements inside a line.
+ITEMS = {"li", "td", "th", "tr", "dt", "dd", "option"}
+INLINE = {"span", "b", "i", "em", "strong", "u", "small", "font", "label", "sup", "sub", "code", "ins", "del", "mark", "abbr", "cite", "q"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _is_furniture(tag: str, rest: str) -> bool:
-    if tag in FURNITURE_TAGS:
-        return True
+NO, HEADER, YES = 0, 1, 2
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
+
+
+def _judged(tag: str, rest: str) -> tuple[int, bool]:
+    """(NO, HEADER or YES for page furniture, whether it marks the page's main part)."""
+    level = HEADER if tag == "header" else YES if tag in FURNITURE_TAGS else NO
+    main = tag == "main"
     if tag in WHOLE or "=" not in rest and "hidden" not in rest:
-        return False
+        return level, main
     for name, a, b, c in ATTRIBUTE.findall(rest):
         name, value = name.lower(), a or b or c
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in FURNITURE_ROLES:
-            return True
-        if name in ("class", "id") and not FURNITURE_WORDS.isdisjoint(WORD.findall(CAMEL.sub(" ", value).lower())):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN_STYLE.search(value):
+            level = YES
+        elif name == "role" and value.lower() in FURNITURE_ROLES:
+            level = max(level, HEADER if value.lower() == "banner" else YES)
+        elif name == "role" and value.lower() == "main" or name == "itemprop" and value == "articleBody":
+            main = True
+        elif name in ("class", "id"):
+            words = FURNITURE_WORDS.intersection(WORD.findall(CAMEL.sub(" ", value).lower()))
+            if words:
+                level = max(level, HEADER if words <= HEADER_WORDS else YES)
+    return level, main
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, weight outside links, furniture, number of its article or main or 0) of each line with text."""
     out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []
+    # Of each open element that matters its tag, its level of furniture and its region, both with what it stands in, and whether its text is left out.
+    stack: list[tuple[str, int, int, bool]] = []
     text: list[str] = []
-    linked, link, regions = 0, 0, 0
-    furniture, region = False, 0
-    heading = False
+    linked, link, regions, heading = 0, False, 0, False
 
     def flush() -> None:
         nonlocal linked
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                out.append((line, max(0, len(line) - linked), furniture and not (heading and region), region))
+                level, region = stack[-1][1:3] if stack else (NO, 0)
+                out.append((line, max(0, len(line) - linked), level == YES or level == HEADER and not (heading and region), region))
             text.clear()
         linked = 0
 
@@ -85,7 +99,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     while at < end:
         m = TAG.search(page, at)
         stop = m.start() if m else end
-        if stop > at:
+        if stop > at and not (stack and stack[-1][3]):
             piece = page[at:stop]
             text.append(piece)
             if link:
@@ -95,7 +109,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         at = m.end()
         if m[2] is None:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
+        tag, closing, rest = m[2].lower(), bool(m[1]), m[3]
         if tag == "br":
             text.append(" ")
             continue
@@ -103,42 +117,42 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             flush()
         if closing:
             if tag == "a":
-                link = 0
+                link = False
             elif tag in HEADINGS:
                 heading = False
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
-                    furniture, region = stack[-1][1:] if stack else (False, 0)
                     break
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        if tag in VOID or m[3].endswith("/>") and tag not in BLOCK:
+        if tag in VOID or rest.endswith("/>") and tag not in BLOCK:
             continue
         if tag == "a":
-            link = 1
+            link = True
             continue
         if tag in HEADINGS:
-            # A heading inside an article's own header is a part of the article.
-            heading = any(t == "header" for t, _, _ in stack) and not any(f and t != "header" for t, f, _ in stack)
+            heading = True
             continue
-        if tag in ("p", "li", "b", "i", "em", "strong", "u", "small", "tr", "td", "th", "dt", "dd") and "=" not in m[3] and "hidden" not in m[3]:
-            continue
-        if tag in BLOCK or tag == "span":
-            mine = _is_furniture(tag, m[3])
-            if tag in ("article", "main") and not region and not furniture and not mine:
-                regions += 1
-                region = regions if tag == "article" else -regions
-            elif tag == "article" and region < 0 and not furniture and not mine:
-                regions += 1
-                region = regions
-            if tag in ("p", "li", "span", "td", "th", "tr", "dt", "dd") and not mine:
+        # A block ends an open paragraph, and an item one of its own kind.
+        while stack and (stack[-1][0] == "p" and tag in BLOCK or stack[-1][0] == tag and tag in ITEMS):
+            stack.pop()
+        _, level, region, muted = stack[-1] if stack else ("", NO, 0, False)
+        mine, main = _judged(tag, rest)
+        if tag in INLINE or tag in ITEMS or tag == "p":
+            if mine == NO and not (muted and tag in INLINE):
                 continue
-            furniture = furniture or mine
-            stack.append((tag, furniture, region))
+            muted = muted or tag in INLINE and mine != NO
+        elif tag not in BLOCK:
+            continue
+        level = max(level, mine)
+        if level == NO and (tag == "article" and region <= 0 or main and not region):
+            regions += 1
+            region = regions if tag == "article" else -regions
+        stack.append((tag, level, region, muted))
     flush()
     return out
 

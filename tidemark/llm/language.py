@@ -39,8 +39,8 @@ MARK = 1
 LEXICON_AT = len(ORDERS) << GRAM_BITS
 SIZE = LEXICON_AT + (1 << LEXICON_BITS)
 HELD_OUT, FOLDS = 1, 3
-#: In a filter, the share below which no language is said to hold a text; code-switched prose stays above it.
-LEAST_SCORE = 0.4
+#: In a filter, the share below which no language is said to hold a text; prose in three languages stays above it.
+LEAST_SCORE = 0.25
 
 
 @cache
