@@ -59,6 +59,13 @@ def test_auc_and_ranks_match_numpy(spark):
     assert ranked.where(F.abs(F.col("r") - F.col("e")) > 1e-9).count() == 0
 
 
+def test_correlation_of_a_constant_is_missing(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (None, 4.0)], "x double, y double")
+    assert coverage.pearson(df, "x", "y").first().pearson is None
+    assert coverage.spearman(df, "x", "y").first().spearman is None
+    assert coverage.pearson(df, "y", "y").first().pearson == pytest.approx(1)
+
+
 def test_sample_metrics(spark):
     df = spark.createDataFrame([(1, 1.5), (1, 0.2), (0, 1.0), (0, 0.1), (None, 9.0)], "hand int, s double")
     r = evaluate.evaluate_sample(df, "hand", "s").first()

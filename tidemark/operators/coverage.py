@@ -162,16 +162,25 @@ def distributed_rank(df: DataFrame, x: str, out: str) -> DataFrame:
     return df.join(ranks, df[x] == ranks["_x"], "left").drop("_x")
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson's correlation over rows with both values; NULL where either does not vary.
+
+    (corr() divides by zero there under ANSI arithmetic.)
+    """
+    a, b = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """(by, n, pearson) over rows that have both values."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return both.groupBy(*by).agg(F.count("*").cast("long").alias("n"), F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"))
+    return both.groupBy(*by).agg(F.count("*").cast("long").alias("n"), correlation(F.col(x), F.col(y)).alias("pearson"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_a"), F.col(y).alias("_b"))
     ranked = distributed_rank(distributed_rank(both, "_a", "_ra"), "_b", "_rb")
-    return ranked.agg(F.count("*").cast("long").alias("n"), F.corr("_ra", "_rb").alias("spearman"))
+    return ranked.agg(F.count("*").cast("long").alias("n"), correlation(F.col("_ra"), F.col("_rb")).alias("spearman"))
 
 
 def bands(x: Column, edges: list[float], labels: list[str]) -> Column:
@@ -195,7 +204,7 @@ def lead_lag(df: DataFrame, x: str, y: str, by: str, order: str, lags: range = r
     aggs = []
     for i in range(len(lags)):
         both = F.col("_x").isNotNull() & F.col(f"_y{i}").isNotNull()
-        aggs += [F.count_if(both).cast("long").alias(f"n{i}"), F.corr(F.when(both, F.col("_x")), F.col(f"_y{i}")).alias(f"c{i}")]
+        aggs += [F.count_if(both).cast("long").alias(f"n{i}"), correlation(F.col("_x"), F.col(f"_y{i}")).alias(f"c{i}")]
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"n{i}").alias("n"), F.when(F.col(f"n{i}") >= least, F.col(f"c{i}")).alias("correlation")) for i, k in enumerate(lags)]))
     return wide.agg(*aggs).select(rows.alias("r")).select("r.*")
 
