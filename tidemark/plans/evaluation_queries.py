@@ -112,9 +112,11 @@ def mcnemar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.mcnemar_counts(p, "t", "m", "o", "fold")
 
 
-@query()
+@query(f"""WITH {_LD}, n AS (SELECT doc_id % 3 AS fold, count(*) FILTER ((score >= 0.5) = (quality = 1) AND quality <> 1) AS b, count(*) FILTER ((score >= 0.5) <> (quality = 1) AND quality = 1) AS c FROM lab GROUP BY 1),
+  t AS (SELECT fold, b, c, unnest(range(b, b + c + 1)) AS i FROM n WHERE b + c > 0)
+SELECT fold, any_value(b) AS b, any_value(c) AS c, round(sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))), 6) + 0.0 AS p_value FROM t GROUP BY 1""")
 def mcnemar_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.mcnemar(mcnemar_counts(spark, sf_dir))
+    return _rounded(evaluate.mcnemar(mcnemar_counts(spark, sf_dir)))
 
 
 @query("WITH k AS (SELECT event_type, count(*) FILTER (value > 60) AS k, count(*) AS n FROM events GROUP BY 1), p AS (SELECT *, k / n AS s, 1 + 1.96 * 1.96 / n AS d FROM k) SELECT event_type, round(((s + 1.96 * 1.96 / (2 * n)) / d) - 1.96 * sqrt(s * (1 - s) / n + 1.96 * 1.96 / (4.0 * n * n)) / d, 6) + 0.0 AS low, round(((s + 1.96 * 1.96 / (2 * n)) / d) + 1.96 * sqrt(s * (1 - s) / n + 1.96 * 1.96 / (4.0 * n * n)) / d, 6) + 0.0 AS high FROM p")

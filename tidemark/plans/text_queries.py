@@ -86,7 +86,10 @@ def reactive_three_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _headlines(spark, sf_dir).select("article_id", r6(T.reactive_article_score(h, h, h)).alias("score"))
 
 
-@query()
+_HITS = ", ".join(f"CASE WHEN regexp_matches(h, '{_re2(p)}') THEN 'H{m} ' || regexp_extract(h, '{_re2(p)}') END" for m, ps in (("!", fixed.STRONG_PATTERNS), ("?", fixed.WEAK_PATTERNS)) for p in ps)
+
+
+@query(f"WITH {_HEAD} SELECT article_id, array_to_string(list_filter([{_HITS}], lambda x: x IS NOT NULL), '; ') AS hits FROM (SELECT article_id, coalesce(headline, '') AS h FROM head)")
 def reactive_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _headlines(spark, sf_dir).select("article_id", F.array_join(T.reactive_hits(F.col("headline"), "H"), "; ").alias("hits"))
 
@@ -311,13 +314,15 @@ def inflect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mentions(spark, sf_dir).select("article_id", T.inflected(F.lit("tesla"), F.col("s")).alias("inflected"))
 
 
-@query()
+@query(f"""WITH {_MENTION} SELECT article_id, CASE WHEN s IN ('the CEO', 'a school bus') THEN text ELSE CASE s WHEN 'its' THEN 'Tesla''s' WHEN 'they''re' THEN 'Tesla are' WHEN 'the company''s' THEN 'Tesla''s' ELSE 'Tesla' END || ' gained, and so on' END AS absa_text, 'Tesla' AS absa_aspect FROM t""")
 def scoring_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mentions(spark, sf_dir).withColumns({"mentions_target": F.lit(True), "mentions_ceo": F.lit(False), "resolved_by_coref": F.lit(True), "mention_char_start": F.lit(0), "mention_char_end": F.length("s")})
     return ops.build_pairs(m, "TSLA").select("article_id", "absa_text", "absa_aspect")
 
 
-@query()
+@query("""SELECT page_id AS article_id, CAST(i AS INTEGER) AS sent_idx, t AS text, true AS mentions_target, false AS mentions_ceo, i = 1 AS resolved_by_coref, false AS is_boilerplate, CAST(length(t) AS INTEGER) AS char_len,
+  CAST(CASE WHEN i = 1 THEN 0 END AS INTEGER) AS mention_char_start, CAST(CASE WHEN i = 1 THEN 2 END AS INTEGER) AS mention_char_end
+FROM pages, (VALUES (0, 'Tesla opened a plant in the north.'), (1, 'It hired many hundred people there.')) v(i, t)""")
 def coref_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies with one cluster of a name and a pronoun: the pronoun's sentence becomes the target's."""
     body = "Tesla opened a plant in the north. It hired many hundred people there."

@@ -18,11 +18,15 @@ ZONED = r"(?i)^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?\s*(Z|[+-]\d{2}
 
 
 class _Page(HTMLParser):
-    """Paragraph texts outside page chrome, JSON-LD scripts, and the published-time meta tag."""
+    """Paragraph texts outside page chrome, JSON-LD scripts, and the published-time meta tag.
+
+    A paragraph that is not closed goes on in those that follow, whose text then counts for both.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
+        self.inside: list[int] = []
         self.paragraphs: list[list[str]] = []
         self.scripts: list[str] = []
         self.meta: str | None = None
@@ -38,8 +42,7 @@ class _Page(HTMLParser):
             if self.linked:
                 self.scripts.append("")
         elif tag == "p":
-            if "p" in self.open:
-                self._close("p")
+            self.inside.append(len(self.paragraphs))
             self.paragraphs.append([])
         if tag not in VOID:
             self.open.append(tag)
@@ -51,14 +54,18 @@ class _Page(HTMLParser):
             self._close(tag)
 
     def _close(self, tag):
-        while self.open and self.open.pop() != tag:
-            pass
+        last = None
+        while self.open and last != tag:
+            last = self.open.pop()
+            if last == "p":
+                self.inside.pop()
 
     def handle_data(self, data):
         if self.linked and self.open and self.open[-1] == "script":
             self.scripts[-1] += data
-        elif "p" in self.open and CHROME.isdisjoint(self.open) and data.strip():
-            self.paragraphs[-1].append(data.strip())
+        elif self.inside and data.strip() and CHROME.isdisjoint(self.open):
+            for p in self.inside:
+                self.paragraphs[p].append(data.strip())
 
 
 def parse(html: str | None) -> tuple[str, list[str], str | None]:
