@@ -159,6 +159,7 @@ def session_table(articles: DataFrame) -> DataFrame:
 
     Counts add up, scores average, the loudest score keeps its sign, and market columns are those of the
     latest article, the smaller id among equals. The first label is that of the earliest article with one.
+    Sources are a small set in each group: collecting them keeps all in one hash aggregation and one shuffle.
     """
     order = F.struct("timestamp_utc", "article_id")
     x = F.col("fus_conf_graft_floor_mean")
@@ -166,7 +167,7 @@ def session_table(articles: DataFrame) -> DataFrame:
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c)
     loud = F.max_by(x, F.when(x.isNotNull(), F.struct(F.abs(x), -F.unix_micros(F.col("timestamp_utc").cast("timestamp")), -F.col("article_id"))))
     aggregates = [
-        first("label_direction"), first("abnormal_return_1d"), F.max("timestamp_utc").alias("timestamp_utc"), F.count("*").alias("n_articles"), F.countDistinct("source").alias("n_sources"),
+        first("label_direction"), first("abnormal_return_1d"), F.max("timestamp_utc").alias("timestamp_utc"), F.count("*").alias("n_articles"), F.size(F.collect_set("source")).cast("long").alias("n_sources"),
         *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in SESSION_SUMS], *[F.avg(F.col(c).cast("double")).alias(name) for name, c in SESSION_MEANS.items()],
         F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("fus_sentiment_std"), loud.alias("fus_sentiment_loudest"), latest, *session_mix(),
     ]
