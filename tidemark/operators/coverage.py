@@ -53,11 +53,17 @@ def shared_peaks(peaks: DataFrame, by: str) -> DataFrame:
 
 
 def bursts(rows: DataFrame, by: str, ts: str, days: int = 3) -> DataFrame:
-    """`rows` with burst: numbered from 1 within the key, a new one after a gap of more than `days` whole days."""
-    w = W.partitionBy(by).orderBy(ts)
-    new = F.coalesce(F.floor((F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w)) / 86_400_000_000) > days, F.lit(False))
-    marked = rows.withColumn("_new", new.cast("long"))
-    return marked.withColumn("burst", F.sum("_new").over(w.rangeBetween(W.unboundedPreceding, 0)) + 1).drop("_new")
+    """`rows` with burst: numbered from 1 within the key, a new one after a gap of more than `days` whole days (one at least).
+
+    Such a gap lies between two days, so the window runs over the first and last instants of a key's days,
+    and the rows, however many a key has, only meet their day's number.
+    """
+    micros, day = F.unix_micros(F.col(ts).cast("timestamp")), F.to_date(ts)
+    daily = rows.groupBy(by, day.alias("_day")).agg(F.min(micros).alias("_a"), F.max(micros).alias("_b"))
+    w = W.partitionBy(by).orderBy("_day")
+    new = F.coalesce(F.floor((F.col("_a") - F.lag("_b").over(w)) / 86_400_000_000) > days, F.lit(False)).cast("long")
+    numbered = daily.withColumn("_new", new).select(by, "_day", (F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)) + 1).alias("burst"))
+    return rows.withColumn("_day", day).join(numbered, [by, "_day"], "left").drop("_day")
 
 
 def label_balance(labels: DataFrame, label: str = "label_direction") -> DataFrame:
