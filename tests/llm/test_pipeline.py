@@ -1,3 +1,9 @@
+import re
+
+import duckdb
+import xxhash
+from test_queries import lowered, plain_pseudonyms
+
 import __spark_entry__
 import corpus_pipeline
 
@@ -29,3 +35,27 @@ def test_pipeline_on_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def fingerprint(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", lowered(text)) if w]
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_run_matches_brute_force(spark):
+    docs = dict(duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
+    docs = {i: t for i, t in docs.items() if any(c.isalpha() for c in t)}
+    last = {}
+    for i in sorted(docs):
+        last[lowered(docs[i])] = i
+    docs = {i: docs[i] for i in sorted(last.values())}
+    prints = {i: fingerprint(t) for i, t in docs.items()}
+    label = {i: i for i in docs}
+    for _ in range(8):
+        label = {i: min(label[j] for j in docs if (prints[i] ^ prints[j]).bit_count() <= 3) for i in docs}
+    docs = {i: plain_pseudonyms(t) for i, t in docs.items() if label[i] == i}
+    total = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.span_end - r.span_start
+    assert total == {i: len(t.encode()) + 1 for i, t in docs.items()}

@@ -1,0 +1,236 @@
+"""Each registered query on the smallest tables against a plain Python version."""
+
+import hashlib
+import html
+import re
+from datetime import date, timedelta
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+from tidemark.llm import entries, packing, pii, secrets
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return {i: (t, lang, s) for i, t, lang, s in duckdb.sql(f"select doc_id, text, lang, source from '{SF}/documents.parquet'").fetchall()}
+
+
+def rows(spark, name):
+    return entries.QUERIES[name](spark, SF).collect()
+
+
+def lowered(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def test_op1(spark, docs):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
+    got = rows(spark, "op1_sentencepiece")
+    assert len(got) == len(docs)
+    assert all(list(r.ids) == sp.encode(docs[r.doc_id][0]) and r.round_trip and r.n_tokens == len(r.ids) for r in got)
+
+
+def test_op2(spark, docs):
+    got = rows(spark, "op2_best_fit_packing")
+    bins, total = {}, {}
+    for r in got:
+        bins.setdefault(r.bin_id, []).append(r)
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.span_end - r.span_start
+    assert total == {i: len(t.encode()) + 1 for i, (t, _, _) in docs.items()}
+    for members in bins.values():
+        members.sort(key=lambda r: r.bin_offset)
+        ends = [0] + [r.bin_offset + r.span_end - r.span_start for r in members]
+        assert [r.bin_offset for r in members] == ends[:-1] and ends[-1] <= packing.CAPACITY
+        texts = [lowered(docs[r.doc_id][0]) for r in members]
+        names = [docs[r.doc_id][2] for r in members]
+        assert len(set(texts)) == len(texts) and max(names.count(s) for s in names) <= packing.PER_SOURCE
+
+
+def test_op3(spark):
+    table = duckdb.sql(f"select vec_id, embedding from '{SF}/embeddings.parquet'").fetchall()
+    ids, x = [i for i, _ in table], np.array([v for _, v in table], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    got = {r.vec_id: r for r in rows(spark, "op3_embedding_dedup")}
+    truth = dict(zip(ids, (near.sum(axis=1) - 1).tolist()))
+    assert sum(got[i].n_links for i in ids) >= 0.9 * sum(truth.values()) and all(got[i].n_links <= truth[i] for i in ids)
+    label = list(range(len(ids)))
+    for _ in ids:
+        label = [min(label[j] for j in np.nonzero(near[i])[0]) for i in range(len(ids))]
+    low = {}
+    for i, c in zip(ids, label):
+        low[c] = min(i, low.get(c, i))
+    if all(got[i].n_links == truth[i] for i in ids):
+        assert all(got[i].component_id == low[c] and got[i].kept == (i == low[c]) for i, c in zip(ids, label))
+
+
+def test_op4(spark, docs):
+    import zlib
+
+    got = rows(spark, "op4_language_id")
+    assert len(got) == len(docs)
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert sum(r.lang_pred == docs[r.doc_id][1] for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in got)
+
+
+def test_op6(spark, docs):
+    kinds = [("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", re.compile("[0-9a-f]+"))]
+    for r in rows(spark, "op6_secret_scan"):
+        text, spans = docs[r.doc_id][0], []
+        for n, (kind, pattern) in enumerate(kinds):
+            for m in pattern.finditer(text):
+                if len(m[2] if kind == "assign" else m[0]) >= (6, 20, 24)[n]:
+                    spans.append((m.start(), n, f"{kind}:{m.start()}:{m.end()}"))
+        base = [s for _, _, s in sorted(spans)]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if s and not s.startswith("format")] == base
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base) for k, _ in kinds)
+
+
+def test_op8(spark):
+    pages = {i: (u, h) for i, u, h in duckdb.sql(f"select page_id, url, html from '{SF}/pages.parquet'").fetchall()}
+    got = rows(spark, "op8_html_extract")
+    assert len(got) == len(pages)
+    for r in got:
+        article = re.search(r"<article>(.*?)(?:</article>|<footer>|$)", pages[r.page_id][1], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|ul|li)>", article)]
+        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text) and r.url == pages[r.page_id][0]
+
+
+def permuted(x, kind):
+    a, b = x[: len(x) // 2], x[len(x) // 2 :]
+
+    def half(own, other, r):
+        stream = hashlib.sha512(f"{pii.KEY}|{kind}|{r}|{other}".encode()).hexdigest()
+        out = []
+        for j, c in enumerate(own):
+            v = int(stream[4 * (j % 32) : 4 * (j % 32) + 4], 16)
+            for first, size in (("0", 10), ("a", 26), ("A", 26)):
+                if 0 <= ord(c) - ord(first) < size:
+                    c = chr(ord(first) + (ord(c) - ord(first) + v) % size)
+                    break
+            out.append(c)
+        return "".join(out)
+
+    for r in range(1, pii.ROUNDS + 1):
+        if r % 2 == 0:
+            a = half(a, b, r)
+        else:
+            b = half(b, a, r)
+    return a + b
+
+
+def permuted_number(x, a, b, kind):
+    p, q = divmod(x, b)
+    for r in range(1, pii.ROUNDS + 1):
+        f = lambda other, m: int(hashlib.sha256(f"{pii.KEY}|{kind}|{r}|{other}".encode()).hexdigest()[:14], 16) % m
+        if r % 2 == 0:
+            p = (p + f(q, a)) % a
+        else:
+            q = (q + f(p, b)) % b
+    return p * b + q
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
+
+
+def refill(shape, digits):
+    it = iter(digits)
+    return "".join(next(it) if c.isdigit() else c for c in shape)
+
+
+def mod97(x):
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def replaced(m):
+    text = m[0]
+    digits = re.sub("[^0-9]", "", text)
+    if "@" in text:
+        local, domain = text.split("@")
+        return f"{permuted(local, 'email')}@{domain}"
+    if text[0].isalpha():
+        bare = text.replace(" ", "")
+        if not (15 <= len(bare) <= 34 and mod97(bare) == 1):
+            return text
+        body = permuted(bare[4:], "iban")
+        out = f"{bare[:2]}{98 - mod97(bare[:2] + '00' + body):02d}{body}"
+        return re.sub("(.{4})", r"\1 ", out).strip() if " " in text else out
+    if re.fullmatch(rf"(?:{pii.OCTET}\.){{3}}{pii.OCTET}", text):
+        n = permuted_number(int.from_bytes(bytes(map(int, text.split(".")))), 65536, 65536, "ip")
+        return ".".join(map(str, n.to_bytes(4)))
+    parts = re.split("[-/.]", text)
+    if len(parts) == 3 and {len(parts[0]), len(parts[2])} & {4} and max(map(len, parts)) == 4 and all(p.isdigit() for p in parts) and len(digits) <= 8 and not re.fullmatch(r"\d{3}-\d{3}-\d{4}|\d{3}-\d{2}-\d{4}|\d{3}\.\d{3}\.\d{4}", text):
+        n = list(map(int, parts))
+        order = "ymd" if len(parts[0]) == 4 else "dmy" if n[1] <= 12 else "mdy"
+        try:
+            d = date(*(n[order.index(c)] for c in "ymd"))
+        except ValueError:
+            return text
+        if not 1700 <= d.year <= 2099:
+            return text
+        new = date(1700, 1, 1) + timedelta(permuted_number((d - date(1700, 1, 1)).days, 189, 773, "date"))
+        return re.search("[-/.]", text)[0].join({"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}[c] for c in order)
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", text):
+        return refill(text, permuted(digits, "ssn"))
+    if text[0] in "+(" or re.fullmatch(r"\d{3}([-. ])\d{3}[-. ]\d{4}", text):
+        keep = max(0, len(digits) - 10)
+        return refill(text, digits[:keep] + permuted(digits[keep:], "phone"))
+    if luhn(digits) % 10:
+        return text
+    body = permuted(digits[:-1], "card")
+    return refill(text, body + str((10 - luhn(body + "0") % 10) % 10))
+
+
+def plain_pseudonyms(text):
+    return re.sub(pii.ANY, replaced, text)
+
+
+def test_op9(spark, docs):
+    got = rows(spark, "op9_pii")
+    assert len(got) == len(docs)
+    assert all(r.text == plain_pseudonyms(docs[r.doc_id][0]) for r in got)
+    assert any(r.text != docs[r.doc_id][0] for r in got)
+
+
+def test_op9_on_all_kinds(spark):
+    texts = ["ann.lee7@Mail.example.com 4111-1111-1111-1111 4111111111111112 +1 (415) 555-0132 415.555.0132 (415) 555-0132", "1999-12-31 31/12/1999 12/31/1999 1.2.2000 2023-02-30 97.51.17.173 300.1.1.1", "GB82 WEST 1234 5698 7654 32 DE89370400440532013000 DE89370400440532013001 123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.pseudonymise(df).collect()} == {i: plain_pseudonyms(t) for i, t in enumerate(texts)}
+
+
+def test_op10(spark, docs):
+    def fingerprint(text):
+        words = [w for w in re.split("[\x20\x09-\x0d]+", lowered(text)) if w]
+        hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))] if words else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    ids = sorted(docs)
+    fps = [fingerprint(docs[i][0]) for i in ids]
+    label = list(range(len(ids)))
+    for _ in range(8):
+        label = [min(label[j] for j in range(len(ids)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(ids))]
+    got = {r.doc_id: r for r in rows(spark, "op10_simhash_dedup")}
+    assert all(got[i].fingerprint == f"{f:016x}" and got[i].component_id == ids[c] for i, f, c in zip(ids, fps, label))
+
+
+@pytest.mark.parametrize("name", sorted(entries.ORACLES))
+def test_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    result = con.execute(entries.ORACLES[name])
+    names = [d[0] for d in result.description]
+    want = sorted(map(repr, (dict(zip(names, r)) for r in result.fetchall())))
+    got = entries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(repr({n: r[n] for n in names}) for r in got.collect()) == want

@@ -253,7 +253,7 @@ def brute_judge(url):
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_url_filter_matches_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(url_filter, "MOST_BROADCAST", limit)
-    rows = [(i, u, "h") for i, u in enumerate(URLS)] + [(None, URLS[0], "h"), (0, URLS[0], "h")] + [(100 + i, URLS[5], "h") for i in range(1500)]
+    rows = [(i, u, "h") for i, u in enumerate(URLS)] + [(None, URLS[0], "h"), (0, URLS[0], "h")] + [(100 + i, URLS[5], "h") for i in range(1500)] + [(3000 + i, "http://none.example.com/x", "h") for i in range(1500)]
     df = spark.createDataFrame(rows, "page_id long, url string, rule string")
     got = url_filter.judge(df, url_filter.rules_table(spark)).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, *brute_judge(u))) for i, u, _ in rows)

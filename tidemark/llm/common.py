@@ -17,7 +17,7 @@ _MADE: set[str] = set()
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
         named = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return named.rstrip("/")

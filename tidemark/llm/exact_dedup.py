@@ -97,7 +97,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), sha.alias("sha"))
     flagged = with_repeat_flag(packed, bitmaps, bits)
     single = flagged.where("not maybe").select("row")
-    best = best.withColumnRenamed("sha", "best_sha")
+    # Written first: the join must deal rows by text and id, not take over the partitioning by text alone.
+    best = materialise(best.withColumnRenamed("sha", "best_sha"), "best")
     stays = flagged.where("maybe").join(best, (F.col("sha") == F.col("best_sha")) & F.col("id").eqNullSafe(F.col("best_id")), "left_semi")
     one = stays.groupBy("sha", "id").agg(F.first("row").alias("row")).select("row")
     return single.unionByName(one).select("row.*")

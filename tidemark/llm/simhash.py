@@ -194,5 +194,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the smallest of their component, all columns. Rows with a null id stay."""
-    gone = near_dedup(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = near_dedup(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.lit(0).cast("long").alias("_zero")).distinct()
+    # Rows without an id match nothing; dealt by their text they do not meet in one task.
+    spread = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.lit(0).cast("long"))
+    return docs.join(gone, (docs[id_col] == gone["_gone"]) & (spread == gone["_zero"]), "left_anti")

@@ -63,7 +63,9 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         seen = materialise(exprs.groupBy("short", "full").agg(F.count("*").alias("m")), "exprs")
         known = seen.alias("s").join(keyed.alias("r"), F.col("s.short") == F.col("r.short")).where("s.full = r.full").select("s.full", "s.m", "r.rank")
         hits = lookup(exprs.select("url", "full"), "full", known, "m", seen.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0], "url").where("rank is not null").select("url", "rank")
-    best = hits.groupBy("url").agg(F.max("rank").alias("rank")).join(urls, "url").select("url", "n", F.col("rank.rule").alias("rule"), F.col("rank.verdict").alias("verdict"))
+    best = hits.groupBy("url").agg(F.max("rank").alias("rank"))
+    # All URLs, those without a rule too: the lookup must know every frequent one.
+    best = urls.join(best, "url", "left").select("url", "n", F.col("rank.rule").alias("rule"), F.col("rank.verdict").alias("verdict"))
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     out = lookup(own, "url", best, "n", total, "page_id")
     return out.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
