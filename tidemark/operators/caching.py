@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidemark.functions import scores as S
 from tidemark.functions import text as T
+from tidemark.session import ship
 
 TRIPLE = "pos double, neg double, neu double"
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
@@ -40,6 +41,7 @@ def score_texts(texts: DataFrame, scorer: Scorer, cache: DataFrame | None, key:
 
     Texts are sorted by length inside a partition, so that a batch pads little.
     """
+    ship(texts.sparkSession)
     wanted = texts.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.first(c).alias(c) for c in inputs])
     todo = wanted if cache is None else not_cached(wanted, cache, [key])
     kind = texts.schema[key].dataType.simpleString()
@@ -95,6 +97,7 @@ def resolve_mentions(docs: DataFrame, resolver: Callable[[list[str]], list] | No
 
     Clusters are arrays of arrays of (s, e) spans. An empty text has none.
     """
+    ship(docs.sparkSession)
     kind = "array<array<struct<s: int, e: int>>>"
     wanted = docs.select(T.text_hash(F.col("text")).alias("text_hash"), "text").where("text is not null").dropDuplicates(["text_hash"])
     todo = wanted if cache is None else not_cached(wanted, cache, ["text_hash"])
@@ -118,6 +121,7 @@ def judge_pending(rows: DataFrame, answered: DataFrame | None, judge: Callable[[
 
     A judge that raises, or answers outside yes, no and unsure, counts as unsure.
     """
+    ship(rows.sparkSession)
     keys = ["article_id", "sent_idx", "target", "model_id", "prompt_version"]
     keyed = rows.withColumn("model_id", F.lit(model_id)).withColumn("prompt_version", F.lit(prompt_version)).dropDuplicates(keys)
     todo = keyed if answered is None else not_cached(keyed, answered, keys)

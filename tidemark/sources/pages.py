@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import fixed
+from tidemark.session import ship
 
 CHROME = set(fixed.BODY_CHROME_TAGS)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -86,6 +87,7 @@ def parse(html: str | None) -> tuple[str, list[str], str | None]:
 
 def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
     """`pages` with processed_body, ld_objects (array of JSON texts) and meta_time; the html stays."""
+    ship(pages.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", processed_body string, ld_objects array<string>, meta_time string"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.functions.fixed import FETCH_CAP
+from tidemark.session import ship
 
 SCHEMA = "article_id bigint, headline string, summary string, source string, url string, timestamp_utc timestamp, ticker string, capped boolean"
 ATTEMPTS = 3
@@ -81,6 +82,8 @@ def read_articles(spark: SparkSession, fetch: Fetch, tickers: list[str], first:
     `capped` marks the rows of a window that reached the feed's cap and may lack some.
     """
 
+    ship(spark)
+
     class Articles(DataSource):
         @classmethod
         def name(cls) -> str:
