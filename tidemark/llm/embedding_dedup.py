@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.llm.common import connected_components, lookup, materialise
+from tidemark.session import ship
 
 COUNT = 2
 RECALL = 0.98
@@ -155,6 +156,7 @@ class _Pairing:
 
 def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """One row per row of `vectors`: vec_id, n_links, component_id, kept."""
+    ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
     kind = "float32" if isinstance(rows.schema["vec"].dataType.elementType, T.FloatType) else "float64"
     if kind == "float64":

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import materialise
+from tidemark.session import ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 16_384
@@ -498,6 +499,7 @@ class _Decode(_Step):
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, ids, round_trip (decoding the ids gives the text back)."""
     spark = docs.sparkSession
+    ship(spark)
     tables = load(model)
     shared = spark.sparkContext.broadcast(tables)
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -521,6 +523,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """(doc_id, text) of piece numbers; null stays null."""
+    ship(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(load(model))
     own = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
     return own.mapInArrow(_Decode(shared), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, text string")

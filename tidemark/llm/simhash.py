@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import connected_components, lookup, materialise
+from tidemark.session import ship
 
 SEED = 42
 WORDS = 3
@@ -71,6 +72,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one row per row of `docs`; fp is the fingerprint as a signed long."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
@@ -176,6 +178,7 @@ def _linked(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Spanning links (u, v) between the distinct fingerprints of a column fp."""
+    ship(distinct.sparkSession)
     filed = distinct.select("fp").mapInArrow(_filed, "key long, fp long")
     return filed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u long, v long").distinct()
 
