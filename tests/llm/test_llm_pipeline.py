@@ -2,7 +2,7 @@ import re
 
 import duckdb
 import xxhash
-from test_queries import lowered, plain_pseudonyms
+from test_llm_queries import lowered, plain_pseudonyms
 
 import __spark_entry__
 import corpus_pipeline
