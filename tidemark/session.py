@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -44,7 +46,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark_package.zip"
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = Path(folder) / "tidemark_package.zip"
     with zipfile.ZipFile(path, "w") as out:
         for source in sorted(root.rglob("*.py")):
             out.write(source, source.relative_to(root.parent).as_posix())
