@@ -216,29 +216,38 @@ class Codec:
                 at += len(self.plain[piece])
         return tuple(out)
 
-    def word(self, text: str) -> tuple[int, ...]:
-        found = self.young.get(text)
+    def word(self, unit: str) -> tuple[int, ...]:
+        """Piece numbers of a unit, remembered; one with a single blank before it under its text without that."""
+        key = unit[1:] if unit[0] == BLANK and unit[1:2] != BLANK else BLANK + unit
+        found = self.young.get(key)
         if found is None:
-            found = self.old.get(text)
+            found = self.old.get(key)
             if found is None:
-                found = self.written(self.best_path(text), text)
-            if len(text) <= 48:
+                found = self.written(self.best_path(unit), unit)
+            if len(unit) <= 48:
                 if len(self.young) >= MEMO_WORDS:
                     self.old, self.young = self.young, {}
-                self.young[text] = found
+                self.young[key] = found
         return found
 
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
         out: list[int] = []
-        young = self.young
-        for unit in self.unit.findall(BLANK + text.replace(" ", BLANK)):
-            found = young.get(unit)
+        if text[0] == " " or "  " in text or BLANK in text:
+            for unit in self.unit.findall(BLANK + text.replace(" ", BLANK)):
+                out += self.word(unit)
+            return out
+        # Single blanks only: each starts a word, and most words are one unit that is remembered.
+        young, units, word = self.young, self.unit.findall, self.word
+        for part in text.split(" "):
+            found = young.get(part)
             if found is None:
-                found = self.word(unit)
+                for unit in units(BLANK + part):
+                    out += word(unit)
                 young = self.young
-            out += found
+            else:
+                out += found
         return out
 
     def decode(self, ids: list[int]) -> str:
