@@ -11,6 +11,9 @@ from tidemark.functions import fixed
 from tidemark.functions.scores import direction
 from tidemark.operators import pit
 
+#: Microseconds of a day.
+DAY = 86_400_000_000
+
 MARKET_COLUMNS = [
     "article_id", "ticker", "timestamp_utc", "session_open", "abnormal_return_1d", "label_direction",
     "momentum_1d", "momentum_5d", "momentum_20d", "volatility_20d", "beta_20d", "relative_volume_20d",
@@ -111,18 +114,26 @@ def session_returns(bars: DataFrame, benchmark: DataFrame, horizon: int = 1) ->
 def news_volume(articles: DataFrame, by: str = "ticker", ts: str = "timestamp_utc", days: int = fixed.NEWS_VOLUME_DAYS) -> DataFrame:
     """Adds the number of the key's articles in the `days` before each one, others at the same instant left out.
 
-    A range frame over the key's time order. A key with very many articles is first cut at whole days:
-    each article is filed under its own day, so a partition is (key, day) and holds days + 1 of them.
+    The span ends in the article's own day, so the count has three parts: earlier articles of that day;
+    whole days between; and, of the day where the span begins, the articles from that instant on. The
+    first and last come from one running sum inside each (key, day), in which a day's articles and the
+    span starts that fall on it are merged by time; a sliding frame would add up every span anew.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    span = days * 86_400_000_000
-    day = F.to_date(ts)
-    own = articles.withColumn("_t", micros).withColumn("_day", day)
-    counted = own.groupBy(by, "_day", "_t").agg(F.count("*").alias("_n"))
-    filed = counted.select(by, "_t", "_n", F.explode(F.sequence(F.col("_day"), F.date_add("_day", days))).alias("_cell"), "_day")
-    frame = W.partitionBy(by, "_cell").orderBy("_t").rangeBetween(-span, -1)
-    sums = filed.withColumn("news_volume", F.coalesce(F.sum("_n").over(frame), F.lit(0)).cast("long")).where("_cell = _day").select(by, "_day", "_t", "news_volume")
-    return own.join(sums, [by, "_day", "_t"], "left").withColumn("news_volume", F.coalesce("news_volume", F.lit(0)).cast("long")).drop("_day", "_t")
+    span = days * DAY
+    own = articles.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_day", F.floor(F.col("_t") / F.lit(DAY)).cast("long"))
+    points = own.where("_t is not null").groupBy(by, "_day", "_t").agg(F.count("*").alias("_n"))
+    between = W.partitionBy(by).orderBy("_day").rangeBetween(1 - days, -1)
+    totals = points.groupBy(by, "_day").agg(F.sum("_n").alias("_all"))
+    middle = totals.select(by, "_day", (F.coalesce(F.sum("_all").over(between), F.lit(0)) if days > 1 else F.lit(0)).alias("_mid"))
+    written = points.select(by, F.col("_day").alias("_cell"), F.col("_t").alias("_x"), F.lit(1).alias("_own"), "_n", "_day", "_t")
+    starts = points.select(by, (F.col("_day") - days).alias("_cell"), (F.col("_t") - span).alias("_x"), F.lit(0).alias("_own"), F.lit(0).cast("long").alias("_n"), "_day", "_t")
+    cell = W.partitionBy(by, "_cell")
+    before = F.coalesce(F.sum("_n").over(cell.orderBy("_x", "_own").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    merged = written.unionByName(starts).withColumn("_before", before).withColumn("_all", F.sum("_n").over(cell))
+    part = F.when(F.col("_own") == 1, F.col("_before")).otherwise(F.col("_all") - F.col("_before"))
+    ends = merged.groupBy(by, "_day", "_t").agg(F.sum(part).alias("_ends")).join(middle, [by, "_day"])
+    counts = ends.select(by, "_day", "_t", (F.col("_ends") + F.col("_mid")).cast("long").alias("news_volume"))
+    return own.join(counts, [by, "_day", "_t"], "left").withColumn("news_volume", F.coalesce("news_volume", F.lit(0)).cast("long")).drop("_day", "_t")
 
 
 def days_to_next(rows: DataFrame, events: DataFrame, by: str, ts: str, event_ts: str, out: str = "days_to_earnings") -> DataFrame:
