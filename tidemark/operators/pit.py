@@ -6,7 +6,7 @@ Calendars hold one row a trading day and are broadcast; everything keyed by symb
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
 def weekday_calendar(spark: SparkSession, first: str, last: str, opens: str = "14:30:00", closes: str = "21:00:00", holidays: DataFrame | None = None) -> DataFrame:
@@ -47,20 +47,20 @@ def session_bucket(articles: DataFrame, schedule: DataFrame, ts: str = "timestam
     return joined.withColumn(out, bucket).drop("_at", "_day", "_s")
 
 
-def before_each_day(bars: DataFrame, last_day: Column, by: str = "symbol", day: str = "bar_date", out: str = "day") -> DataFrame:
-    """Each bar filed under every day on which it is the last one strictly before it, up to `last_day`."""
-    later = F.lead(day).over(W.partitionBy(by).orderBy(day))
-    until = F.coalesce(later, F.greatest(last_day, F.date_add(F.col(day), 1)))
-    return bars.withColumn("_until", until).withColumn(out, F.explode(F.sequence(F.date_add(F.col(day), 1), F.col("_until")))).drop("_until")
-
-
 def as_of_previous_bar(articles: DataFrame, bars: DataFrame, by: str = "symbol", ts: str = "timestamp_utc", day: str = "bar_date") -> DataFrame:
-    """Left join of each article to the columns of the last bar strictly before its UTC day."""
-    last = articles.agg(F.to_date(F.max(ts))).first()[0]
-    if last is None:
-        last = "1970-01-01"
-    filed = before_each_day(bars, F.lit(last).cast("date"), by, day, "_day")
-    return articles.withColumn("_day", F.to_date(ts)).join(filed, [by, "_day"], "left").drop("_day")
+    """Left join of each article to the columns of the last bar strictly before its UTC day.
+
+    A bar is filed under every day from the next one to that of its successor, and met on (key, day). A
+    key's last bar, one row a key, serves all later days.
+    """
+    values = [c for c in bars.columns if c != by]
+    marked = bars.select(by, F.struct(*values).alias("_bar"), F.col(day).alias("_from"), F.lead(day).over(W.partitionBy(by).orderBy(day)).alias("_until"))
+    filed = marked.where("_until is not null").select(by, F.explode(F.sequence(F.date_add("_from", 1), F.col("_until"))).alias("_day"), "_bar")
+    last = marked.where("_until is null").select(F.col(by).alias("_by"), "_from", F.col("_bar").alias("_last"))
+    met = articles.withColumn("_day", F.to_date(ts)).join(filed, [by, "_day"], "left")
+    met = met.join(last, (F.col(by) == F.col("_by")) & (F.col("_day") > F.col("_from")), "left")
+    bar = F.coalesce("_bar", "_last")
+    return met.select(*[F.col(c) for c in articles.columns], *[bar[c].alias(c) for c in values])
 
 
 def next_event(rows: DataFrame, events: DataFrame, by: str, day: str, event_day: str, out: str = "next_event") -> DataFrame:
