@@ -149,6 +149,19 @@ def test_language_frame(spark):
     assert {r.lang_pred for r in language.identify(df, none).collect()} == {"und"}
 
 
+def test_unlearned_languages_and_gibberish_go(spark):
+    phrases = PHRASES | {"es": "el la los que de con por para una las"}
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(phrases[lang].split(), 12)), lang) for i in range(400) for lang in [sorted(phrases)[i % 4]]]
+    draw = lambda n: " ".join("".join(rng.choice(list("bcdfghjkqvwxyz"), 6)) for _ in range(n))
+    go = ["mieleni minun tekevi aivoni ajattelevi lahteani laulamahan", "litwo ojczyzno moja ty jestes jak zdrowie ile cie trzeba cenic", "мой дядя самых честных правил когда не в шутку занемог", draw(12), draw(3000)]
+    stay = [" ".join(phrases[x] for x in sorted(phrases)), " ".join(w for words in zip(*(phrases[x].split()[:8] for x in sorted(phrases))) for w in words), "the and of", 'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" the and of that']
+    rows += [(1000 + i, t, None) for i, t in enumerate(go)] + [(2000 + i, t, None) for i, t in enumerate(stay)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language.in_a_language(df, language.train(language.labelled_sample(df))).collect()}
+    assert kept == set(range(400)) | {2000 + i for i in range(len(stay))}
+
+
 def test_posteriors_match_plain_forward_backward():
     rng = np.random.default_rng(0)
     model = language.Model(["a", "b", "c"])

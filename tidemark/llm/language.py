@@ -13,6 +13,11 @@ The sample is bounded: about ROWS_EACH rows of each language, RUNS runs of RUN_W
 Forward-backward runs on segments of SEGMENT words at once: transfer matrices of all segments, a scan
 over each document's segments, then vectors inside all segments; exact for texts of any length.
 
+A filter also asks how well a text's letters are known: the mean log probability of each letter after the two
+before it, in the language the CRF gives its word. Its floor is calibrated on labelled runs that the
+probabilities were not counted from, and is lower for shorter texts; gibberish and prose of a language
+that no label names fall below it whatever the number of languages, code-switched prose does not.
+
 Edges: a null text, or one without letters, is `und` with score 0; so is every text where no labelled
 row can be learned from. Ties go to the first language in alphabetical order. Rows with a null id are
 held in. Rows come back one for one; an empty table gives an empty result.
@@ -41,8 +46,10 @@ MARK = 1
 LEXICON_AT = len(ORDERS) << GRAM_BITS
 SIZE = LEXICON_AT + (1 << LEXICON_BITS)
 HELD_OUT, FOLDS = 1, 3
-#: In a filter, the share below which no language is said to hold a text; prose in three languages stays above it.
-LEAST_SCORE = 0.25
+#: Count that each letter has after any two at least, out of LETTERS.
+SMOOTH, LETTERS = 0.1, 30
+#: In a filter, how many spreads of labelled runs of RUN_WORDS words a text may fall below their median; least spread.
+MOST_SURPRISE, LEAST_SPREAD = 8.0, 0.05
 
 
 @cache
@@ -51,6 +58,10 @@ def _letters() -> np.ndarray:
     return np.array([ord(chr(i).lower()[0]) if chr(i).isalpha() else 0 for i in range(1 << 16)], np.uint32)
 
 
+def _is_digit(raw: np.ndarray) -> np.ndarray:
+    return (raw >= 48) & (raw <= 57)
+
+
 def codes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     out = _letters()[np.minimum(raw, 0xFFFF)]
@@ -97,12 +108,14 @@ def features(chars: np.ndarray, starts: np.ndarray) -> tuple[list[tuple[np.ndarr
 
 
 class Model:
-    """Languages (sorted), feature weights SIZE x K, transition and start weights."""
+    """Languages (sorted), feature weights SIZE x K, transition and start weights; log counts of three and of two letters, median and spread of a letter's log probability."""
 
     def __init__(self, languages: list[str]):
         k = len(languages)
         self.languages = languages
         self.weights, self.moves, self.start = np.zeros((SIZE, k), np.float32), np.zeros((k, k)), np.zeros(k)
+        self.threes, self.twos = np.zeros((1 << GRAM_BITS, k), np.float32), np.zeros((1 << GRAM_BITS, k), np.float32)
+        self.usual, self.spread = 0.0, np.inf
 
     def emissions(self, grams: list, lexicon: np.ndarray, starts: np.ndarray) -> np.ndarray:
         total = self.weights[lexicon].astype(np.float64)
@@ -177,9 +190,15 @@ class Model:
             now = np.where(real[t][:, None], back, now)
         return marg[off, seg], moves
 
-    def label(self, texts: list[str]) -> list[tuple[str, float]]:
-        """(language, score) of each text."""
-        out: list = [(UNDETERMINED, 0.0)] * len(texts)
+    def knowledge(self, grams: list, starts: np.ndarray) -> np.ndarray:
+        """Log probability of each word's letters in each language."""
+        (twos, _), (threes, valid) = grams[ORDERS.index(2)], grams[ORDERS.index(3)]
+        each = self.threes[threes - (ORDERS.index(3) << GRAM_BITS)] - self.twos[twos - (ORDERS.index(2) << GRAM_BITS)]
+        return np.add.reduceat(each * valid[:, None].astype(np.float32), starts, axis=0)
+
+    def label(self, texts: list[str], surprise: bool = False) -> list[tuple]:
+        """(language, score) of each text; with `surprise` also how many spreads its letters are less probable than usual."""
+        out: list = [(UNDETERMINED, 0.0, np.inf)[: 2 + surprise]] * len(texts)
         if not self.languages:
             return out
         joined = "\n".join(texts)
@@ -192,14 +211,54 @@ class Model:
         grams, lexicon = features(chars, starts)
         marg, _ = self.posteriors(self.emissions(grams, lexicon, starts), sizes)
         weight = np.diff(np.concatenate([starts, [len(chars)]])) - 2
-        share = np.add.reduceat(marg * weight[:, None], np.cumsum(sizes) - sizes, axis=0)
+        firsts = np.cumsum(sizes) - sizes
+        share = np.add.reduceat(marg * weight[:, None], firsts, axis=0)
         share /= share.sum(axis=1, keepdims=True)
         best = share.argmax(axis=1)
         for d, b, s in zip(some.tolist(), best.tolist(), share.max(axis=1).tolist()):
             out[d] = (self.languages[b], min(1.0, s))
+        if surprise:
+            # Letters that touch digits are of keys and numbers, not prose, and count only where there are no others.
+            raw = np.frombuffer(f"\n{joined}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
+            prose = ~(_is_digit(raw[begin]) | _is_digit(raw[begin + weight + 1]))
+            prose |= np.repeat(np.add.reduceat(prose.astype(np.int64), firsts) == 0, sizes)
+            known = np.add.reduceat((marg * self.knowledge(grams, starts)).sum(axis=1) * prose, firsts) / np.add.reduceat(weight * prose, firsts)
+            sizes = np.add.reduceat(prose.astype(np.int64), firsts)
+            for d, x in zip(some.tolist(), ((self.usual - known) / (self.spread * np.sqrt(np.maximum(1, RUN_WORDS / sizes)))).tolist()):
+                out[d] += (x,)
         return out
 
 
+def _log_counts(grams: list, labels: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log smoothed counts of three letters, and of the two they start with, in each language; of each hash."""
+    (twos, _), (threes, valid) = grams[ORDERS.index(2)], grams[ORDERS.index(3)]
+    of = lambda ids, order, least: np.log(np.stack([np.bincount((ids - (ORDERS.index(order) << GRAM_BITS))[valid & (labels == c)], minlength=1 << GRAM_BITS) for c in range(k)], axis=1) + least).astype(np.float32)
+    return of(threes, 3, SMOOTH), of(twos, 2, SMOOTH * LETTERS)
+
+
+def _calibrate(model: Model, runs: list[tuple[str, str]]) -> None:
+    """Letter counts of all runs; the median and spread of a run's letters are those under the counts of the other half of the runs."""
+    runs = [r for r in runs if len(marked_words(codes(r[1]))[1])]
+    if not runs:
+        return
+    chars, starts, begin = marked_words(codes("\n".join(run for _, run in runs)))
+    grams, _ = features(chars, starts)
+    words = np.searchsorted(np.cumsum([len(run) + 1 for _, run in runs]), begin, side="right")
+    letters = np.diff(np.concatenate([starts, [len(chars)]]))
+    langs = np.array([model.languages.index(lang) for lang, _ in runs])
+    own, run = np.repeat(langs[words], letters), np.repeat(words, letters)
+    known = np.empty(len(runs))
+    first = np.searchsorted(words, np.arange(len(runs)))
+    for half in range(2):
+        model.threes, model.twos = _log_counts(grams, np.where(run % 2 == half, own, -1), len(model.languages))
+        each = np.add.reduceat(model.knowledge(grams, starts)[np.arange(len(words)), langs[words]], first) / np.add.reduceat(letters - 2, first)
+        known[1 - half :: 2] = each[1 - half :: 2]
+    model.threes, model.twos = _log_counts(grams, own, len(model.languages))
+    sizes = np.bincount(words, minlength=len(runs))
+    model.usual = float(np.median(known))
+    model.spread = max(LEAST_SPREAD, 1.4826 * float(np.median(np.abs(known - model.usual) / np.sqrt(RUN_WORDS / np.minimum(RUN_WORDS, sizes)))))
+
+
 def train(samples: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     """A model from (language, run of words) samples, by adaptive gradient ascent over all sequences."""
     samples = sorted(s for s in set(samples) if s[0] and s[1])
@@ -209,6 +268,7 @@ def train(samples: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
     rng = np.random.default_rng(7)
     order = rng.permutation(len(samples)).tolist()
     texts, labels, sizes = [], [], []
+    _calibrate(model, [samples[i] for i in order])
     at = 0
     while at < len(order):
         take = int(rng.integers(1, 4))
@@ -279,10 +339,10 @@ def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 class _Label:
-    """Adds lang_pred and score to batches whose last column is the text, which is left out."""
+    """Adds lang_pred and score, with `surprise` that too, to batches whose last column is the text, which is left out."""
 
-    def __init__(self, model):
-        self.model = model
+    def __init__(self, model, surprise: bool = False):
+        self.model, self.surprise = model, surprise
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = self.model.value
@@ -292,14 +352,15 @@ class _Label:
             held, size = [], 0
             for text in texts:
                 if held and size + len(text) > BLOCK_CHARS:
-                    found += model.label(held)
+                    found += model.label(held, self.surprise)
                     held, size = [], 0
                 held.append(text)
                 size += len(text)
             if held:
-                found += model.label(held)
-            labels = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *labels], [*batch.schema.names[:-1], "lang_pred", "score"])
+                found += model.label(held, self.surprise)
+            names = ["lang_pred", "score", "surprise"][: 2 + self.surprise]
+            labels = [pa.array([x[i] for x in found], pa.float64() if i else pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *labels], [*batch.schema.names[:-1], *names])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,11 +372,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return own.mapInArrow(_Label(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def in_a_language(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of `docs`, all columns, whose text has letters and a language with a share of `least` or more."""
+def in_a_language(docs: DataFrame, model: Model, text_col: str = "text", most: float = MOST_SURPRISE) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has letters and is at most `most` spreads less probable than labelled prose."""
     ship(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = packed.schema["row"].dataType.simpleString()
-    labelled = packed.mapInArrow(_Label(shared), f"row {kind}, lang_pred string, score double")
-    return labelled.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("row.*")
+    labelled = packed.mapInArrow(_Label(shared, surprise=True), f"row {kind}, lang_pred string, score double, surprise double")
+    return labelled.where((F.col("lang_pred") != UNDETERMINED) & (F.col("surprise") <= most)).select("row.*")
