@@ -295,6 +295,20 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = "main words here " * 20
+MARKED_PAGES = [
+    ("<article><p>" + LONG + "</p></article><article><p>second part</p></article>", LONG.strip() + "\nsecond part"),
+    ("<main><h1>Head</h1><article><p>" + LONG + "</p></article></main>", "Head\n" + LONG.strip()),
+    ("<article><p>teaser</p></article>" + "<p><a href=x>link</a></p>" * 4 + "<div><p>" + LONG + "</p></div>", LONG.strip()),
+    ("<article><p>" + LONG + "</p></article>" + "<p><a href=x>link</a></p>" * 4 + "<p>short</p>", LONG.strip()),
+]
+
+
+@pytest.mark.parametrize("page,text", MARKED_PAGES)
+def test_windows_choose_the_text_of_marked_pages(page, text):
+    assert html_extract.main_text(page) == text
+
+
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<article>", "</article>", "<script>", "</script>", "<", ">", '"', "<!--", "-->", "a b", "&lt;", "<nav>", "</nav>", "<br/>"]), max_size=25).map("".join))
 @settings(max_examples=300, deadline=None)
 def test_html_never_fails(page):

@@ -5,8 +5,8 @@ outside links, zero for page furniture (menus, headers, footers, sidebars, notic
 reader comments), which is told by element, role and class or id words. Weights are summed over sliding
 windows of WINDOW lines; text surges where a window reaches SURGE characters and dives where the
 windows fall to zero. What lies between the first surge and the last dive, furniture left out, is kept.
-Where the page marks its article (article, else main), lines outside the longest one weigh nothing and
-its first line of text is the surge. Without a surge the heaviest run of lines is kept.
+What stands in an article or main element weighs MARKED times as much, its links once; lines outside keep
+their weight, and surges and dives choose among all. Without a surge the heaviest run of lines is kept.
 
 Edges: null or empty html gives an empty text. Character references are decoded; white space inside a
 block, line breaks included, becomes one space. Unclosed, stray and mis-nested tags are read as
@@ -28,6 +28,7 @@ from tidemark.session import ship
 
 WINDOW = 3
 SURGE = 86
+MARKED = 4
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
@@ -164,28 +165,17 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    mass: dict[int, int] = {}
-    for text, _, furniture, region in lines:
-        if not furniture and region:
-            mass[region] = mass.get(region, 0) + len(text)
-    articles = {r: n for r, n in mass.items() if r > 0} or mass
-    if articles:
-        best = max(articles, key=lambda r: (articles[r], -abs(r)))
-        weights = [len(t) if r == best and not f else 0 for t, _, f, r in lines]
-        least = 1
-    else:
-        weights = [0 if f else w for _, w, f, _ in lines]
-        least = SURGE
+    weights = [0 if f else len(t) + (MARKED - 1) * w if r else w for t, w, f, r in lines]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     runs = _runs(weights, sums)
-    surged = [r for r in runs if max(sums[r[0] : r[1]]) >= least]
+    surged = [r for r in runs if max(sums[r[0] : r[1]]) >= SURGE]
     if not surged:
         if not runs:
             return ""
         top = max(runs, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))
         surged = [top]
     first, last = surged[0][0], surged[-1][1]
-    return "\n".join(lines[i][0] for i in range(first, last) if weights[i] > 0 or not lines[i][2] and not articles)
+    return "\n".join(lines[i][0] for i in range(first, last) if not lines[i][2])
 
 
 def _runs(weights: list[int], sums: list[int]) -> list[tuple[int, int]]:
