@@ -369,6 +369,24 @@ def test_pii_formats_links_and_validity(spark):
     assert pii.pseudonymise(df.limit(0)).count() == 0
 
 
+CARD = "4111 1111 1111 1111"
+BESIDE = [
+    ("4111 1111 1111 1111 12/25", CARD, 1), ("4111111111111111 123", "4111111111111111", 1), ("12 4111 1111 1111 1111", CARD, 1), ("pay 4111-1111-1111-1111 123 ok 1.", "4111-1111-1111-1111", 1),
+    ("1234 4111 1111 1111 1111 5", CARD, 1), ("12345678 9012 4111 1111 1111 1111 x", CARD, 1), ("a@b.com 12 4111 1111 1111 1111, 4111 1111 1111 1111 and 12 4111 1111 1111 1111", CARD, 3),
+    ("4111 1111 1111 1112 12/25", None, 0), ("1234567890123 1", None, 0),
+]
+
+
+def test_cards_beside_other_numbers(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(BESIDE)] + [(100, CARD)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    new = got[100].text
+    for i, (text, card, n) in enumerate(BESIDE):
+        want = text.replace(card, new if " " in card else new.replace(" ", "-" if "-" in card else "")) if card else text
+        shown = got[i].text.replace(got[i].text.split("@")[0], text.split("@")[0], 1) if "@" in text else got[i].text
+        assert (shown, got[i].n_card) == (want, n)
+
+
 def test_pii_permutation_is_one_to_one(spark):
     rows = spark.range(20_000).selectExpr("lpad(cast(id as string), 5, '0') as x", "id")
     made = rows.selectExpr(f"{pii.permuted('x', chr(39) + 'k' + chr(39))} as y", f"{pii.permuted_number('id', 189, 773, chr(39) + 'k' + chr(39))} as z")

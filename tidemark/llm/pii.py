@@ -6,6 +6,8 @@ calendar dates from 1700 to 2099. Each is replaced by a keyed Feistel permutatio
 format, so equal values get equal pseudonyms in every document, different ones different ones, and the
 pseudonym validates again: check digits are recomputed, dates stay dates. Separators, letter case,
 country codes and mail domains stay. Text around them is untouched; numbers that fail validation stay.
+Where a run of digits fails as a card, its groups are tried: neighbouring groups that make a valid card
+number are one, those of 16 digits first, then from the left, the longest first.
 
 A string permutation halves the string by characters and, in ROUNDS rounds, shifts each letter or digit
 of one half within a-z, A-Z or 0-9 by a SHA-512 stream over the key, the round and the other half.
@@ -29,6 +31,7 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 CARD = r"(?<![A-Za-z0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
+GROUPS = r"(?<![A-Za-z0-9.+-])[0-9]+(?:[ -][0-9]+)+(?![A-Za-z0-9])"
 IPV4 = rf"(?<![A-Za-z0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![A-Za-z0-9]|\.[0-9])"
 DATE = r"(?<![A-Za-z0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])"
 SSN = r"(?<![A-Za-z0-9.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])"
@@ -107,6 +110,26 @@ def kind_of() -> str:
         when {_luhn(_digits('m'), 1)} % 10 = 0 then 'card' end"""
 
 
+def _card(key: str) -> str:
+    """SQL over lambda variables m and k = 'card': the pseudonym of a card number."""
+    d = _digits("m")
+    card = f"transform(array({permuted(f'substr({d}, 1, length({d}) - 1)', 'k', key)}), b -> concat(b, cast((10 - {_luhn('b', 2)} % 10) % 10 as string)))[0]"
+    return _refilled("m", card)
+
+
+def _cards_inside(run: str, key: str) -> str:
+    """SQL: struct(s, n) of `run`, groups of digits with a blank or hyphen between: the run with its cards replaced, and their number."""
+    window = "named_struct('a', a, 'e', e, 'm', array_join(slice(g, a, e - a + 1), ''))"
+    found = f"flatten(transform(filter(sequence(1, size(g)), a -> a % 2 = 1), a -> transform(filter(sequence(a, least(size(g), a + 36)), e -> e % 2 = 1), e -> {window})))"
+    sized = f"filter(transform({found}, w -> named_struct('d', {_digits('w.m')}, 'a', w.a, 'e', w.e, 'm', w.m)), w -> length(w.d) BETWEEN 13 AND 19)"
+    ranked = f"array_sort(transform(filter({sized}, w -> {_luhn('w.d', 1)} % 10 = 0), w -> named_struct('odd', length(w.d) <> 16, 'a', w.a, 'less', -w.e, 'm', w.m)))"
+    kept = f"aggregate({ranked}, cast(array() as array<struct<odd: boolean, a: int, less: int, m: string>>), (u, w) -> if(exists(u, h -> h.a <= -w.less AND w.a <= -h.less), u, concat(u, array(w))))"
+    new = f"transform(array(w.m), m -> transform(array('card'), k -> {_card(key)})[0])[0]"
+    made = f"transform({kept}, w -> named_struct('a', w.a, 'e', -w.less, 'new', {new}))"
+    text = "array_join(transform(g, (x, at) -> coalesce(if(exists(f, w -> w.a = at + 1), filter(f, w -> w.a = at + 1)[0].new, if(exists(f, w -> at + 1 BETWEEN w.a AND w.e), '', x)), x)), '')"
+    return f"transform(array(regexp_extract_all({run}, '[0-9]+|[ -]', 0)), g -> transform(array({made}), f -> named_struct('s', {text}, 'n', size(f)))[0])[0]"
+
+
 def pseudonym(key: str = KEY) -> str:
     """SQL over lambda variables m (text) and k (kind): the pseudonym, or m itself where k is null."""
     d = _digits("m")
@@ -115,7 +138,6 @@ def pseudonym(key: str = KEY) -> str:
     body = permuted(f"substr({bare}, 5)", "k", key)
     iban = f"transform(array({body}), b -> transform(array(concat(substr({bare}, 1, 2), '00', b)), z -> concat(substr(z, 1, 2), lpad(cast(98 - {_iban_mod('z')} as string), 2, '0'), b))[0])[0]"
     spaced = lambda x: f"transform(array({x}), y -> if(instr(m, ' ') > 0, trim(regexp_replace(y, '(.{{4}})', '$1 ')), y))[0]"
-    card = f"transform(array({permuted(f'substr({d}, 1, length({d}) - 1)', 'k', key)}), b -> concat(b, cast((10 - {_luhn('b', 2)} % 10) % 10 as string)))[0]"
     keep = f"greatest(length({d}) - 10, 0)"
     phone = f"concat(substr({d}, 1, {keep}), {permuted(f'substr({d}, {keep} + 1)', 'k', key)})"
     octets = "transform(array(split(m, '[.]')), o -> cast(o[0] as bigint) * 16777216 + cast(o[1] as bigint) * 65536 + cast(o[2] as bigint) * 256 + cast(o[3] as bigint))[0]"
@@ -130,7 +152,7 @@ def pseudonym(key: str = KEY) -> str:
         when 'date' then {date}
         when 'ssn' then {_refilled('m', permuted(d, 'k', key))}
         when 'phone' then {_refilled('m', phone)}
-        when 'card' then {_refilled('m', card)}
+        when 'card' then {_card(key)}
         else m end"""
 
 
@@ -149,7 +171,24 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, counts
     # Only rows with a match are split and joined again.
     parts = F.split(text, ANY, -1)
     joined = F.array_join(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    out = out.withColumn(text_col, F.when(F.exists("_kinds", lambda f: f["k"].isNotNull()), joined).otherwise(text))
+    # Texts with a failed card: what stands between values is put together again, and its groups of digits are tried.
+    failed = lambda f: f"{f}.k IS NULL AND {f}.m rlike '^[0-9](?:[ -]?[0-9]){{12,18}}$'"
+    out = out.withColumn("_parts", F.when(F.expr(f"exists(_kinds, f -> {failed('f')})"), parts))
+    more = "named_struct('done', s.done, 'now', concat(s.now, f.m, _parts[i]), 'hot', s.hot OR f.hot)"
+    next_ = "named_struct('done', concat(s.done, array(named_struct('t', s.now, 'hot', s.hot))), 'now', _parts[i], 'hot', false)"
+    step = f"transform(array(named_struct('m', _kinds[i - 1].m, 'k', _kinds[i - 1].k, 'hot', {failed('_kinds[i - 1]')})), f -> if(f.k IS NULL, {more}, {next_}))[0]"
+    start = "named_struct('done', cast(array() as array<struct<t: string, hot: boolean>>), 'now', _parts[0], 'hot', false)"
+    between = f"aggregate(sequence(1, size(_kinds)), {start}, (s, i) -> {step}, s -> concat(s.done, array(named_struct('t', s.now, 'hot', s.hot))))"
+    tried = f"transform(regexp_extract_all(b.t, r'{GROUPS}', 0), y -> {_cards_inside('y', key)})"
+    filled = f"transform(array({tried}), y -> named_struct('s', array_join(zip_with(split(b.t, r'{GROUPS}', -1), concat(y.s, array('')), (o, v) -> concat(o, v)), ''), 'n', aggregate(y.n, 0, (t, n) -> t + n)))[0]"
+    between = f"transform({between}, b -> if(b.hot, {filled}, named_struct('s', b.t, 'n', 0)))"
+    out = out.withColumn("_between", F.when(F.col("_parts").isNotNull(), F.expr(between)))
+    valid = F.expr(f"transform(filter(_kinds, f -> f.k IS NOT NULL), f -> transform(array(f.m), m -> transform(array(f.k), k -> {pseudonym(key)})[0])[0])")
+    again = F.array_join(F.zip_with(F.col("_between.s"), F.concat(valid, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    changed = F.exists("_kinds", lambda f: f["k"].isNotNull())
+    out = out.withColumn(text_col, F.when(F.col("_between").isNotNull(), again).when(changed, joined).otherwise(text))
     for kind in KINDS if counts else ():
         out = out.withColumn(f"n_{kind}", F.expr(f"cast(size(filter(_kinds, f -> f.k = '{kind}')) as bigint)"))
-    return out.drop("_found", "_kinds")
+    if counts:
+        out = out.withColumn("n_card", F.expr("n_card + coalesce(aggregate(_between.n, 0, (t, n) -> t + n), 0)"))
+    return out.drop("_found", "_kinds", "_parts", "_between")
