@@ -1,24 +1,30 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one per block element. A line's weight is the length of its text
-outside links, zero for page furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments), which is told by element, role and class or id words. Weights are summed over sliding
-windows of WINDOW lines; text surges where a window reaches SURGE characters and dives where the
-windows fall to zero. What lies between the first surge and the last dive, furniture left out, is kept.
-What stands in an article or main element weighs MARKED times as much, its links once; lines outside keep
-their weight, and surges and dives choose among all. Without a surge the heaviest run of lines is kept.
+Markup is stripped into lines, one per block element, and every line gets a weight: the length of its
+text outside links. What stands in an article or main element weighs MARKED times as much, its links
+once; page furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) weighs
+nothing. Weights are summed over sliding windows of WINDOW lines, on every page alike: text surges where
+a window reaches SURGE, and dives where windows fall to zero. What lies between the first surge and the
+last dive, furniture left out, is kept; without a surge the heaviest run of lines is.
+
+Furniture is told by element and role, and by class and id names. A name counts only when all its words
+do: `site-footer` and `cookie-notice` are furniture, `notice-of-meeting` and `social-history` are not. Names that
+prose carries too (WEAK_WORDS) make furniture of lists and boxes, never of a paragraph, quotation or heading.
 
 Edges: null or empty html gives an empty text. Character references are decoded; white space inside a
 block, line breaks included, becomes one space. Unclosed, stray and mis-nested tags are read as
 browsers do in the main: a closing tag closes up to its last open match, and is passed over without
-one. Script, style and comment contents are never text, `</p>` inside them neither. Pages of any length
-are read whole, a page at a time. Rows come back one for one, repeated rows and null ids too.
+one. Script, style and comment contents are never text, `</p>` inside them neither. A `<` after which no
+`>` follows is text. After a tag whose quotes never close, tags end at their first `>`. Pages of any length
+are read whole, a page at a time, in time linear in their length. Rows come back one for one, repeated
+rows and null ids too.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +36,11 @@ WINDOW = 3
 SURGE = 86
 MARKED = 4
 
-TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*>)|<[!?/][^>]*>""", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What follows a tag's name up to its `>`, with quoted values, and without.
+QUOTED = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+PLAIN = re.compile(r"[^>]*>")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
 RAW = {"script", "style", "title", "textarea", "xmp", "noembed", "noframes", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -41,14 +51,22 @@ FURNITURE_TAGS = set("nav header footer aside form button select dialog menu nos
 FURNITURE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 FURNITURE_WORDS = set("""ad ads adv advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments
 commentlist consent cookie cookies disqus footer gdpr header hidden masthead menu menus modal nav navbar navigation newsletter notice
-notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar
-sidebars signup skip social sponsor sponsored subscribe toolbar widget widgets login search alert""".split())
+notices overlay pager pagination popup promo promoted reply replies respond sidebar sidebars signup skip sponsor sponsored subscribe
+toolbar widget widgets login search""".split())
+#: Words of furniture that prose may carry as well.
+WEAK_WORDS = set("alert promotion recommended related share sharing social".split())
+#: Words that say where or what a box is and nothing of what it holds.
+BOX_WORDS = set("""aside area article articles bar block body bottom box button buttons cell center col column container content entry group grid
+head holder icon icons inner item items left link links list main middle module outer page panel post posts primary right row secondary
+section site slot small sticky sub text top unit view wide wrap wrapper""".split())
 #: Furniture whose headings still belong to an article that they stand in.
 HEADER_WORDS = {"header", "masthead"}
 #: Elements whose class words do not make all of the page furniture.
 WHOLE = {"html", "body", "main"}
 #: Elements that end at the next of their kind; elements inside a line.
 ITEMS = {"li", "td", "th", "tr", "dt", "dd", "option"}
+#: Elements of prose.
+PROSE = {"p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = {"span", "b", "i", "em", "strong", "u", "small", "font", "label", "sup", "sub", "code", "ins", "del", "mark", "abbr", "cite", "q"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WORD = re.compile(r"[a-z]+")
@@ -74,17 +92,63 @@ def _judged(tag: str, rest: str) -> tuple[int, bool]:
         elif name == "role" and value.lower() == "main" or name == "itemprop" and value == "articleBody":
             main = True
         elif name in ("class", "id"):
-            words = FURNITURE_WORDS.intersection(WORD.findall(CAMEL.sub(" ", value).lower()))
-            if words:
-                level = max(level, HEADER if words <= HEADER_WORDS else YES)
+            for own in value.split():
+                words = set(WORD.findall(CAMEL.sub(" ", own).lower()))
+                strong, weak = words & FURNITURE_WORDS, words & WEAK_WORDS
+                if words <= FURNITURE_WORDS | WEAK_WORDS | BOX_WORDS and (strong or weak and tag not in PROSE):
+                    level = max(level, HEADER if strong <= HEADER_WORDS and not weak else YES)
     return level, main
 
 
+def markup(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before it, name in lower case, closing, what follows the name) of each tag; the name is empty for what is no element, and at the end.
+
+    The contents of RAW elements, their closing tags and comments are passed over. Each character is looked at a bounded number of times.
+    """
+    at = start = 0
+    last, quotes = page.rfind(">"), True
+    while True:
+        at = page.find("<", at)
+        if at < 0 or at > last:
+            yield page[start:].partition("<!--")[0], "", False, ""
+            return
+        if page.startswith("<!--", at):
+            close = COMMENT_END.search(page, at + 4)
+            yield page[start:at], "", False, ""
+            at = start = close.end() if close else len(page)
+            continue
+        closing = page.startswith("/", at + 1)
+        name = NAME.match(page, at + 1 + closing)
+        if not name:
+            if at + 1 < len(page) and page[at + 1] in "!?/":
+                yield page[start:at], "", False, ""
+                at = start = page.index(">", at) + 1
+            else:
+                at += 1
+            continue
+        rest = QUOTED.match(page, name.end()) if quotes else None
+        if not rest:
+            quotes, rest = False, PLAIN.match(page, name.end())
+        tag = name[0].lower()
+        yield page[start:at], tag, closing, rest[0]
+        at = start = rest.end()
+        if tag in RAW and not closing:
+            at = start = _raw_end(page, tag, at)
+
+
+def _raw_end(page: str, tag: str, at: int) -> int:
+    """Where the contents of a RAW element that starts at `at`, and its closing tag, end."""
+    close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+    stop = page.find(">", close.end()) if close else -1
+    return stop + 1 if stop >= 0 else len(page)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, weight outside links, furniture, number of its article or main or 0) of each line with text."""
     out: list[tuple[str, int, bool, int]] = []
     # Of each open element that matters its tag, its level of furniture and its region, both with what it stands in, and whether its text is left out.
     stack: list[tuple[str, int, int, bool]] = []
+    stands: Counter[str] = Counter()
     text: list[str] = []
     linked, link, regions, heading = 0, False, 0, False
 
@@ -98,21 +162,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             text.clear()
         linked = 0
 
-    at, end = 0, len(page)
-    while at < end:
-        m = TAG.search(page, at)
-        stop = m.start() if m else end
-        if stop > at and not (stack and stack[-1][3]):
-            piece = page[at:stop]
+    for piece, tag, closing, rest in markup(page):
+        if piece and not (stack and stack[-1][3]):
             text.append(piece)
             if link:
                 linked += len(piece.strip())
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
+        if not tag:
             continue
-        tag, closing, rest = m[2].lower(), bool(m[1]), m[3]
         if tag == "br":
             text.append(" ")
             continue
@@ -123,14 +179,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                 link = False
             elif tag in HEADINGS:
                 heading = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while stands[tag]:
+                name = stack.pop()[0]
+                stands[name] -= 1
+                if name == tag:
                     break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
             continue
         if tag in VOID or rest.endswith("/>") and tag not in BLOCK:
             continue
@@ -142,7 +197,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             continue
         # A block ends an open paragraph, and an item one of its own kind.
         while stack and (stack[-1][0] == "p" and tag in BLOCK or stack[-1][0] == tag and tag in ITEMS):
-            stack.pop()
+            stands[stack.pop()[0]] -= 1
         _, level, region, muted = stack[-1] if stack else ("", NO, 0, False)
         mine, main = _judged(tag, rest)
         if tag in INLINE or tag in ITEMS or tag == "p":
@@ -156,6 +211,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             regions += 1
             region = regions if tag == "article" else -regions
         stack.append((tag, level, region, muted))
+        stands[tag] += 1
     flush()
     return out
 
