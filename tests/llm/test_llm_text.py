@@ -221,22 +221,91 @@ def test_base_spans_match_definition(text):
     assert secrets.base_spans(text) == brute_spans(text)
 
 
-def test_inferred_format_finds_bare_credentials():
+HEXES, ALNUM = "0123456789abcdef", secrets.ALNUM
+WORDS = [a + b + c for a in ("inter", "over", "under", "2024-01-", "4111") for b in ("nation", "stand", "12", "11111111", "com") for c in ("ally", "ing", "al-use", "34", "-x/en/")]
+
+
+def draw(rng, letters, n):
+    return "".join(rng.choice(list(letters), n))
+
+
+@pytest.fixture(scope="module")
+def formats():
     rng = np.random.default_rng(0)
-    draw = lambda n, a: "".join(rng.choice(list(a), n))
-    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    creds = [("assign", "key_" + draw(24, alnum)) for _ in range(80)]
-    automata = secrets.learn(creds)
-    bare = "key_" + draw(24, alnum)
-    text = f"see {bare} and key_short1 and averyveryverylongwordindeed and 2024-01-01T00-00-00Z"
-    assert [text[s:e] for s, e, _ in secrets.added_spans(text, [], automata)] == [bare]
-    assert secrets.learn([]) == [] and secrets.added_spans(text, [], []) == []
+    labelled = [("assign", "key_" + draw(rng, ALNUM, 24)) for _ in range(120)] + [("hex", draw(rng, HEXES, 40)) for _ in range(120)]
+    return secrets.learn(labelled + secrets.seeds(), WORDS)
+
+
+def test_merging_makes_loops_that_know_unseen_lengths():
+    rng = np.random.default_rng(1)
+    automaton = secrets.Automaton([draw(rng, HEXES, 40) for _ in range(200)])
+    assert len(automaton.table) < 5
+    for n in (16, 33, 80, 500):
+        assert automaton.bits(draw(rng, HEXES, n))[0] / n < 4.3
+    assert automaton.bits(draw(rng, "ghijkl", 40))[0] / 40 > 8
+    prefixed = secrets.Automaton(["key_" + draw(rng, ALNUM, 24) for _ in range(200)])
+    assert prefixed.bits("key_" + draw(rng, ALNUM, 50))[0] + 15 < prefixed.bits(draw(rng, ALNUM, 54))[0]
+
+
+def test_bare_credentials_of_seen_and_unseen_lengths_are_found(formats):
+    rng = np.random.default_rng(2)
+    bare = ["key_" + draw(rng, ALNUM, 24), "key_" + draw(rng, ALNUM, 33), draw(rng, HEXES, 20), "ghp_" + draw(rng, ALNUM, 36), "sk_live_" + draw(rng, ALNUM, 24), "xoxb-" + draw(rng, secrets.DIGITS, 12) + "-" + draw(rng, secrets.DIGITS, 12) + "-" + draw(rng, ALNUM, 24)]
+    prose = ["internationally-standing", "2024-01-01T00-00-00Z", "4111111111111111", "key_short1", "understandinginternationally", "/en/overstanding/11/12"]
+    text = "see " + " and ".join(x for pair in zip(bare, prose) for x in pair)
+    assert secrets.base_spans(text) == []
+    found = secrets.scored(text, [], formats)
+    assert [text[s:e] for s, e, _, _, adds in found if adds] == bare
+    assert [text[s:e] for s, e, _, _, _ in found] == [x for pair in zip(bare, prose) for x in pair if len(x) >= 16]
+    assert secrets.learn([], WORDS).kinds == [] and secrets.scored(text, [], secrets.learn([], WORDS)) == []
+
+
+def test_candidates_inside_base_spans_are_scored_and_add_nothing(formats):
+    token = draw(np.random.default_rng(3), HEXES, 40)
+    text = f'token = "{token}" and {token[:20]}'
+    found = secrets.scored(text, secrets.base_spans(text), formats)
+    assert [(text[s:e], adds) for s, e, _, _, adds in found] == [(token, False), (token[:20], True)]
+    assert all(ahead >= secrets.MARGIN for _, _, _, ahead, _ in found)
+
+
+def plain_added(text, formats):
+    """Spans the method adds, scored step by step from the tables of probabilities."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_-]+", text):
+        end = m.end()
+        while end < len(text) and text[end] == "=" and end < m.end() + 2:
+            end += 1
+        word = text[m.start() : end]
+        if m.end() - m.start() < 16 or any(s <= m.start() and e >= end for s, e, _ in brute_spans(text)):
+            continue
+        best = None
+        for name, automaton, mean, most in formats.kinds:
+            p, s = 1.0, 0
+            for c in word:
+                steps, unseen, _ = automaton.table[s]
+                p *= 2.0 ** -(steps[c][1] if c in steps else unseen)
+                s = steps[c][0] if c in steps else s
+            whole = p * 2.0 ** -automaton.table[s][2]
+            if best is None or whole > best[0]:
+                best = (whole, p, mean, most)
+        q = 1.0
+        for a, b in zip("\n" + word, word + "\n"):
+            q *= 2.0 ** -(formats.background.pairs.get((a, b)) or formats.background.others.get(a, np.log2(secrets.SYMBOLS)))
+        if np.log2(best[0] / q) >= secrets.MARGIN and (-np.log2(best[1]) / len(word) - best[2]) * len(word) ** 0.5 <= best[3]:
+            out.append((m.start(), end))
+    return out
+
+
+@given(st.lists(st.tuples(st.sampled_from([HEXES, ALNUM, "abcdeinrst", secrets.DIGITS]), st.integers(10, 48), st.sampled_from(["", "ghp_", "key_", "token=", "sk_live_", "AKIA"]), st.integers(0, 10**6), st.sampled_from([" ", "= ", ". ", "\u00e9"])), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_added_spans_match_plain_scoring(formats, drawn):
+    text = "".join(start + draw(np.random.default_rng(seed), letters, n) + end for letters, n, start, seed, end in drawn)
+    assert [(s, e) for s, e, _, _, adds in secrets.scored(text, brute_spans(text), formats) if adds] == plain_added(text, formats)
 
 
 def test_secret_frame(spark):
     rows = [(1, None), (2, ""), (3, 'token = "' + "ab12" * 10 + '"'), (3, 'token = "' + "ab12" * 10 + '"'), (None, "x" * 100_000 + " secret: hunter22")]
     df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, spans string")
-    automata = secrets.learn(secrets.labelled_sample(df))
+    automata = secrets.learn(*secrets.labelled_sample(df))
     got = secrets.scan(df, automata).collect()
     assert len(got) == 5
     by = {r.doc_id: r for r in got}

@@ -40,9 +40,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's secrets: base patterns and the formats learned from what they find."""
+    """Every document's secrets: base patterns, and formats learned from what they find and from public ones."""
     docs = _table(spark, sf_dir, "documents")
-    return secrets.scan(docs, secrets.learn(secrets.labelled_sample(docs)))
+    labelled, background = secrets.labelled_sample(docs)
+    return secrets.scan(docs, secrets.learn(labelled + secrets.seeds(), background))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
