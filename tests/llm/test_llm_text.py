@@ -413,8 +413,8 @@ def test_pii_formats_links_and_validity(spark):
         (6, "GB82 WEST 1234 5698 7654 32 and DE89370400440532013000, not DE89370400440532013001"),
         (7, "123-45-6789"), (8, None), (9, ""), (None, "no private values"), (11, "x" * 100_000 + " 4111111111111111"),
     ]
-    df = spark.createDataFrame([(i, t, "keep", "z") for i, t in rows], "doc_id long, text string, m string, _x string")
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    df = spark.createDataFrame([(i, t, "keep", "z", 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, m string, _x string, found int, kinds int, row int, between int")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "a key's \\ 'quotes'").collect()}
     t = {i: r.text for i, r in got.items()}
     mail = re.search(r"mail (\S+),", t[1])[1]
     assert re.fullmatch(r"[a-z]{3}\.[a-z]{3}\d@Mail\.example\.com", mail) and mail != "ann.lee7@Mail.example.com" and t[2].startswith(mail)
@@ -433,9 +433,10 @@ def test_pii_formats_links_and_validity(spark):
         assert int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
     assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", t[7]) and t[7] != "123-45-6789"
     assert t[8] is None and t[9] == "" and t[None] == "no private values"
-    assert all((r.m, r._x) == ("keep", "z") for r in got.values())
+    assert all((r.m, r._x, r.found, r.kinds, r.row, r.between) == ("keep", "z", 1, 2, 3, 4) for r in got.values())
+    assert pii.pseudonymise(df, "k", counts=False).columns == df.columns
     assert (got[1].n_email, got[1].n_card, got[2].n_card, got[4].n_date, got[6].n_iban) == (1, 1, 1, 3, 2)
-    assert pii.pseudonymise(df.limit(0)).count() == 0
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
 
 
 CARD = "4111 1111 1111 1111"
@@ -448,7 +449,7 @@ BESIDE = [
 
 def test_cards_beside_other_numbers(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(BESIDE)] + [(100, CARD)], "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
     new = got[100].text
     for i, (text, card, n) in enumerate(BESIDE):
         want = text.replace(card, new if " " in card else new.replace(" ", "-" if "-" in card else "")) if card else text
@@ -458,7 +459,7 @@ def test_cards_beside_other_numbers(spark):
 
 def test_pii_permutation_is_one_to_one(spark):
     rows = spark.range(20_000).selectExpr("lpad(cast(id as string), 5, '0') as x", "id")
-    made = rows.selectExpr(f"{pii.permuted('x', chr(39) + 'k' + chr(39))} as y", f"{pii.permuted_number('id', 189, 773, chr(39) + 'k' + chr(39))} as z")
+    made = rows.selectExpr(f"{pii.permuted('x', chr(39) + 'k' + chr(39), 'one')} as y", f"{pii.permuted_number('id', 189, 773, chr(39) + 'k' + chr(39), 'one')} as z")
     seen = made.toPandas()
     assert seen.y.nunique() == seen.z.nunique() == 20_000 and seen.y.str.fullmatch(r"\d{5}").all() and seen.z.between(0, 146_096).all()
     other = rows.selectExpr(f"{pii.permuted('x', chr(39) + 'k' + chr(39), 'other')} as y").toPandas()

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import embedding_dedup, exact_dedup, html_extract, language, packing, pii, secrets, sentencepiece_scan, simhash, url_filter
 
+TRIAL_KEY = "not a secret"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,9 +58,14 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key that the session names in spark.tidemark.pii.key; where it names none, one that is no secret and serves trials alone."""
+    return spark.conf.get("spark.tidemark.pii.key", TRIAL_KEY)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with private values under format-preserving pseudonyms, and their counts."""
-    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """PII pseudonyms that keep their format, with DataFrame functions only.
 
 Private values are found by pattern and validated: e-mail addresses; card numbers (13 to 19 digits,
-Luhn); IBANs (mod 97); US social security numbers; telephone numbers; IPv4 addresses (octets to 255);
-calendar dates from 1700 to 2099. Each is replaced by a keyed Feistel permutation of its kind's own
+Luhn); IBANs (the length of their country, mod 97); US social security numbers (an area, group and serial
+that are given out); telephone numbers (with a country code 8 to 15 digits, after +1 and without a code 10);
+IPv4 addresses (octets to 255); calendar dates from 1700 to 2099. Each is replaced by a keyed Feistel permutation of its kind's own
 format, so equal values get equal pseudonyms in every document, different ones different ones, and the
 pseudonym validates again: check digits are recomputed, dates stay dates. Separators, letter case,
 country codes and mail domains stay. Text around them is untouched; numbers that fail validation stay.
@@ -11,31 +12,43 @@ number are one, those of 16 digits first, then from the left, the longest first.
 
 A string permutation halves the string by characters and, in ROUNDS rounds, shifts each letter or digit
 of one half within a-z, A-Z or 0-9 by a SHA-512 stream over the key, the round and the other half.
-Addresses and dates are permuted as numbers in Z_a x Z_b with a * b equal to the size of the domain
-(65,536 x 65,536, and 189 x 773 = 146,097 days), so every output is valid without cycle walking.
+Addresses, dates and social security numbers are permuted as numbers in Z_a x Z_b with a * b equal to the
+size of the domain (65,536 x 65,536; 189 x 773 = 146,097 days; 29,634 x 29,997 = 898 areas x 99 groups x
+9,999 serials), so every output is valid without cycle walking.
+
+The key comes from the caller. Plans hold its SHA-256, from which pseudonyms can be made again: treat plans
+and event logs of such a job like the key.
 
 Edges: a null text stays null, an empty one empty; counts are then 0. Texts of any length are read
 whole. Values are replaced left to right without overlap. Empty tables give empty results; other
-columns are carried through as they are, and a column named like a count is replaced.
+columns, whatever their names, are carried through as they are, but one named like a count is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import hashlib
+
+from pyspark.sql import DataFrame, functions as F
 
 ROUNDS = 8
-#: A secret of the caller; pseudonyms of different keys are unrelated.
-KEY = "tidemark-pii-default-key"
+#: Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Country codes of telephone numbers; others have three digits.
+SHORT_CODES = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+IBAN = "(?<![A-Za-z0-9])(?:" + "|".join(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, codes in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
 CARD = r"(?<![A-Za-z0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
 GROUPS = r"(?<![A-Za-z0-9.+-])[0-9]+(?:[ -][0-9]+)+(?![A-Za-z0-9])"
 IPV4 = rf"(?<![A-Za-z0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![A-Za-z0-9]|\.[0-9])"
 DATE = r"(?<![A-Za-z0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])"
-SSN = r"(?<![A-Za-z0-9.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])"
-PHONE = r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![A-Za-z0-9])|(?<![A-Za-z0-9(+])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9.+-])[0-9]{3}([-. ])[0-9]{3}\3[0-9]{4}(?![A-Za-z0-9]|[.-][0-9])"
+SSN = r"(?<![A-Za-z0-9.+-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![A-Za-z0-9]|-[0-9])"
+PHONE = r"(?<![A-Za-z0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![A-Za-z0-9])|(?<![A-Za-z0-9(+])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])|(?<![A-Za-z0-9.+-])[0-9]{3}([-. ])[0-9]{3}\3[0-9]{4}(?![A-Za-z0-9]|[.-][0-9])"
 ANY = "|".join((EMAIL, IBAN, IPV4, DATE, SSN, PHONE, CARD))
 
 KINDS = ("email", "iban", "ip", "date", "ssn", "phone", "card")
@@ -45,9 +58,14 @@ def _digits(x: str) -> str:
     return f"regexp_replace({x}, '[^0-9]', '')"
 
 
+def _digest(key: str) -> str:
+    """What enters the streams instead of the key: of any key, text that is safe in SQL."""
+    return hashlib.sha256(key.encode()).hexdigest()
+
+
 def _text_half(half: str, other: str, kind: str, r: str, key: str) -> str:
     """SQL: `half` with each letter and digit shifted by the stream of the other half."""
-    stream = f"sha2(concat_ws('|', '{key}', {kind}, {r}, {other}), 512)"
+    stream = f"sha2(concat_ws('|', '{_digest(key)}', {kind}, {r}, {other}), 512)"
     shift = "cast(conv(substr(h, 4 * ((j - 1) % 32) + 1, 4), 16, 10) as int)"
     char = f"""case when c between '0' and '9' then chr(48 + (ascii(c) - 48 + {shift}) % 10)
         when c between 'a' and 'z' then chr(97 + (ascii(c) - 97 + {shift}) % 26)
@@ -57,16 +75,16 @@ def _text_half(half: str, other: str, kind: str, r: str, key: str) -> str:
     return f"transform(array(named_struct('h', {stream}, 'x', {half})), q -> if(length(q.x) = 0, '', array_join(transform(sequence(1, greatest(length(q.x), 1)), j -> {one}), '')))[0]"
 
 
-def permuted(x: str, kind: str, key: str = KEY) -> str:
+def permuted(x: str, kind: str, key: str) -> str:
     """SQL: the keyed format-preserving permutation of string expression `x` within `kind`."""
     at = f"cast(length({x}) div 2 as int)"
     step = f"if(r % 2 = 0, named_struct('a', {_text_half('s.a', 's.b', kind, 'r', key)}, 'b', s.b), named_struct('a', s.a, 'b', {_text_half('s.b', 's.a', kind, 'r', key)}))"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('a', substr({x}, 1, {at}), 'b', substr({x}, {at} + 1)), (s, r) -> {step}, s -> concat(s.a, s.b))"
 
 
-def permuted_number(x: str, a: int, b: int, kind: str, key: str = KEY) -> str:
+def permuted_number(x: str, a: int, b: int, kind: str, key: str) -> str:
     """SQL: a keyed permutation of the number `x` within 0 .. a * b - 1."""
-    f = lambda other, m: f"cast(conv(substr(sha2(concat_ws('|', '{key}', {kind}, r, {other}), 256), 1, 14), 16, 10) as bigint) % {m}"
+    f = lambda other, m: f"cast(conv(substr(sha2(concat_ws('|', '{_digest(key)}', {kind}, r, {other}), 256), 1, 14), 16, 10) as bigint) % {m}"
     step = f"if(r % 2 = 0, named_struct('a', (s.a + {f('s.b', a)}) % {a}, 'b', s.b), named_struct('a', s.a, 'b', (s.b + {f('s.a', b)}) % {b}))"
     start = f"named_struct('a', cast({x} as bigint) div {b}, 'b', cast({x} as bigint) % {b})"
     return f"aggregate(sequence(1, {ROUNDS}), {start}, (s, r) -> {step}, s -> s.a * {b} + s.b)"
@@ -101,12 +119,13 @@ def kind_of() -> str:
     bare = "replace(m, ' ', '')"
     return f"""case
         when instr(m, '@') > 0 then 'email'
-        when m rlike '^[A-Z]' then case when length({bare}) between 15 and 34 and {_iban_mod(bare)} = 1 then 'iban' end
+        when m rlike '^[A-Z]' then case when {_iban_mod(bare)} = 1 then 'iban' end
         when m rlike '^{OCTET}([.]{OCTET}){{3}}$' then 'ip'
         when m rlike '^([0-9]{{4}}([-/.])[0-9]{{1,2}}[-/.][0-9]{{1,2}}|[0-9]{{1,2}}([-/.])[0-9]{{1,2}}[-/.][0-9]{{4}})$' then
             case when transform(array({_date_parts('m')}), p -> p.d BETWEEN date'1700-01-01' AND date'2099-12-31')[0] then 'date' end
         when m rlike '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$' then 'ssn'
-        when m rlike '^[+(]' or m rlike '^[0-9]{{3}}([-. ])[0-9]{{3}}[-. ][0-9]{{4}}$' then 'phone'
+        when m rlike '^[+]' then case when m not rlike '^[+]0' and length({_digits('m')}) between 8 and 15 then 'phone' end
+        when m rlike '^[(]' or m rlike '^[0-9]{{3}}([-. ])[0-9]{{3}}[-. ][0-9]{{4}}$' then 'phone'
         when {_luhn(_digits('m'), 1)} % 10 = 0 then 'card' end"""
 
 
@@ -130,7 +149,7 @@ def _cards_inside(run: str, key: str) -> str:
     return f"transform(array(regexp_extract_all({run}, '[0-9]+|[ -]', 0)), g -> transform(array({made}), f -> named_struct('s', {text}, 'n', size(f)))[0])[0]"
 
 
-def pseudonym(key: str = KEY) -> str:
+def pseudonym(key: str) -> str:
     """SQL over lambda variables m (text) and k (kind): the pseudonym, or m itself where k is null."""
     d = _digits("m")
     local = "substring_index(m, '@', 1)"
@@ -138,7 +157,9 @@ def pseudonym(key: str = KEY) -> str:
     body = permuted(f"substr({bare}, 5)", "k", key)
     iban = f"transform(array({body}), b -> transform(array(concat(substr({bare}, 1, 2), '00', b)), z -> concat(substr(z, 1, 2), lpad(cast(98 - {_iban_mod('z')} as string), 2, '0'), b))[0])[0]"
     spaced = lambda x: f"transform(array({x}), y -> if(instr(m, ' ') > 0, trim(regexp_replace(y, '(.{{4}})', '$1 ')), y))[0]"
-    keep = f"greatest(length({d}) - 10, 0)"
+    keep = f"if(m rlike '^[+]', if({d} rlike '^(?:{SHORT_CODES})', length(regexp_extract({d}, '^(?:{SHORT_CODES})', 0)), 3), 0)"
+    number = f"(cast(substr({d}, 1, 3) as bigint) - if({d} > '666', 2, 1)) * 989901 + (cast(substr({d}, 4, 2) as bigint) - 1) * 9999 + cast(substr({d}, 6) as bigint) - 1"
+    ssn = f"transform(array({permuted_number(number, 29634, 29997, 'k', key)}), v -> transform(array(v div 989901), a -> concat(lpad(a + if(a >= 665, 2, 1), 3, '0'), lpad(v div 9999 % 99 + 1, 2, '0'), lpad(v % 9999 + 1, 4, '0')))[0])[0]"
     phone = f"concat(substr({d}, 1, {keep}), {permuted(f'substr({d}, {keep} + 1)', 'k', key)})"
     octets = "transform(array(split(m, '[.]')), o -> cast(o[0] as bigint) * 16777216 + cast(o[1] as bigint) * 65536 + cast(o[2] as bigint) * 256 + cast(o[3] as bigint))[0]"
     ip = f"transform(array({permuted_number(octets, 65536, 65536, 'k', key)}), v -> concat_ws('.', v div 16777216, v div 65536 % 256, v div 256 % 256, v % 256))[0]"
@@ -150,45 +171,46 @@ def pseudonym(key: str = KEY) -> str:
         when 'iban' then {spaced(iban)}
         when 'ip' then {ip}
         when 'date' then {date}
-        when 'ssn' then {_refilled('m', permuted(d, 'k', key))}
+        when 'ssn' then {_refilled('m', ssn)}
         when 'phone' then {_refilled('m', phone)}
         when 'card' then {_card(key)}
         else m end"""
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, counts: bool = True) -> DataFrame:
-    """`docs` with the text rewritten; with `counts` also n_email, n_iban, n_ip, n_date, n_ssn, n_phone, n_card (long).
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool = True) -> DataFrame:
+    """`docs` with the text rewritten under `key`; with `counts` also n_email, n_iban, n_ip, n_date, n_ssn, n_phone, n_card (long).
 
     Narrow: each row is rewritten where it is read, nothing is shuffled.
     """
-    text = F.col(f"`{text_col}`")
-    # A cheap test first: a text without @ and without 7 digits cannot hold a value of any kind.
-    may = text.rlike("@|[0-9](?:[^0-9]{0,8}[0-9]){3}")
-    found = F.when(may, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    out = out.withColumn("_kinds", F.expr(f"transform(_found, m -> named_struct('m', m, 'k', {kind_of()}))"))
-    new = F.expr(f"transform(_kinds, f -> transform(array(f.m), m -> transform(array(f.k), k -> {pseudonym(key)})[0])[0])")
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    # A cheap test first: every value has an @, two digits side by side, or digits around a point.
+    may = F.col("text").rlike("@|[0-9]{2}|[0-9][.][0-9]")
+    none = F.array().cast("array<string>")
+    out = out.withColumn("found", F.coalesce(F.when(may, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))), none))
+    out = out.withColumn("kinds", F.expr(f"transform(found, m -> named_struct('m', m, 'k', {kind_of()}))"))
+    new = F.expr(f"transform(kinds, f -> transform(array(f.m), m -> transform(array(f.k), k -> {pseudonym(key)})[0])[0])")
     # Only rows with a match are split and joined again.
-    parts = F.split(text, ANY, -1)
+    parts = F.split("text", ANY, -1)
     joined = F.array_join(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     # Texts with a failed card: what stands between values is put together again, and its groups of digits are tried.
     failed = lambda f: f"{f}.k IS NULL AND {f}.m rlike '^[0-9](?:[ -]?[0-9]){{12,18}}$'"
-    out = out.withColumn("_parts", F.when(F.expr(f"exists(_kinds, f -> {failed('f')})"), parts))
-    more = "named_struct('done', s.done, 'now', concat(s.now, f.m, _parts[i]), 'hot', s.hot OR f.hot)"
-    next_ = "named_struct('done', concat(s.done, array(named_struct('t', s.now, 'hot', s.hot))), 'now', _parts[i], 'hot', false)"
-    step = f"transform(array(named_struct('m', _kinds[i - 1].m, 'k', _kinds[i - 1].k, 'hot', {failed('_kinds[i - 1]')})), f -> if(f.k IS NULL, {more}, {next_}))[0]"
-    start = "named_struct('done', cast(array() as array<struct<t: string, hot: boolean>>), 'now', _parts[0], 'hot', false)"
-    between = f"aggregate(sequence(1, size(_kinds)), {start}, (s, i) -> {step}, s -> concat(s.done, array(named_struct('t', s.now, 'hot', s.hot))))"
+    out = out.withColumn("parts", F.when(F.expr(f"exists(kinds, f -> {failed('f')})"), parts))
+    more = "named_struct('done', s.done, 'now', concat(s.now, f.m, parts[i]), 'hot', s.hot OR f.hot)"
+    next_ = "named_struct('done', concat(s.done, array(named_struct('t', s.now, 'hot', s.hot))), 'now', parts[i], 'hot', false)"
+    step = f"transform(array(named_struct('m', kinds[i - 1].m, 'k', kinds[i - 1].k, 'hot', {failed('kinds[i - 1]')})), f -> if(f.k IS NULL, {more}, {next_}))[0]"
+    start = "named_struct('done', cast(array() as array<struct<t: string, hot: boolean>>), 'now', parts[0], 'hot', false)"
+    between = f"aggregate(sequence(1, size(kinds)), {start}, (s, i) -> {step}, s -> concat(s.done, array(named_struct('t', s.now, 'hot', s.hot))))"
     tried = f"transform(regexp_extract_all(b.t, r'{GROUPS}', 0), y -> {_cards_inside('y', key)})"
     filled = f"transform(array({tried}), y -> named_struct('s', array_join(zip_with(split(b.t, r'{GROUPS}', -1), concat(y.s, array('')), (o, v) -> concat(o, v)), ''), 'n', aggregate(y.n, 0, (t, n) -> t + n)))[0]"
     between = f"transform({between}, b -> if(b.hot, {filled}, named_struct('s', b.t, 'n', 0)))"
-    out = out.withColumn("_between", F.when(F.col("_parts").isNotNull(), F.expr(between)))
-    valid = F.expr(f"transform(filter(_kinds, f -> f.k IS NOT NULL), f -> transform(array(f.m), m -> transform(array(f.k), k -> {pseudonym(key)})[0])[0])")
-    again = F.array_join(F.zip_with(F.col("_between.s"), F.concat(valid, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = F.exists("_kinds", lambda f: f["k"].isNotNull())
-    out = out.withColumn(text_col, F.when(F.col("_between").isNotNull(), again).when(changed, joined).otherwise(text))
-    for kind in KINDS if counts else ():
-        out = out.withColumn(f"n_{kind}", F.expr(f"cast(size(filter(_kinds, f -> f.k = '{kind}')) as bigint)"))
+    out = out.withColumn("between", F.when(F.col("parts").isNotNull(), F.expr(between)))
+    valid = F.expr(f"transform(filter(kinds, f -> f.k IS NOT NULL), f -> transform(array(f.m), m -> transform(array(f.k), k -> {pseudonym(key)})[0])[0])")
+    again = F.array_join(F.zip_with(F.col("between.s"), F.concat(valid, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    changed = F.exists("kinds", lambda f: f["k"].isNotNull())
+    text = F.when(F.col("between").isNotNull(), again).when(changed, joined).otherwise(F.col("text"))
+    many = lambda kind: F.expr(f"cast(size(filter(kinds, f -> f.k = '{kind}')) as bigint)")
+    made = {f"n_{kind}": many(kind) for kind in KINDS} if counts else {}
     if counts:
-        out = out.withColumn("n_card", F.expr("n_card + coalesce(aggregate(_between.n, 0, (t, n) -> t + n), 0)"))
-    return out.drop("_found", "_kinds", "_parts", "_between")
+        made["n_card"] += F.expr("coalesce(aggregate(between.n, 0, (t, n) -> t + n), 0)")
+    own = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in made]
+    return out.select(*own, *[made[c].alias(c) for c in made])
