@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import exact_dedup, language, packing, pii, simhash
+from tidemark.llm import entries, exact_dedup, language, packing, pii, simhash
 from tidemark.llm.common import materialise, release
 
 #: Language ID and packing are learned and greedy: no SQL says the same.
@@ -32,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Private values under pseudonyms; n_chars follows the text."""
-    out = pii.pseudonymise(docs, counts=False)
+    out = pii.pseudonymise(docs, entries.pii_key(spark), counts=False)
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))) if "n_chars" in out.columns else out
 
 
