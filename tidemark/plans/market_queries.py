@@ -105,11 +105,12 @@ def news_volume_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.news_volume(articles(spark, sf_dir)).select("article_id", "news_volume")
 
 
-_EARN = "earn AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 97 = 0)"
+#: Orders in part delivered stand for earnings days.
+_EARN = "earn AS (SELECT o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'P')"
 
 
 def _earnings(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").cast("timestamp").alias("earnings_ts"))
+    return table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderpriority").alias("ticker"), F.col("o_orderdate").cast("timestamp").alias("earnings_ts"))
 
 
 @query(f"""WITH {ORD}, {_EARN} SELECT a.article_id, CAST(datediff('day', CAST(a.ts AS DATE), e.d) AS INTEGER) AS days_to_earnings
@@ -169,14 +170,14 @@ def market_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text_side(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("article_id")).agg(F.max("l_quantity").alias("score"), F.max("l_shipdate").alias("timestamp_utc"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("article_id")).agg(F.max("l_quantity").alias("score"), F.max("l_shipdate").alias("timestamp_utc"))
 
 
 def _market_side(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_id"), F.lit("T").alias("ticker"), F.col("o_orderdate").alias("timestamp_utc"), F.col("o_totalprice").alias("price"))
 
 
-_SIDES = """l AS (SELECT l_orderkey AS article_id, max(l_quantity) AS score, max(l_shipdate) AS timestamp_utc FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1),
+_SIDES = """l AS (SELECT l_orderkey AS article_id, max(l_quantity) AS score, max(l_shipdate) AS timestamp_utc FROM lineitem GROUP BY 1),
   r AS (SELECT o_orderkey AS article_id, 'T' AS ticker, o_orderdate AS timestamp_utc, o_totalprice AS price FROM orders)"""
 
 
@@ -203,11 +204,11 @@ def unique_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(integrity.check_unique(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "article_id"), "lines"))
 
 
-@query("""WITH d AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 <> 7))
+@query("""WITH d AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'))
 SELECT 'every lines article_id exists in the corpus' AS name, count(*) = 0 AS passed, count(*) AS n_offenders, (SELECT coalesce(string_agg(k, ',' ORDER BY k), '') FROM (SELECT CAST(k AS VARCHAR) AS k FROM d ORDER BY 1 LIMIT 20)) AS offenders FROM d""")
 def subset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_id"))
-    corpus = table(spark, sf_dir, "orders").where("o_orderkey % 50 <> 7").select(F.col("o_orderkey").alias("article_id"))
+    corpus = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("article_id"))
     return _flat(integrity.check_subset(lines, corpus, "lines"))
 
 
@@ -275,14 +276,14 @@ def leakage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.leakage_summary(_tested(spark, sf_dir))
 
 
-_DAYS = f"""{ORD}, cnt AS (SELECT ticker, CAST(ts AS DATE) AS day, count(*) AS n FROM ord WHERE article_id % 5 = 0 GROUP BY 1, 2),
+_DAYS = f"""{ORD}, cnt AS (SELECT ticker, CAST(ts AS DATE) AS day, count(*) AS n FROM ord GROUP BY 1, 2),
   spine AS (SELECT ticker, CAST(unnest(range(CAST(min(day) AS TIMESTAMP), CAST(max(day) AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM cnt GROUP BY 1),
   days AS (SELECT s.ticker, s.day, coalesce(c.n, 0) AS articles FROM spine s LEFT JOIN cnt c USING (ticker, day)),
   months AS (SELECT ticker, CAST(date_trunc('month', day) AS DATE) AS month, CAST(sum(articles) AS BIGINT) AS articles, count(*) FILTER (articles > 0) AS active_days, count(*) AS days_in_month FROM days GROUP BY 1, 2)"""
 
 
 def _days(spark, sf_dir):
-    return coverage.daily_counts(order_articles(spark, sf_dir).where("article_id % 5 = 0"), by="ticker")
+    return coverage.daily_counts(order_articles(spark, sf_dir), by="ticker")
 
 
 @query(f"WITH {_DAYS} SELECT * FROM days", days=("day",))
@@ -317,10 +318,10 @@ def peak_months_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.shared_peaks(coverage.peak_months(coverage.monthly(_days(spark, sf_dir), "ticker"), "ticker"), "ticker")
 
 
-@query(f"""WITH {ORD}, s AS (SELECT article_id, ticker, ts, CASE WHEN floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY ticker ORDER BY ts))) / 86400000000) > 1 THEN 1 ELSE 0 END AS new FROM ord WHERE article_id % 5 = 0)
+@query(f"""WITH {ORD}, s AS (SELECT article_id, ticker, ts, CASE WHEN floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY ticker ORDER BY ts))) / 86400000000) > 1 THEN 1 ELSE 0 END AS new FROM ord)
 SELECT article_id, CAST(sum(new) OVER (PARTITION BY ticker ORDER BY ts RANGE UNBOUNDED PRECEDING) + 1 AS BIGINT) AS burst FROM s""")
 def burst_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coverage.bursts(order_articles(spark, sf_dir).where("article_id % 5 = 0"), "ticker", "timestamp_utc", 1).select("article_id", "burst")
+    return coverage.bursts(order_articles(spark, sf_dir), "ticker", "timestamp_utc", 1).select("article_id", "burst")
 
 
 _BAL = f"{BARS}, {_LABEL}, lb AS (SELECT bar_date, CAST(coalesce(sign(round(r, 9)), 0) AS INTEGER) AS label FROM lab), mb AS (SELECT CAST(date_trunc('month', bar_date) AS DATE) AS month, count(*) AS n, avg(CASE WHEN label = 1 THEN 1.0 ELSE 0.0 END) AS up FROM lb GROUP BY 1)"

@@ -53,23 +53,24 @@ def alias_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(spark, sf_dir).select("article_id", "sent_idx", T.names_any(F.col("text"), ALIASES).alias("mentions_target"), F.length("text").alias("char_len"))
 
 
-@query(f"SELECT doc_id AS article_id, regexp_matches(coalesce(left(text, 80), ''), '{RE2_ALIASES}') AS named FROM documents")
+@query(f"SELECT doc_id AS article_id, regexp_matches(coalesce(text, ''), '{RE2_ALIASES}') AS named FROM documents")
 def headline_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), T.names_any(F.substring("text", 1, 80), ALIASES).alias("named"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), T.names_any(F.col("text"), ALIASES).alias("named"))
 
 
-#: Price commentary does not occur in the synthetic prose, so each page number is made a headline.
-_HEAD = """head AS (SELECT page_id AS article_id, CASE CAST(page_id % 8 AS INTEGER) WHEN 0 THEN 'Shares of it rose 5% higher' WHEN 1 THEN 'Stock closed up 3.5 % on a rally' WHEN 2 THEN 'Here''s why investors cheered'
-  WHEN 3 THEN 'The shares quickly fell to a 52-week low' WHEN 4 THEN 'Top gainers in premarket trading' WHEN 5 THEN NULL WHEN 6 THEN 'Stocks are down and hit a new record low' ELSE 'A quiet day' END AS headline FROM pages)"""
+#: Price commentary does not occur in the synthetic prose: a phrase of it is put before, inside or behind each document's text.
+PHRASES = ["Shares of it rose 5% higher", "Stock closed up 3.5 % on a rally", "Here's why investors cheered", "The shares quickly fell to a 52-week low", "Top gainers in premarket trading", "", "Stocks are down and hit a new record low", "A quiet day"]
+_PHRASE = "CASE CAST(doc_id % 8 AS INTEGER) " + " ".join("WHEN {} THEN '{}'".format(i, p.replace("'", "''")) for i, p in enumerate(PHRASES)) + " END"
+_HEAD = f"""head AS (SELECT doc_id AS article_id, CASE doc_id % 3 WHEN 0 THEN p || ' ' || text WHEN 1 THEN left(text, CAST(length(text) // 2 AS INTEGER)) || ' ' || p || '. ' || substr(text, CAST(length(text) // 2 AS INTEGER) + 1) ELSE text || ' ' || p END AS headline, text, p
+    FROM (SELECT doc_id, text, {_PHRASE} AS p FROM documents))"""
 
 
 def _headlines(spark, sf_dir):
-    k = F.col("page_id") % 8
-    lines = ["Shares of it rose 5% higher", "Stock closed up 3.5 % on a rally", "Here's why investors cheered", "The shares quickly fell to a 52-week low", "Top gainers in premarket trading", None, "Stocks are down and hit a new record low", "A quiet day"]
-    out = F.lit(None).cast("string")
-    for i, line in enumerate(lines):
-        out = F.when(k == i, F.lit(line)).otherwise(out)
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("article_id"), out.alias("headline"))
+    d = table(spark, sf_dir, "documents")
+    p = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % 8 + 1).cast("int"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(p, F.lit(" "), "text")).when(F.col("doc_id") % 3 == 1, F.concat(F.substr("text", F.lit(1), half), F.lit(" "), p, F.lit(". "), F.substr("text", half + 1))).otherwise(F.concat("text", F.lit(" "), p))
+    return d.select(F.col("doc_id").alias("article_id"), text.alias("headline"), "text", p.alias("p"))
 
 
 _STRONG, _WEAK = _fired("coalesce(headline, '')", fixed.STRONG_PATTERNS), _fired("coalesce(headline, '')", fixed.WEAK_PATTERNS)
@@ -77,13 +78,18 @@ _STRONG, _WEAK = _fired("coalesce(headline, '')", fixed.STRONG_PATTERNS), _fired
 
 @query(f"WITH {_HEAD} SELECT article_id, CAST({_STRONG} AS DOUBLE) + 0.5 * ({_WEAK}) AS reactive_score, CAST(CAST({_STRONG} AS DOUBLE) + 0.5 * ({_WEAK}) >= 1 AS INTEGER) AS is_reactive FROM head")
 def reactive_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.tag_reactive(_headlines(spark, sf_dir).withColumnRenamed("headline", "text")).select("article_id", "reactive_score", "is_reactive")
+    return ops.tag_reactive(_headlines(spark, sf_dir).drop("text").withColumnRenamed("headline", "text")).select("article_id", "reactive_score", "is_reactive")
+
+
+def _weighed(column: str, weight: float) -> str:
+    text = f"coalesce({column}, '')"
+    return f"{weight} * CAST({_fired(text, fixed.STRONG_PATTERNS)} AS DOUBLE) + {weight / 2} * ({_fired(text, fixed.WEAK_PATTERNS)})"
 
 
-@query(f"WITH {_HEAD} SELECT article_id, round(1.7 * CAST({_STRONG} AS DOUBLE) + 0.85 * ({_WEAK}), 6) + 0.0 AS score FROM head")
+@query(f"WITH {_HEAD} SELECT article_id, round({_weighed('p', 1.0)} + {_weighed('text', 0.5)} + {_weighed('headline', 0.2)}, 6) + 0.0 AS score FROM head")
 def reactive_three_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = F.col("headline")
-    return _headlines(spark, sf_dir).select("article_id", r6(T.reactive_article_score(h, h, h)).alias("score"))
+    """The phrase as headline, the document as summary, both as body."""
+    return _headlines(spark, sf_dir).select("article_id", r6(T.reactive_article_score(F.col("p"), F.col("text"), F.col("headline"))).alias("score"))
 
 
 _HITS = ", ".join(f"CASE WHEN regexp_matches(h, '{_re2(p)}') THEN 'H{m} ' || regexp_extract(h, '{_re2(p)}') END" for m, ps in (("!", fixed.STRONG_PATTERNS), ("?", fixed.WEAK_PATTERNS)) for p in ps)
@@ -261,10 +267,10 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SENT} SELECT article_id, sent_idx, array_to_string(coalesce(list(text) OVER (PARTITION BY article_id ORDER BY sent_idx RANGE BETWEEN 4 PRECEDING AND 1 PRECEDING), []), '|') AS preceding,
-  array_to_string(coalesce(list(text) OVER (PARTITION BY article_id ORDER BY sent_idx RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING), []), '|') AS following FROM sent WHERE sent_idx % 5 <> 3""")
+  array_to_string(coalesce(list(text) OVER (PARTITION BY article_id ORDER BY sent_idx RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING), []), '|') AS following FROM sent""")
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sentences(spark, sf_dir).where("sent_idx % 5 <> 3")
-    heads = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.substring("text", 1, 40).alias("headline"))
+    s = sentences(spark, sf_dir)
+    heads = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.col("text").alias("headline"))
     out = ops.contexts(s, heads)
     return out.select("article_id", "sent_idx", F.array_join("preceding", "|").alias("preceding"), F.array_join("following", "|").alias("following"))
 
@@ -289,45 +295,46 @@ def stratum_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.stratum(p, [("five", F.col("article_id") % 5 == 0), ("three", F.col("article_id") % 3 == 0)], "rest")
 
 
-#: Mentions at a known place of a sentence, to put a name in.
-_MENTION = """m AS (SELECT page_id AS article_id, CASE CAST(page_id % 8 AS INTEGER) WHEN 0 THEN 'it' WHEN 1 THEN 'It' WHEN 2 THEN 'its' WHEN 3 THEN 'they''re' WHEN 4 THEN 'the carmaker' WHEN 5 THEN 'the CEO' WHEN 6 THEN 'a school bus' ELSE 'the company''s' END AS s FROM pages),
-  t AS (SELECT article_id, s, s || ' gained, and so on' AS text FROM m)"""
+#: A mention before each sentence of the documents, to put a name in.
+MENTIONS = ["it", "It", "its", "they're", "the carmaker", "the CEO", "a school bus", "the company's"]
+_SURFACE = "CASE CAST((article_id + sent_idx) % 8 AS INTEGER) " + " ".join("WHEN {} THEN '{}'".format(i, m.replace("'", "''")) for i, m in enumerate(MENTIONS)) + " END"
+_MENTION = f"""{SENT}, m AS (SELECT article_id, sent_idx, {_SURFACE} AS s, ' gained, and ' || text AS rest FROM sent), t AS (SELECT *, s || rest AS text FROM m)"""
 
 
 def _mentions(spark, sf_dir):
-    out = F.lit(None).cast("string")
-    for i, s in enumerate(["it", "It", "its", "they're", "the carmaker", "the CEO", "a school bus", "the company's"]):
-        out = F.when(F.col("page_id") % 8 == i, F.lit(s)).otherwise(out)
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("article_id"), out.alias("s")).withColumn("text", F.concat("s", F.lit(" gained, and so on")))
+    s = F.element_at(F.array(*map(F.lit, MENTIONS)), ((F.col("article_id") + F.col("sent_idx")) % 8 + 1).cast("int"))
+    return sentences(spark, sf_dir).select("article_id", "sent_idx", s.alias("s"), F.concat(s, F.lit(" gained, and "), "text").alias("text"))
 
 
-@query(f"""WITH {_MENTION} SELECT article_id, CASE WHEN s IN ('the CEO', 'a school bus') THEN text ELSE CASE s WHEN 'its' THEN 'Tesla''s' WHEN 'they''re' THEN 'Tesla are' WHEN 'the company''s' THEN 'Tesla''s' ELSE 'Tesla' END || ' gained, and so on' END AS new_text,
+@query(f"""WITH {_MENTION} SELECT article_id, sent_idx, CASE WHEN s IN ('the CEO', 'a school bus') THEN text ELSE CASE s WHEN 'its' THEN 'Tesla''s' WHEN 'they''re' THEN 'Tesla are' WHEN 'the company''s' THEN 'Tesla''s' ELSE 'Tesla' END || rest END AS new_text,
   CASE s WHEN 'the CEO' THEN 'person' WHEN 'a school bus' THEN 'not_mention' ELSE 'substituted' END AS outcome FROM t""")
 def substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mentions(spark, sf_dir)
     new, outcome = T.substitution(F.col("text"), F.lit(0), F.length("s"), F.lit("Tesla"))
-    return m.select("article_id", new.alias("new_text"), outcome.alias("outcome"))
+    return m.select("article_id", "sent_idx", new.alias("new_text"), outcome.alias("outcome"))
 
 
-@query(f"""WITH {_MENTION} SELECT article_id, CASE s WHEN 'It' THEN 'Tesla' WHEN 'its' THEN 'tesla''s' WHEN 'they''re' THEN 'tesla are' WHEN 'the company''s' THEN 'tesla''s' ELSE 'tesla' END AS inflected FROM t""")
+@query(f"""WITH {_MENTION} SELECT article_id, sent_idx, CASE s WHEN 'It' THEN 'Tesla' WHEN 'its' THEN 'tesla''s' WHEN 'they''re' THEN 'tesla are' WHEN 'the company''s' THEN 'tesla''s' ELSE 'tesla' END AS inflected FROM t""")
 def inflect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mentions(spark, sf_dir).select("article_id", T.inflected(F.lit("tesla"), F.col("s")).alias("inflected"))
+    return _mentions(spark, sf_dir).select("article_id", "sent_idx", T.inflected(F.lit("tesla"), F.col("s")).alias("inflected"))
 
 
-@query(f"""WITH {_MENTION} SELECT article_id, CASE WHEN s IN ('the CEO', 'a school bus') THEN text ELSE CASE s WHEN 'its' THEN 'Tesla''s' WHEN 'they''re' THEN 'Tesla are' WHEN 'the company''s' THEN 'Tesla''s' ELSE 'Tesla' END || ' gained, and so on' END AS absa_text, 'Tesla' AS absa_aspect FROM t""")
+@query(f"""WITH {_MENTION} SELECT article_id, sent_idx, CASE WHEN s IN ('the CEO', 'a school bus') THEN text ELSE CASE s WHEN 'its' THEN 'Tesla''s' WHEN 'they''re' THEN 'Tesla are' WHEN 'the company''s' THEN 'Tesla''s' ELSE 'Tesla' END || rest END AS absa_text, 'Tesla' AS absa_aspect FROM t""")
 def scoring_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _mentions(spark, sf_dir).withColumns({"mentions_target": F.lit(True), "mentions_ceo": F.lit(False), "resolved_by_coref": F.lit(True), "mention_char_start": F.lit(0), "mention_char_end": F.length("s")})
-    return ops.build_pairs(m, "TSLA").select("article_id", "absa_text", "absa_aspect")
+    return ops.build_pairs(m, "TSLA").select("article_id", "sent_idx", "absa_text", "absa_aspect")
 
 
-@query("""SELECT page_id AS article_id, CAST(i AS INTEGER) AS sent_idx, t AS text, true AS mentions_target, false AS mentions_ceo, i = 1 AS resolved_by_coref, false AS is_boilerplate, CAST(length(t) AS INTEGER) AS char_len,
+@query("""WITH d AS (SELECT doc_id AS article_id, 'Tesla opened plant ' || CAST(doc_id AS VARCHAR) || ' in the north of ' || coalesce(source, 'there') || '.' AS a, 'It hired ' || CAST(n_chars AS VARCHAR) || ' people in all of them.' AS b FROM documents)
+SELECT article_id, CAST(i AS INTEGER) AS sent_idx, CASE WHEN i = 0 THEN a ELSE b END AS text, true AS mentions_target, false AS mentions_ceo, i = 1 AS resolved_by_coref, false AS is_boilerplate, CAST(length(CASE WHEN i = 0 THEN a ELSE b END) AS INTEGER) AS char_len,
   CAST(CASE WHEN i = 1 THEN 0 END AS INTEGER) AS mention_char_start, CAST(CASE WHEN i = 1 THEN 2 END AS INTEGER) AS mention_char_end
-FROM pages, (VALUES (0, 'Tesla opened a plant in the north.'), (1, 'It hired many hundred people there.')) v(i, t)""")
+FROM d, (VALUES (0), (1)) v(i)""")
 def coref_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies with one cluster of a name and a pronoun: the pronoun's sentence becomes the target's."""
-    body = "Tesla opened a plant in the north. It hired many hundred people there."
-    d = table(spark, sf_dir, "pages").select(F.col("page_id").alias("article_id"), F.lit(body).alias("text"))
-    d = d.withColumn("clusters", F.expr("array(array(named_struct('s', 0, 'e', 5), named_struct('s', 35, 'e', 37)))"))
+    """Bodies made from each document's id, source and length, with one cluster of a name and a pronoun: the pronoun's sentence becomes the target's."""
+    first = F.concat(F.lit("Tesla opened plant "), F.col("doc_id").cast("string"), F.lit(" in the north of "), F.coalesce("source", F.lit("there")), F.lit("."))
+    second = F.concat(F.lit("It hired "), F.col("n_chars").cast("string"), F.lit(" people in all of them."))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("article_id"), F.concat(first, F.lit(" "), second).alias("text"), F.length(first).alias("n"))
+    d = d.withColumn("clusters", F.expr("array(array(named_struct('s', 0, 'e', 5), named_struct('s', n + 1, 'e', n + 3)))")).drop("n")
     return ops.tag_sentences(ops.located_sentences(d), "TSLA", ops.map_clusters(d, "TSLA"))
 
 
@@ -345,12 +352,12 @@ _LD = """ld AS (SELECT page_id, CASE CAST(page_id % 4 AS INTEGER) WHEN 0 THEN '2
 SELECT page_id, coalesce(provider, 'Paper') AS true_source, CASE WHEN cand IS NOT NULL AND abs(epoch(cand) - epoch(api)) <= CASE WHEN cross_host THEN 30 * 86400 ELSE 3 * 3600 + 3 * 3600 END THEN cand ELSE api END AS utc,
   CASE WHEN cand IS NOT NULL THEN 'corrected' ELSE 'api' END AS time_source FROM c""", times=("utc",))
 def jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that carry linked data made from their number, read back through the page parser."""
+    """The pages, each with linked data made from its number put before it, read back through the page parser."""
     k = F.col("page_id") % 4
     when = F.when(k == 0, F.lit("2024-01-05T10:00:00Z")).when(k == 1, F.lit("2024-01-05T10:00:00+02:00")).when(k == 2, F.lit("2024-01-05T10:00:00"))
     provider = F.when(F.col("page_id") % 2 == 0, F.struct(F.concat(F.lit("Wire "), F.col("page_id").cast("string")).alias("name")))
     obj = F.to_json(F.struct(when.alias("datePublished"), provider.alias("provider"), F.struct(F.lit("Paper").alias("name")).alias("publisher")))
-    made = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('<script type="application/ld+json">{bad</script><script type="application/ld+json">['), obj, F.lit("]</script><p>x</p>")).alias("html"))
+    made = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('<script type="application/ld+json">{bad</script><script type="application/ld+json">['), obj, F.lit("]</script>"), F.coalesce("html", F.lit(""))).alias("html"))
     p = pages.parsed(made)
     utc, source = pages.resolved_time(pages.to_utc(pages.published(F.col("ld_objects"), F.col("meta_time"))), F.lit("2024-01-05 06:00:00").cast("timestamp"), F.col("page_id") % 3 == 0)
     return p.select("page_id", pages.true_source(F.col("ld_objects"), F.lit("host")).alias("true_source"), utc.alias("utc"), source.alias("time_source"))
