@@ -21,6 +21,8 @@ SESSION_MEANS = {
     "fus_scorer_gap": "fus_scorer_gap", "fus_headline_gap": "fus_headline_gap", "fus_lead_gap": "fus_lead_gap",
 }
 SESSION_TEXT = ["n_articles", "n_sources", *SESSION_SUMS[:4], "article_length", "entity_share", "has_ceo_mention", "fus_sentiment_mean", "fus_sentiment_std", "fus_sentiment_loudest", *list(SESSION_MEANS)[3:]]
+#: Shares of a frequent text's rows that are joined apart.
+SPREAD = 32
 SESSION_FEATURES = [*SESSION_TEXT, *MARKET_SNAPSHOT, *[f"published_{s}_share" for s in fixed.SESSIONS]]
 
 
@@ -35,12 +37,17 @@ def _n(where: Column) -> Column:
 def flag_boilerplate(sentences: DataFrame, least: int = fixed.BOILERPLATE_ARTICLES) -> DataFrame:
     """Sets is_boilerplate where the exact text occurs in at least `least` articles.
 
-    Texts are counted by (text, article) first, so a text of very many rows folds before it is dealt out;
-    only the frequent texts, of which there are at most a `least`-th of the articles' texts, are joined back.
+    Texts go by their SHA-256, and are counted by (text, article) first, so a text of very many rows folds before
+    it is dealt out. Frequent texts, of which there are at most a `least`-th of the articles' texts, are joined back once
+    for each of SPREAD shares of the articles: a hot text's rows meet it in as many tasks, and as both sides of that
+    join are shuffled for it, adaptive execution splits what is still too large.
     """
-    pairs = sentences.select("text", "article_id").distinct()
-    often = pairs.groupBy("text").agg(F.count("article_id").alias("_n")).where(F.col("_n") >= least).select("text", F.lit(True).alias("_often"))
-    return sentences.drop("is_boilerplate").join(often, "text", "left").withColumn("is_boilerplate", F.coalesce("_often", F.lit(False))).drop("_often")
+    keyed = sentences.drop("is_boilerplate").withColumn("_sha", F.sha2("text", 256))
+    pairs = keyed.where("text is not null").select("_sha", "article_id").distinct()
+    often = pairs.groupBy("_sha").agg(F.count("article_id").alias("_n")).where(F.col("_n") >= least)
+    often = often.select("_sha", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_share"), F.lit(True).alias("_often"))
+    dealt = keyed.withColumn("_share", F.pmod(F.xxhash64("article_id"), F.lit(SPREAD).cast("long")).cast("int"))
+    return dealt.join(often, ["_sha", "_share"], "left").withColumn("is_boilerplate", F.coalesce("_often", F.lit(False))).drop("_often", "_sha", "_share")
 
 
 def fusion_aggregates(df: DataFrame) -> list[Column]:

@@ -63,14 +63,20 @@ def score_sentences(sentences: DataFrame, scorer: Scorer, cache: DataFrame | Non
     mask = S.needs_score(sentences) if only_relevant else F.lit(True)
     keyed = sentences.withColumn("_hash", F.when(mask, T.text_hash(F.col("text"))))
     found = score_texts(keyed.select(F.col("_hash"), F.col("text")), scorer, cache, "_hash", ["text"])
-    return keyed.join(found, "_hash", "left").drop("_hash")
+    return _joined_back(keyed, found)
+
+
+def _joined_back(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """Left join on _hash, which goes. Rows without one, often most of them, are dealt out by what they hold instead of meeting in one task."""
+    aside = F.concat(F.lit("-"), F.xxhash64(*[c for c, t in keyed.dtypes if not t.startswith("map")]).cast("string"))
+    return keyed.withColumn("_hash", F.coalesce("_hash", aside)).join(found, "_hash", "left").drop("_hash")
 
 
 def score_pairs(pairs: DataFrame, scorer: Scorer, cache: DataFrame | None = None, text: str = "absa_text", aspect: str = "absa_aspect") -> DataFrame:
     """Adds absa_pos, absa_neg, absa_neu for (text, aspect) pairs; an empty aspect has none."""
     keyed = pairs.withColumn("_hash", F.when(F.coalesce(F.col(aspect), F.lit("")) != "", T.pair_hash(F.col(text), F.col(aspect))))
     found = score_texts(keyed.select("_hash", text, aspect), scorer, cache, "_hash", [text, aspect])
-    return keyed.join(found.select("_hash", *[F.col(c).alias(f"absa_{c}") for c in ("pos", "neg", "neu")]), "_hash", "left").drop("_hash")
+    return _joined_back(keyed, found.select("_hash", *[F.col(c).alias(f"absa_{c}") for c in ("pos", "neg", "neu")]))
 
 
 def without_scorer(pairs: DataFrame) -> DataFrame:

@@ -120,8 +120,9 @@ def emptiness(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column).cast("double")
-    q = lambda p: F.percentile(x, F.lit(p))
-    return df.agg(F.count(x).cast("long").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max(x).alias("max"))
+    one = df.agg(F.count(x).cast("long").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = [F.col("q")[i].alias(f"q{int(p * 100)}") for i, p in enumerate((0.25, 0.5, 0.75))]
+    return one.join(F.broadcast(quantiles(df, column, [0.25, 0.5, 0.75])), F.lit(True)).select("count", "mean", "std", "min", *q, "max")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -155,19 +156,66 @@ def average_rank(x: str, *by: str) -> Column:
     return F.when(F.col(x).isNotNull(), F.rank().over(low) + (F.count("*").over(tied) - 1) / 2.0)
 
 
-def distributed_rank(df: DataFrame, x: str, out: str) -> DataFrame:
-    """`df` with the average rank of a column over all rows, without bringing them into one partition.
+#: A range of values that one task ranks holds about so many distinct ones, as long as there are no more ranges than shuffle partitions; values drawn for each bound.
+RANGE, DRAWN = 100_000, 20
+
+
+def _bounds(df: DataFrame, x: str) -> list:
+    """Values that part the distinct values of `x` into ranges of about equal size: every DRAWN-th of those that a hash draws."""
+    n = df.agg(F.approx_count_distinct(x)).first()[0]
+    parts = min(-(-n // RANGE), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if parts < 2:
+        return []
+    drawn = df.select(x).where(F.col(x).isNotNull() & (F.pmod(F.xxhash64(x), F.lit(max(1, n // (parts * DRAWN))).cast("long")) == 0)).distinct()
+    return [r[0] for r in drawn.orderBy(x).collect()][DRAWN::DRAWN]
+
+
+def _above(x: Column, bounds: list) -> Column:
+    """How many of the ordered `bounds` are below x, by halving."""
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        at = (low + high) // 2
+        return F.when(x > F.lit(bounds[at]), among(at + 1, high)).otherwise(among(low, at))
 
-    Distinct values are counted and range-partitioned; each partition's total, one row each, gives its offset.
+    return among(0, len(bounds))
+
+
+def counted_values(df: DataFrame, x: str) -> DataFrame:
+    """(value, n, upto): each distinct value that is not NULL, its rows, and the rows up to it, ordered by value.
+
+    Values are dealt to ranges by bounds that are literals of the plan, so a row's range does not depend on the run; each
+    range is summed on its own and the ranges' totals, one row each, give its offset.
     """
-    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("_x")).agg(F.count("*").alias("_n"))
-    parted = counts.repartitionByRange("_x").withColumn("_p", F.spark_partition_id())
-    totals = parted.groupBy("_p").agg(F.sum("_n").alias("_t")).withColumn("_off", F.coalesce(F.sum("_t").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    upto = F.sum("_n").over(W.partitionBy("_p").orderBy("_x"))
-    ranks = parted.withColumn("_c", upto).join(F.broadcast(totals.select("_p", "_off")), "_p").select("_x", (F.col("_off") + F.col("_c") - (F.col("_n") - 1) / 2.0).alias(out))
+    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("value")).agg(F.count("*").alias("n"))
+    parted = counts.withColumn("_p", _above(F.col("value"), _bounds(df, x)))
+    totals = parted.groupBy("_p").agg(F.sum("n").alias("_t")).withColumn("_off", F.coalesce(F.sum("_t").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    upto = F.sum("n").over(W.partitionBy("_p").orderBy("value"))
+    return parted.withColumn("_c", upto).join(F.broadcast(totals.select("_p", "_off")), "_p").select("value", "n", (F.col("_off") + F.col("_c")).alias("upto"))
+
+
+def distributed_rank(df: DataFrame, x: str, out: str) -> DataFrame:
+    """`df` with the average rank of a column over all rows, without bringing them into one partition."""
+    ranks = counted_values(df, x).select(F.col("value").alias("_x"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(out))
     return df.join(ranks, df[x] == ranks["_x"], "left").drop("_x")
 
 
+def quantiles(df: DataFrame, x: str, shares: list[float]) -> DataFrame:
+    """One row (q: array<double>): the exact quantiles of a column, between two values in proportion; NULLs without any value.
+
+    No task holds the column's distinct values: they are ranked in ranges, and each quantile picks at most two.
+    """
+    values = counted_values(df.select(F.col(x).cast("double").alias("_v")), "_v")
+    total = df.agg(F.count(x).alias("_m"))
+    at = lambda k: F.max(F.when((F.col("upto") - F.col("n") <= k) & (k < F.col("upto")), F.col("value")))
+    picked = []
+    for i, p in enumerate(shares):
+        place = (F.col("_m") - 1) * F.lit(p)
+        picked += [at(F.floor(place)).alias(f"a{i}"), at(F.ceil(place)).alias(f"b{i}"), F.max(place - F.floor(place)).alias(f"f{i}")]
+    one = values.join(F.broadcast(total), F.lit(True)).agg(*picked)
+    return one.select(F.array(*[F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"f{i}") for i in range(len(shares))]).alias("q"))
+
+
 def correlation(x: Column, y: Column) -> Column:
     """Aggregate: Pearson's correlation over rows with both values; NULL where either does not vary.
 
@@ -197,7 +245,7 @@ def bands(x: Column, edges: list[float], labels: list[str]) -> Column:
 
 def quantile_bins(df: DataFrame, x: str, q: int = 5, out: str = "bin") -> DataFrame:
     """`df` with the 0-based equal-frequency bin of a column, edges from exact percentiles, right-closed."""
-    cuts = df.agg(F.percentile(F.col(x).cast("double"), F.array(*[F.lit(i / q) for i in range(1, q)])).alias("_e"))
+    cuts = quantiles(df, x, [i / q for i in range(1, q)]).withColumnRenamed("q", "_e")
     with_cuts = df.join(F.broadcast(cuts), F.lit(True))
     return with_cuts.withColumn(out, F.when(F.col(x).isNotNull(), F.size(F.filter("_e", lambda e: F.col(x) > e)))).drop("_e")
 
@@ -216,7 +264,10 @@ def lead_lag(df: DataFrame, x: str, y: str, by: str, order: str, lags: range = r
 
 
 def source_access(results: DataFrame, by: str = "source") -> DataFrame:
-    """Reach of each source: n, reached, reach_rate, n_hosts, median_body, statuses (distinct, sorted)."""
+    """Reach of each source: n, reached, reach_rate, n_sources, median_body, statuses (distinct, sorted).
+
+    The exact median keeps a source's distinct body lengths, of which there are at most as many as the longest body has characters.
+    """
     return results.groupBy(by).agg(
         F.count("*").cast("long").alias("n"), F.count_if(F.col("status") == "200").cast("long").alias("reached"), F.avg((F.col("status") == "200").cast("double")).alias("reach_rate"),
         F.countDistinct("true_source").cast("long").alias("n_sources"), F.percentile(F.length("processed_body").cast("double"), F.lit(0.5)).alias("median_body"),

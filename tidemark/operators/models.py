@@ -51,7 +51,7 @@ def predict(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFra
 
 def walk_forward(df: DataFrame, features: list[str], label: str, group: str, keys: list[str], n_splits: int = 5, factory: Callable = boosted_trees) -> DataFrame:
     """keys, fold, label, pred_direction, proba_up, majority of every tested row, over folds that divide no group."""
-    chunked = evaluate.assign_chunks(df.where(F.col(label).isNotNull() & (F.col(label) != 0)), group, n_splits).persist()
+    chunked = evaluate.assign_chunks(df.where(F.col(label).isNotNull() & (F.col(label) != 0)), group, n_splits)
     last = chunked.agg(F.max("chunk")).first()[0] or 0
     out = None
     for k in range(1, last + 1):
@@ -113,6 +113,33 @@ def search(df: DataFrame, features: list[str], label: str, group: str, keys: lis
     return sorted(out, key=lambda x: (-x[0], json.dumps(x[1], sort_keys=True)))
 
 
+def local_search(df: DataFrame, features: list[str], label: str, group: str, keys: list[str], space: dict[str, list], start: dict, seen: list[tuple[float, dict]] = (), most: int = 50, n_splits: int = 3, factory: Callable = boosted_trees) -> list[tuple[float, dict]]:
+    """(mean accuracy, parameters), best first: from `start`, the best neighbour on the grid as long as one is better, at most `most` points.
+
+    `seen` are results of search() on the same rows, which are not fitted again.
+    """
+    known = {json.dumps(p, sort_keys=True): (score, p) for score, p in seen}
+    fitted = 0
+
+    def score(params: dict) -> float:
+        nonlocal fitted
+        mark = json.dumps(params, sort_keys=True)
+        if mark not in known:
+            fitted += 1
+            found = walk_forward(df, features, label, group, keys, n_splits, lambda: factory(**params))
+            known[mark] = (found.agg(F.avg((F.col(label) == F.col("pred_direction")).cast("double"))).first()[0], params)
+        return known[mark][0]
+
+    best = (score(start), start)
+    while fitted < most:
+        around = [(score(p), p) for p in neighbours(best[1], space) if fitted < most]
+        better = max(around, key=lambda x: (x[0], json.dumps(x[1], sort_keys=True)), default=best)
+        if better[0] <= best[0]:
+            break
+        best = better
+    return sorted(known.values(), key=lambda x: (-x[0], json.dumps(x[1], sort_keys=True)))
+
+
 def neighbours(params: dict, space: dict[str, list]) -> list[dict]:
     """Points one grid step from `params`, without repeats."""
     out = []

@@ -108,7 +108,7 @@ def process_chunks(chunked: DataFrame, path: str, step) -> DataFrame:
     todo = chunked
     if exists(spark, path):
         done = spark.read.parquet(path).select("chunk").distinct()
-        todo = chunked.join(F.broadcast(done), "chunk", "left_anti")
+        todo = chunked.join(done, "chunk", "left_anti")
     step(todo).write.mode("append").partitionBy("chunk").parquet(path)
     return spark.read.parquet(path)
 
