@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,9 +70,18 @@ def test_windows(spark):
             raise OSError
         return [{"id": 1}]
 
-    assert windows.pull(flaky, windows.DayWindow("T", None, None)) == [{"id": 1}]
+    window = windows.DayWindow("T", None, None)
+    assert windows.pull(flaky, window) == ([{"id": 1}], None)
+
+    def refused(ticker, first, last):
+        calls.append(1)
+        raise windows.FeedError("no")
+
     calls.clear()
-    assert windows.pull(lambda *a: calls.append(1) or 1 / 0, windows.DayWindow("T", None, None)) == [] and len(calls) == 3
+    assert windows.pull(refused, window) == ([], "FeedError: no") and len(calls) == 3
+    with pytest.raises(ZeroDivisionError):
+        windows.pull(lambda *a: 1 / 0, window)
+    assert windows.pull(lambda *a: [], window, least=1) == ([], "0 rows")
 
     def feed(ticker, first, last):
         n = 100 if first.day == 1 else 2
@@ -81,6 +91,29 @@ def test_windows(spark):
     assert got.rdd.getNumPartitions() == 2 and got.count() == 102 and got.where("capped").count() == 100
 
 
+def test_rate_holds_over_partitions(spark):
+    began = time.monotonic()
+    read = windows.read_windows(spark, lambda t, a, b: [{"id": 1, "datetime": 0}], ["A"], "2025-01-01", "2025-01-10", 1, rate=2.0)
+    assert windows.rows_of(read).count() == 10
+    assert 4.4 <= time.monotonic() - began < 30
+
+
+def test_prices_and_earnings(spark):
+    def bars(symbol, first, last):
+        return [] if symbol == "NONE" else [{"date": first, "high": 2, "low": 1.0, "close": 1.5, "volume": None}, {"date": last, "close": 1}]
+
+    read = windows.read_prices(spark, bars, ["TSLA", "NONE", "TSLA"], "2025-03-01", "2025-03-31", pad=10)
+    assert sorted((r.symbol, str(r.bar_date), r.close, r.volume) for r in windows.rows_of(read).collect()) == [("TSLA", "2025-02-19", 1.5, None), ("TSLA", "2025-04-10", 1.0, None)]
+    assert {(r.window_ticker, r.window_rows, r.window_error) for r in windows.report_of(read).collect()} == {("TSLA", 2, None), ("NONE", 0, "0 rows")}
+    days = windows.read_earnings(spark, lambda t, a, b: [{"datetime": 1_740_000_000}, {"datetime": 1_700_000_000}], ["TSLA"], "2025-01-01", "2025-12-31")
+    assert [str(r.earnings_ts.date()) for r in windows.rows_of(days).collect()] == ["2025-02-19"]
+
+
+def test_exchange_calendar_keeps_summer_time(spark):
+    days = pit.exchange_calendar(spark, "2025-03-07", "2025-03-11", holidays=["2025-03-11"], early={"2025-03-10": "13:00:00"})
+    assert [(str(r.market_open), str(r.market_close)) for r in days.select(*[F.date_format(c, "MM-dd HH:mm").alias(c) for c in days.columns]).collect()] == [("03-07 14:30", "03-07 21:00"), ("03-10 13:30", "03-10 17:00")]
+
+
 PAGE = """<html><head><meta property="article:published_time" content="2025-01-02T03:04:05Z"><script type="application/ld+json">{broken</script>
 <script type="application/ld+json">[{"a": 1}, {"datePublished": "2025-01-01T10:00:00+02:00", "provider": "Wire", "publisher": {"name": "Paper"}}]</script></head>
 <body><nav><p>menu</p></nav><p>One  <b>two</b></p><script>var t = "</p>"</script><figure><p>caption</p></figure><p>three<p>four &amp; five</body></html>"""

@@ -18,6 +18,23 @@ def weekday_calendar(spark: SparkSession, first: str, last: str, opens: str = "1
     return days.select(at(opens).alias("market_open"), at(closes).alias("market_close"))
 
 
+def exchange_calendar(spark: SparkSession, first: str, last: str, zone: str = "America/New_York", opens: str = "09:30:00", closes: str = "16:00:00", holidays: list[str] | DataFrame = (), early: dict[str, str] | None = None) -> DataFrame:
+    """market_open and market_close in UTC of every weekday from `first` to `last` by the clock of `zone`, summer time included.
+
+    `holidays` are days without a session; `early` maps days to the clock time at which they close.
+    """
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("date")).where(F.weekday("date") < 5)
+    if isinstance(holidays, DataFrame):
+        days = days.join(F.broadcast(holidays.select("date")), "date", "left_anti")
+    elif holidays:
+        days = days.where(~F.col("date").isin([F.lit(d).cast("date") for d in holidays]))
+    close = F.lit(closes)
+    for day, clock in sorted((early or {}).items()):
+        close = F.when(F.col("date") == F.lit(day).cast("date"), clock).otherwise(close)
+    at = lambda clock: F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), clock)), zone)
+    return days.select(at(F.lit(opens)).alias("market_open"), at(close).alias("market_close"))
+
+
 def align_next_open(articles: DataFrame, schedule: DataFrame, ts: str = "timestamp_utc", out: str = "session_open", strict: bool = True) -> DataFrame:
     """Adds the first market open strictly after each timestamp.
 

@@ -276,14 +276,24 @@ def model_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _feed(ticker, first, last):
     days = (last - first).days + 1
+    if ticker == "T1" and first.day == 15:
+        raise OSError("refused")
     return [{"id": first.toordinal() * 10 + d, "headline": f"{ticker} {d}", "datetime": 86_400 * (first.toordinal() + d - 719_163)} for d in range(days)]
 
 
-@query("SELECT count(*) AS n, count(DISTINCT t) AS tickers FROM range(31) r(d), (VALUES ('T0'), ('T1')) v(t)")
+_WINDOWS = "w AS (SELECT t, DATE '2024-01-01' + 7 * CAST(k AS INTEGER) AS f, least(7, 31 - 7 * CAST(k AS INTEGER)) AS n FROM range(5) r(k), (VALUES ('T0'), ('T1')) v(t))"
+
+
+@query(f"WITH {_WINDOWS} SELECT (datediff('day', DATE '1970-01-01', f) + 719163) * 10 + d AS article_id, t || ' ' || CAST(d AS VARCHAR) AS headline, f + CAST(d AS INTEGER) AS day, t AS ticker FROM w, range(7) x(d) WHERE d < n AND NOT (t = 'T1' AND f = DATE '2024-01-15')", days=("day",))
 def windowed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A feed read by windows of seven days; its rows do not come from the tables."""
+    """A feed read by windows of seven days, one of which always fails; its rows do not come from the tables."""
     out = windows.read_articles(spark, _feed, ["T0", "T1"], "2024-01-01", "2024-01-31", 7)
-    return out.agg(F.count("*").alias("n"), F.countDistinct("ticker").alias("tickers"))
+    return out.select("article_id", "headline", F.to_date("timestamp_utc").alias("day"), "ticker")
+
+
+@query(f"WITH {_WINDOWS} SELECT t AS window_ticker, f AS window_first, CAST(CASE WHEN t = 'T1' AND f = DATE '2024-01-15' THEN 0 ELSE n END AS BIGINT) AS window_rows, CASE WHEN t = 'T1' AND f = DATE '2024-01-15' THEN 'OSError: refused' END AS window_error FROM w", days=("window_first",))
+def window_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.report_of(windows.read_windows(spark, _feed, ["T0", "T1"], "2024-01-01", "2024-01-31", 7)).drop("window_last")
 
 
 @query("SELECT o_orderkey AS article_id, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 500) AS BIGINT) AS chunk FROM orders")

@@ -55,9 +55,10 @@ def ntz(c: str) -> Column:
 
 
 def calendar(spark: SparkSession) -> DataFrame:
-    return pit.weekday_calendar(spark, FIRST_DAY, LAST_DAY)
+    return pit.exchange_calendar(spark, FIRST_DAY, LAST_DAY)
 
 
+#: New York keeps winter time on these days.
 CAL = f"""cal AS (SELECT CAST(d AS DATE) AS d, d + INTERVAL 870 MINUTE AS op, d + INTERVAL 1260 MINUTE AS cl
   FROM range(TIMESTAMP '{FIRST_DAY}', TIMESTAMP '{LAST_DAY}' + INTERVAL 1 DAY, INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6)"""
 

@@ -48,9 +48,18 @@ def session_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pit.session_bucket(articles(spark, sf_dir), calendar(spark)).select("article_id", "session")
 
 
-@query(f"WITH {CAL} SELECT op AS market_open, cl AS market_close FROM cal", times=("market_open", "market_close"))
+#: Days of 2024 without a session, and with an early close.
+HOLIDAYS = ["2024-01-01", "2024-01-15", "2024-02-19", "2024-03-29", "2024-05-27", "2024-06-19", "2024-07-04", "2024-09-02", "2024-11-28", "2024-12-25"]
+EARLY = {"2024-07-03": "13:00:00", "2024-11-29": "13:00:00", "2024-12-24": "13:00:00"}
+
+
+@query(f"""WITH d AS (SELECT CAST(d AS DATE) AS d FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2025-01-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6 AND CAST(d AS DATE) NOT IN ({', '.join(f"DATE '{h}'" for h in HOLIDAYS)})),
+  z AS (SELECT d, CASE WHEN d >= DATE '2024-03-10' AND d < DATE '2024-11-03' THEN 240 ELSE 300 END AS ahead FROM d)
+SELECT d + to_minutes(570 + ahead) AS market_open, d + to_minutes(CASE WHEN d IN ({', '.join(f"DATE '{e}'" for e in EARLY)}) THEN 780 ELSE 960 END + ahead) AS market_close FROM z""", times=("market_open", "market_close"))
 def trading_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar(spark).select(ntz("market_open").alias("market_open"), ntz("market_close").alias("market_close"))
+    """New York's sessions of 2024: both changes of summer time, holidays, early closes."""
+    days = pit.exchange_calendar(spark, "2024-01-01", "2024-12-31", holidays=HOLIDAYS, early=EARLY)
+    return days.select(ntz("market_open").alias("market_open"), ntz("market_close").alias("market_close"))
 
 
 def _features(spark, sf_dir, *columns):
@@ -141,12 +150,15 @@ def abnormal_return_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _market(spark, sf_dir):
     a = order_articles(spark, sf_dir)
-    span = pit.weekday_calendar(spark, "1991-12-01", "2002-01-31")
+    span = pit.exchange_calendar(spark, "1991-12-01", "2002-01-31")
     return market.build_market_features(a, bars(spark, sf_dir), benchmark(spark, sf_dir), span, _earnings(spark, sf_dir))
 
 
 _MARKET_SQL = f"""{BARS}, {ORD}, {_EARN}, {_RET}, {_BETA}, {_LABEL},
-  cal AS (SELECT CAST(d AS DATE) AS d, d + INTERVAL 870 MINUTE AS op, d + INTERVAL 1260 MINUTE AS cl FROM range(TIMESTAMP '1991-12-01', TIMESTAMP '2002-02-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6),
+  -- Summer time of those years: from the first Sunday of April to the last of October.
+  cal AS (SELECT CAST(d AS DATE) AS d, d + to_minutes(570 + ahead) AS op, d + to_minutes(960 + ahead) AS cl
+    FROM (SELECT d, CASE WHEN d >= a + to_days(CAST((7 - isodow(a)) % 7 AS INTEGER)) AND d < o - to_days(CAST(isodow(o) % 7 AS INTEGER)) THEN 240 ELSE 300 END AS ahead
+      FROM (SELECT d, make_date(year(d), 4, 1) AS a, make_date(year(d), 10, 31) AS o FROM range(TIMESTAMP '1991-12-01', TIMESTAMP '2002-02-01', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6))),
   f AS (SELECT symbol, bar_date, close / lag(close, 1) OVER w - 1 AS m1, close / lag(close, 5) OVER w - 1 AS m5, close / lag(close, 20) OVER w - 1 AS m20,
     stddev_samp(ret) OVER (w ROWS 18 PRECEDING) AS vol, volume / nullif(median(volume) OVER (w ROWS 19 PRECEDING), 0) AS rv, (high - low) / nullif(close, 0) AS dr FROM rets {_BAR_W}),
   e AS (SELECT DISTINCT ticker, d FROM earn),
