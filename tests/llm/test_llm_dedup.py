@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from hypothesis import given, settings, strategies as st
 
 from tidemark.llm import embedding_dedup, exact_dedup, simhash
@@ -46,7 +47,7 @@ CASES = [
 
 
 @pytest.mark.parametrize("rows", CASES)
-@pytest.mark.parametrize("bits", [None, 1 << 16])
+@pytest.mark.parametrize("bits", [exact_dedup.MOST_BITS, exact_dedup.BLOCK // 8])
 def test_exact_dedup_matches_brute_force(spark, rows, bits):
     found = exact_dedup.exact_dedup(docs(spark, rows), most_bits=bits).collect()
     assert sorted(map(tuple, found), key=repr) == expected_exact(rows)
@@ -60,6 +61,28 @@ def test_keep_one_of_each_keeps_all_columns(spark, rows):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i is None, i or 0, t or "") for i, t in dict(((lowered(t), i), (i, t)) for i, t in rows if any(e[0] == i and e[3] and e[4] == hashlib.sha256(lowered(t).encode()).hexdigest() for e in expected_exact(rows))).values())
 
 
+def test_slices_of_the_filter_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BITS_EACH", 3 * exact_dedup.BLOCK)
+    rows = [(i, f"text {i % 70}" if i % 2 else f"single {i}") for i in range(400)]
+    df = docs(spark, rows)
+    keys = exact_dedup.keyed(df, "doc_id", "text")
+    bloom = exact_dedup.Filter(keys, exact_dedup.BLOCK * 30)
+    assert bloom.slices == 4 and bloom.blocks % bloom.slices == 0
+    tested = bloom.tested(keys.withColumn("slice", bloom.slice(exact_dedup._hash(F.col("sha"))))).collect()
+    assert len(tested) == 400 and all(r.maybe for r in tested if r.doc_id % 2) and sum(r.maybe for r in tested) < 240
+    assert sorted(map(tuple, exact_dedup.exact_dedup(df, most_bits=exact_dedup.BLOCK * 30).collect()), key=repr) == expected_exact(rows)
+    kept = exact_dedup.keep_one_of_each(df, most_bits=exact_dedup.BLOCK * 30)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(e[0] for e in expected_exact(rows) if e[3])
+
+
+def test_single_rows_pass_the_filter(spark):
+    """Of rows that stand alone nearly all pass straight through, however few repeated ones there are."""
+    rows = [(i, f"alone {i}") for i in range(3000)] + [(9000 + i, f"twice {i // 2}") for i in range(600)]
+    keys = exact_dedup.keyed(docs(spark, rows), "doc_id", "text")
+    tested = exact_dedup.Filter(keys, exact_dedup.MOST_BITS).tested(keys).collect()
+    assert all(r.maybe for r in tested if r.doc_id >= 9000) and sum(r.maybe for r in tested if r.doc_id < 9000) < 60
+
+
 def slow_fingerprint(text):
     words = [w for w in __import__("re").split("[\x20\x09-\x0d]+", lowered(text)) if w]
     if not words:
