@@ -2,8 +2,8 @@
 
 Each URL is expanded into host-suffix + path-prefix expressions; these are equi-joined with the rules
 on the first 32 bits of their SHA-256, confirmed by the full digest, and the longest rule wins (of
-equal ones the longer host, then block before allow). Suffixes are made for the label counts and
-prefixes for the lengths that occur among the rules, so a URL of any shape gives a bounded number.
+equal ones the longer host, then block before allow). Only those pairs of suffix labels and prefix
+length are made that occur among the rules, so a URL of any shape gives a bounded number.
 
 Edges: the host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; the
 path follows up to `?`, `#` or the end. A null URL or one without `://` has empty host and path and
@@ -19,13 +19,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidemark.llm.common import lookup, materialise
 from tidemark.llm.exact_dedup import LOWER, UPPER
 
-#: Rules up to this number (about 20 MB) are broadcast; more are joined by shuffling distinct expressions.
-MOST_BROADCAST = 100_000
+#: Rules of up to so many bytes are broadcast; more are joined by shuffling distinct expressions.
+MOST_BROADCAST = 20_000_000
+#: Bytes that a rule takes beside its text.
+RULE_BYTES = 200
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    """Rules (host, path, verdict) as literals of the plan."""
+    kind = "struct<host: string, path: string, verdict: string>"
+    rows = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("host", "path", "verdict"), rule)]) for rule in rules]).cast(f"array<{kind}>")
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def host_of(url: Column) -> Column:
@@ -45,19 +50,20 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     """One row per page: page_id, host, path, rule, verdict."""
     rules = rules.dropna(subset=["host", "path", "verdict"]).select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rules = rules.select(F.concat("host", "path").alias("rule"), "host", "path", "verdict")
-    shape = rules.agg(F.collect_set(F.size(F.split("host", r"\."))), F.collect_set(F.length("path")), F.count("*")).first()
-    depths, lengths, n_rules = sorted(shape[0]), sorted(shape[1]), shape[2]
+    size = rules.agg(F.coalesce(F.sum(2 * F.octet_length("rule") + RULE_BYTES), F.lit(0))).first()[0]
+    shapes = sorted(map(tuple, rules.select(F.size(F.split("host", r"\.")).alias("d"), F.length("path").alias("n")).distinct().collect()))
     keyed = rules.select(F.sha2("rule", 256).alias("full"), "rule", F.struct(F.length("rule").alias("len"), F.length("host").alias("host_len"), F.col("verdict"), F.col("rule")).alias("rank"))
     keyed = keyed.withColumn("short", _short("full"))
 
     urls = materialise(pages.groupBy(F.col(url_col).alias("url")).agg(F.count("*").alias("n")), "urls")
     total = urls.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     labels = F.size(F.split("host", r"\."))
-    made = [F.when((labels >= d) & (F.length("path") >= n), F.concat(F.substring_index("host", ".", -d), F.substring("path", 1, n))) for d in depths for n in lengths]
-    made = F.filter(F.array(*made), lambda x: x.isNotNull()) if made else F.array().cast("array<string>")
+    pairs = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(n).alias("n")) for d, n in shapes]).cast("array<struct<d: int, n: int>>")
+    fit = F.filter(pairs, lambda p: (labels >= p["d"]) & (F.length("path") >= p["n"]))
+    made = F.transform(fit, lambda p: F.concat(F.call_function("substring_index", F.col("host"), F.lit("."), -p["d"]), F.substr("path", F.lit(1), p["n"])))
     parts = urls.where("instr(url, '://') > 0").select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     exprs = parts.select("url", F.explode(made).alias("e")).select("url", F.sha2("e", 256).alias("full")).withColumn("short", _short("full"))
-    if n_rules <= MOST_BROADCAST:
+    if size <= MOST_BROADCAST:
         hits = exprs.alias("e").join(F.broadcast(keyed).alias("r"), F.col("e.short") == F.col("r.short")).where("e.full = r.full").select("e.url", "r.rank")
     else:
         seen = materialise(exprs.groupBy("short", "full").agg(F.count("*").alias("m")), "exprs")
