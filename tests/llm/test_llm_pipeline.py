@@ -1,11 +1,13 @@
 import re
 
 import duckdb
+import pytest
 import xxhash
 from test_llm_queries import lowered, plain_pseudonyms
 
 import __spark_entry__
 import corpus_pipeline
+from tidemark.llm import common
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,6 +32,22 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
 
 
+def test_shared_folder_is_asked_for_on_clusters():
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Session:
+        conf = {}
+        sparkContext = Context()
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        Context.master = master
+        with pytest.raises(ValueError):
+            common.shared_folder(Session())
+
+
 def test_pipeline_on_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
@@ -58,4 +76,4 @@ def test_run_matches_brute_force(spark):
     total = {}
     for r in corpus_pipeline.run(spark, SF).collect():
         total[r.doc_id] = total.get(r.doc_id, 0) + r.span_end - r.span_start
-    assert total == {i: len(t.encode()) + 1 for i, t in docs.items()}
+    assert total == {i: len(t) + 1 for i, t in docs.items()}

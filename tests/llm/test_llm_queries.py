@@ -45,7 +45,7 @@ def test_op2(spark, docs):
     for r in got:
         bins.setdefault(r.bin_id, []).append(r)
         total[r.doc_id] = total.get(r.doc_id, 0) + r.span_end - r.span_start
-    assert total == {i: len(t.encode()) + 1 for i, (t, _, _) in docs.items()}
+    assert total == {i: len(t) + 1 for i, (t, _, _) in docs.items()}
     for members in bins.values():
         members.sort(key=lambda r: r.bin_offset)
         ends = [0] + [r.bin_offset + r.span_end - r.span_start for r in members]

@@ -119,6 +119,14 @@ def test_packing_frame(spark):
         names = [source[d] for _, _, d in spans if source[d]]
         assert all(names.count(s) <= 2 for s in set(names))
     assert packing.best_fit(df.limit(0)).count() == 0
+    unique = df.where("doc_id is not null and doc_id <> 7")
+    plan = packing.best_fit(unique, capacity=128)
+    written = packing.sequences(unique, plan).collect()
+    whole = {}
+    for r in sorted(plan.collect(), key=lambda r: r.span_start):
+        sequence = next(w.sequence for w in written if w.bin_id == r.bin_id)
+        whole[r.doc_id] = whole.get(r.doc_id, "") + sequence[r.bin_offset : r.bin_offset + r.span_end - r.span_start]
+    assert all(len(w.sequence) <= 128 for w in written) and whole == {i: (t or "") + "\x03" for i, t, _, _ in rows if i not in (None, 7)}
 
 
 PHRASES = {"en": "the and of that with this for are was", "de": "der und die das mit von ist auf ein", "fr": "le et les des que pour dans est une"}
@@ -332,6 +340,19 @@ def brute_judge(url):
     return host, path, best and best[0], best[1] if best else "allow"
 
 
+def test_rules_are_literals_of_the_plan(spark):
+    plan = url_filter.rules_table(spark)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan and url_filter.rules_table(spark, []).count() == 0
+
+
+def test_only_shapes_that_occur_are_made(spark):
+    rules = [("com", "/a/", "block"), ("x.y.example.org", "/" + "p" * 40, "allow")]
+    urls = ["http://b.com/a/c", "http://x.y.example.org/" + "p" * 50, "http://example.org/" + "p" * 50, "http://com/a"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.rule for r in url_filter.judge(df, url_filter.rules_table(spark, rules)).collect()}
+    assert got == {0: "com/a/", 1: "x.y.example.org/" + "p" * 40, 2: None, 3: None}
+
+
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_url_filter_matches_brute_force(spark, monkeypatch, limit):
     monkeypatch.setattr(url_filter, "MOST_BROADCAST", limit)

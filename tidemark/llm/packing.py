@@ -6,13 +6,13 @@ bins are kept in the order of their residual; for a document the search starts a
 that fits and goes on to its successors until the tightest compatible bin is found, else a bin is opened.
 Documents come longest first (ties by id, then start), so the result is that of best-fit decreasing.
 
-Documents are dealt to shards of about SHARD_ROWS by a hash of id and span, so hot sources and clusters
-are spread evenly, every shard fits in memory whatever the table's size, and shards pack independently.
-Texts are never shuffled, only their lengths and keys.
+Spans are dealt to shards of about SHARD_ROWS by a hash of id and span, so hot sources and clusters are
+spread evenly, every shard fits in memory whatever the table's size, and shards pack independently; the tightest
+bin is that of the shard. Texts are never shuffled to plan, only their lengths and keys.
 
-Lengths are UTF-8 bytes plus SEPARATOR for the end mark, or any integer column. A document longer than
-the capacity is cut into consecutive spans of full capacity, each a bin of its own, and a rest that is
-packed; nothing is dropped or cut off.
+Lengths are characters plus SEPARATOR for the end mark, or any integer column, such as the number of tokens
+that sentencepiece_scan gives. A document longer than the capacity is cut into consecutive spans of full capacity,
+each a bin of its own, and a rest that is packed; nothing is dropped or cut off. sequences() writes the bins out.
 
 Edges: a null text counts as empty, with length SEPARATOR. A null source or cluster conflicts with
 nothing. Repeated rows and null ids are packed like any others; equal texts are one cluster, so they
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemark.llm.common import materialise
 from tidemark.llm.exact_dedup import normalised
 from tidemark.session import ship
 
@@ -107,14 +108,28 @@ def best_fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     `cluster` defaults to a hash of the text after lower-casing A-Z: exact copies.
     """
     ship(docs.sparkSession)
-    length = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + SEPARATOR if length is None else length
+    length = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) + SEPARATOR if length is None else length
     cluster = F.xxhash64(normalised(F.col(text_col))) if cluster is None else cluster
-    shards = max(1, -(-docs.count() // SHARD_ROWS))
     items = docs.select(F.col(id_col).cast("long").alias("doc_id"), length.cast("long").alias("length"), F.col(source_col).cast("string").alias("source"), cluster.cast("long").alias("cluster"))
+    items = materialise(items, "lengths")
     last = (F.greatest("length", F.lit(1)) - 1).cast("long")
+    spans = items.agg(F.coalesce(F.sum(F.floor(last / capacity) + 1), F.lit(0))).first()[0]
+    shards = max(1, -(-spans // SHARD_ROWS))
     items = items.withColumn("span_start", F.explode(F.sequence(F.lit(0).cast("long"), last - last % capacity, F.lit(capacity).cast("long"))))
     items = items.withColumn("span_end", F.least(F.col("span_start") + capacity, "length"))
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "span_start", "cluster"), F.lit(shards).cast("long")))
     dealt = items.select("shard", "doc_id", "span_start", "span_end", "source", "cluster").repartition("shard")
     ordered = dealt.sortWithinPartitions("shard", (F.col("span_start") - F.col("span_end")), "doc_id", "span_start", "cluster")
     return ordered.mapInArrow(_Packing(capacity, per_source), "doc_id long, span_start long, span_end long, bin_id long, bin_offset long")
+
+
+def sequences(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "\x03") -> DataFrame:
+    """(bin_id, sequence, doc_ids): the text of each bin of a plan in characters, spans in order, `mark` where a document ends.
+
+    Ids are expected to be unique and not null; a null text is empty. A span's text is a whole number of characters; a bin
+    holds at most its capacity, so no group grows with the table.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.concat(F.coalesce(F.col(text_col), F.lit("")), F.lit(mark)).alias("text"))
+    cut = plan.join(own, "doc_id").select("bin_id", F.struct("bin_offset", "doc_id", F.expr("substring(text, cast(span_start + 1 as int), cast(span_end - span_start as int))").alias("text")).alias("part"))
+    bins = cut.groupBy("bin_id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return bins.select("bin_id", F.array_join("parts.text", "").alias("sequence"), F.col("parts.doc_id").alias("doc_ids"))
