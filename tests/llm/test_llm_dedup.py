@@ -206,6 +206,43 @@ def test_embedding_dedup_recall_and_edges(spark):
     assert embedding_dedup.near_dedup(df.limit(0)).count() == 0
 
 
+def test_large_cells_are_parted_exactly(spark, monkeypatch):
+    """One cell of near copies in blocks gives the links and components of one group, and of brute force."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + rng.normal(size=(150, 32)) * 0.12 for c in rng.normal(size=(2, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    truth = ((u @ u.T) >= 0.9).sum(axis=1) - 1
+    whole = {r.vec_id: tuple(r) for r in embedding_dedup.near_dedup(df).collect()}
+    monkeypatch.setattr(embedding_dedup, "MOST_CELL", 40)
+    parted = {r.vec_id: tuple(r) for r in embedding_dedup.near_dedup(df).collect()}
+    assert parted == whole
+    assert sum(r[1] for r in parted.values()) >= 0.97 * truth.sum() and all(r[1] <= truth[i] for i, r in parted.items())
+    assert {r[2] for r in parted.values()} == {0, 150}
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, chains and a hub with most edges, with every node of degree 3 or more taken for a hub."""
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 10**9)
+    rng = random.Random(2)
+    edges = [(1000, i) for i in range(200)] + [(i, i + 1) for i in range(2000, 2060)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(300)] + [(5, 5), (1000, 7)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "u long, v long"), "t").collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
 def test_embedding_dedup_doubles_and_cells(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "CELL", 16)
     rng = np.random.default_rng(4)

@@ -93,8 +93,9 @@ def connected_components(edges: DataFrame, tag: str, most_rounds: int = 60) -> D
     """(node, component) for every node of `edges` (u, v long); component is the smallest node reachable.
 
     Alternating large-star and small-star steps, each a group-by and an equi-join, each round written
-    to the shared folder. Stars shrink in a logarithmic number of rounds; hubs are joined against one
-    row per node, which adaptive execution splits. Nothing is collected but one row of checksums.
+    to the shared folder. Stars shrink in a logarithmic number of rounds. Hubs, nodes with a large share of
+    all edges, meet their least neighbour by broadcast (lookup()), so no task holds a hub's edges. Nothing is
+    collected but one row of checksums.
     """
     now = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
     mark = _mark(now)
@@ -102,14 +103,15 @@ def connected_components(edges: DataFrame, tag: str, most_rounds: int = 60) -> D
         if mark[0] == 0:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = lookup(both.where("v > u"), "u", low, "n", 2 * mark[0], "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), f"{tag}-down")
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = lookup(down, "u", least, "n", mark[0], "v").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = materialise(small, tag)
         new = _mark(after)
         release(now)
+        release(down)
         now, old, mark = after, mark, new
         if new == old:
             break

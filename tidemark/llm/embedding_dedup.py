@@ -9,7 +9,12 @@ collisions over all tables are verified by cosine in double precision.
 h, k and L are calibrated so that a pair exactly at the threshold passes with probability RECALL or
 more (calibrated()); closer pairs pass more often. A pair is counted and verified once, in the first
 table where it collides, from the projections both rows carry in their vector, so no pairs are shuffled
-and none is emitted: a task gives each vector's sum of linked copies and links that span its groups.
+and none is emitted: a task gives each vector's sum of linked copies and links that span its groups. A pair that
+first collides in one of the last COUNT - 1 tables cannot pass, so vectors are not filed there.
+
+A cell of more than MOST_CELL vectors, such as one of very many near copies, is parted by a hash into blocks of
+about half as many, and each two blocks, and each alone, are a group of their own: memory is bounded, and the
+comparisons of one cell spread over as many tasks as their number asks for.
 
 Edges: null, empty, zero or non-finite vectors and those with null components link with nothing, as do
 rows with a null id (component null, kept false). Vectors of different lengths do not link. Equal
@@ -37,6 +42,9 @@ CELL = 1024
 #: A pair at the threshold lies within the window with this probability (1.645 standard deviations).
 IN_WINDOW, DEVIATIONS = 0.9, 1.6449
 TILE = 512
+#: Vectors of a cell that one group compares at most, or nearly so.
+MOST_CELL = 16_384
+ALONE = 0
 
 
 def calibrated(vectors: int, threshold: float) -> tuple[int, int, float]:
@@ -66,24 +74,47 @@ def _signatures(unit: np.ndarray, k: int, tables: int) -> tuple[np.ndarray, np.n
     return codes, np.ascontiguousarray(made[:, k])
 
 
+class _Cells:
+    """The cell of each vector in each table it is filed in, with how many of the batch lie there."""
+
+    def __init__(self, k: int, tables: int):
+        self.k, self.tables = k, tables
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, rows, dim in _by_length(batch.column(0)):
+                codes, _ = _signatures(_unit(rows), self.k, self.tables)
+                for t in range(self.tables - COUNT + 1):
+                    bucket, n = np.unique(_bucket(codes[t], t, dim), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+
+
+def _bucket(codes: np.ndarray, table: int, dim: int) -> np.ndarray:
+    return (codes * 4096 + table) * 16384 + dim
+
+
+def _by_length(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(places in the batch, vectors, length) of the vectors of each length."""
+    lengths = np.asarray(lists.value_lengths())
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    for dim in np.unique(lengths).tolist():
+        own = np.nonzero(lengths == dim)[0]
+        yield own, flat[starts[own][:, None] + np.arange(dim)], dim
+
+
 class _Filing:
     def __init__(self, k: int, tables: int):
         self.k, self.tables = k, tables
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            lengths = np.asarray(lists.value_lengths())
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            starts = np.cumsum(lengths) - lengths
-            for dim in np.unique(lengths).tolist():
-                own = np.nonzero(lengths == dim)[0]
-                rows = flat[starts[own][:, None] + np.arange(dim)]
+            for own, rows, dim in _by_length(batch.column(2)):
                 codes, at = _signatures(_unit(rows), self.k, self.tables)
                 packed = pa.array([r.tobytes() for r in rows], pa.binary())
                 node, n = batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own))
-                for t in range(self.tables):
-                    bucket = (codes[t] * 4096 + t) * 16384 + dim
+                for t in range(self.tables - COUNT + 1):
+                    bucket = _bucket(codes[t], t, dim)
                     yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(at[t]), node, n, packed], ["bucket", "at", "node", "n", "vec"])
 
 
@@ -96,11 +127,11 @@ class _Pairing:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            bucket = batch.column(0).to_numpy()
-            cuts = [0, *(np.nonzero(np.diff(bucket))[0] + 1).tolist(), batch.num_rows]
+            bucket, pair = batch.column("bucket").to_numpy(), batch.column("pair").to_numpy()
+            cuts = [0, *(np.nonzero(np.diff(bucket) | np.diff(pair))[0] + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 piece = batch.slice(a, b - a)
-                if held and held[0].column(0)[0].as_py() != int(bucket[a]):
+                if held and (held[0].column("bucket")[0].as_py(), held[0].column("pair")[0].as_py()) != (int(bucket[a]), int(pair[a])):
                     yield from self.group(held)
                     held = []
                 held.append(piece)
@@ -115,7 +146,9 @@ class _Pairing:
         node, n = table.column("node").to_numpy(), table.column("n").to_numpy()
         unit = _unit(np.frombuffer(b"".join(table.column("vec").to_pylist()), self.kind).reshape(len(node), -1))
         codes, at = _signatures(unit, self.k, self.tables)
-        own = table.column("at").to_numpy()
+        own, side = table.column("at").to_numpy(), table.column("side").to_numpy()
+        # In a group of two blocks only vectors of different ones are compared.
+        across = side[0] != ALONE
         ends = np.searchsorted(own, own + self.h, side="right")
         sums = np.zeros(len(node), np.int64)
         label, us, vs = np.arange(len(node)), [], []
@@ -125,6 +158,8 @@ class _Pairing:
                 d = min(c + TILE, int(ends[b - 1]))
                 i, j = np.arange(a, b), np.arange(c, d)
                 live = (j[None, :] > i[:, None]) & (j[None, :] < ends[a:b, None])
+                if across:
+                    live &= side[a:b, None] != side[None, c:d]
                 count = np.zeros(live.shape, np.uint16)
                 for q in range(self.tables):
                     hit = codes[q, a:b, None] == codes[q, None, c:d]
@@ -169,7 +204,16 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     k, tables, h = calibrated(found[0], threshold)
     element = "float" if kind == "float32" else "double"
     filed = nodes.select("node", "n", F.col("vec").cast(f"array<{element}>")).mapInArrow(_Filing(k, tables), "bucket long, at double, node long, n long, vec binary")
-    paired = filed.repartition("bucket").sortWithinPartitions("bucket", "at").mapInArrow(_Pairing(k, tables, h, threshold, kind), "u long, v long, links long")
+    cells = nodes.select(F.col("vec").cast(f"array<{element}>")).mapInArrow(_Cells(k, tables), "bucket long, n long")
+    large = cells.groupBy("bucket").agg(F.sum("n").alias("size")).where(F.col("size") > MOST_CELL)
+    large = materialise(large.select(F.col("bucket").alias("_large"), F.ceil(F.col("size") / (MOST_CELL // 2)).cast("int").alias("blocks")), "cells")
+    # A row of a large cell goes to the group of its block with each other one, and to that of its block alone; `pair` numbers a cell's groups.
+    dealt = filed.join(large, F.col("bucket") == F.col("_large"), "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)).cast("long")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+    dealt = dealt.select("bucket", "at", "node", "n", "vec", "mine", F.coalesce("blocks", F.lit(1)).alias("blocks"), other.alias("other"))
+    pair = (F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).cast("long")
+    dealt = dealt.select("bucket", pair.alias("pair"), "at", "node", "n", (F.when(F.col("mine") == F.col("other"), ALONE).when(F.col("mine") < F.col("other"), 1).otherwise(2)).alias("side"), "vec")
+    paired = dealt.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "at").mapInArrow(_Pairing(k, tables, h, threshold, kind), "u long, v long, links long")
     paired = materialise(paired, "links")
     parts = connected_components(paired.where("v is not null").select("u", "v"), "vectors")
     sums = paired.where("links is not null").groupBy("u").agg(F.sum("links").alias("links"))
