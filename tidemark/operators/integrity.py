@@ -84,13 +84,20 @@ def describe_gap(left: DataFrame, right: DataFrame, key: str = "article_id") ->
 def merge_validated(text: DataFrame, markets: DataFrame, key: str = "article_id", drop: tuple[str, ...] = ("ticker", "timestamp_utc")) -> DataFrame:
     """Inner join of one row to one row; a key that repeats on either side raises when the result is read."""
     def once(df: DataFrame, label: str) -> DataFrame:
-        n = F.count("*").over(W.partitionBy(key))
-        return df.withColumn("_n", n).withColumn(key, F.when(F.col("_n") > 1, F.raise_error(F.lit(f"{key} repeats in the {label} table")).cast(df.schema[key].dataType)).otherwise(F.col(key))).drop("_n")
+        # The guard stands on a column of its own, so the join finds the rows already dealt out by key.
+        guard = F.when(F.count("*").over(W.partitionBy(key)) > 1, F.raise_error(F.lit(f"{key} repeats in the {label} table")).cast("boolean")).otherwise(F.lit(True))
+        return df.withColumn(f"_{label}", guard).where(f"_{label}").drop(f"_{label}")
 
     right = markets.drop(*[c for c in drop if c != key])
     return once(text, "text").join(once(right, "market"), key, "inner")
 
 
+def dropped_rows(left: DataFrame, right: DataFrame, key: str = "article_id") -> DataFrame:
+    """(key, side): the keys that an inner join of the two tables drops, and which of them has them."""
+    sides = left.select(key).distinct().withColumn("_l", F.lit(1)).join(right.select(key).distinct().withColumn("_r", F.lit(1)), key, "full_outer")
+    return sides.where("_l is null or _r is null").select(key, F.when(F.col("_r").isNull(), "left").otherwise("right").alias("side"))
+
+
 def merge_accounting(text: DataFrame, markets: DataFrame, key: str = "article_id") -> DataFrame:
     """One row: text_rows, market_rows, merged_rows, text_only, market_only, join_rate (of the text rows)."""
     gap = describe_gap(text, markets, key)
@@ -110,17 +117,30 @@ def pool(frames: list[DataFrame], keys: tuple[str, str] = ("article_id", "ticker
     return every.withColumn("_once", guard).where("_once").drop("_once")
 
 
-def leakage_rows(rows: DataFrame, bars: DataFrame, by: str = "ticker", ts: str = "timestamp_utc", stored: str = "momentum_1d") -> DataFrame:
-    """`rows` with the one-day momentum under both cutoffs and matches_correct, matches_leaky, ambiguous, real_leak.
+def cutoffs(rows: DataFrame, bars: DataFrame, by: str = "ticker", ts: str = "timestamp_utc") -> DataFrame:
+    """`rows` with the one-day momentum under both cutoffs: correct sees bars before the article's day, leaky those before its instant.
 
-    correct sees bars before the article's day, leaky those before its instant: with day bars stamped at
-    midnight the leaky one is the as-of join of the following day, save for an article at midnight itself.
+    With day bars stamped at midnight the leaky one is that of the day's own bar, if it has one and the article is
+    not of midnight itself, so both are met by one join on (key, day).
     """
-    features = bars.withColumn("_m", market.cumulative_return(1)).select(F.col("symbol").alias(by), "bar_date", "_m")
+    w = W.partitionBy("symbol").orderBy("bar_date")
+    steps = bars.withColumn("_m", market.cumulative_return(1)).select(F.col("symbol").alias(by), F.col("bar_date").alias("_from"), F.col("_m").alias("_correct"), F.lead("bar_date").over(w).alias("_until"), F.lead("_m").over(w).alias("_new"))
+    filed = steps.where("_until is not null").select(by, F.explode(F.sequence(F.date_add("_from", 1), F.col("_until"))).alias("_day"), "_correct", "_until", "_new")
+    filed = filed.select(by, "_day", "_correct", F.when(F.col("_day") == F.col("_until"), F.col("_new")).otherwise(F.col("_correct")).alias("_leaky"))
+    last = steps.where("_until is null").select(F.col(by).alias("_by"), "_from", F.col("_correct").alias("_last"))
     t = F.col(ts).cast("timestamp")
-    moved = rows.withColumn("_ts", t).withColumn("_later", F.when(t > F.date_trunc("day", t), F.date_add(F.to_date(t), 1)).otherwise(F.to_date(t)).cast("timestamp"))
-    out = pit.as_of_previous_bar(moved, features.withColumnRenamed("_m", "correct"), by, "_ts").drop("bar_date")
-    out = pit.as_of_previous_bar(out, features.withColumnRenamed("_m", "leaky"), by, "_later").drop("bar_date", "_later", "_ts")
+    met = rows.withColumn("_day", F.to_date(t)).join(filed, [by, "_day"], "left").join(last, (F.col(by) == F.col("_by")) & (F.col("_day") > F.col("_from")), "left")
+    correct = F.coalesce("_correct", "_last")
+    leaky = F.when(t > F.date_trunc("day", t), F.coalesce("_leaky", "_last")).otherwise(correct)
+    return met.select(*[F.col(c) for c in rows.columns], correct.alias("correct"), leaky.alias("leaky"))
+
+
+def leakage_rows(rows: DataFrame, bars: DataFrame, by: str = "ticker", ts: str = "timestamp_utc", stored: str = "momentum_1d") -> DataFrame:
+    """cutoffs(), and whether the stored momentum matches each: matches_correct, matches_leaky, ambiguous, real_leak."""
+    return leakage_flags(cutoffs(rows, bars, by, ts), stored)
+
+
+def leakage_flags(out: DataFrame, stored: str = "momentum_1d") -> DataFrame:
     out = out.withColumn("matches_correct", isclose(F.col(stored), F.col("correct"))).withColumn("matches_leaky", isclose(F.col(stored), F.col("leaky")))
     out = out.withColumn("ambiguous", isclose(F.col("leaky"), F.col("correct")))
     return out.withColumn("real_leak", F.col("matches_leaky") & ~F.col("ambiguous"))

@@ -111,9 +111,12 @@ def session_returns(bars: DataFrame, benchmark: DataFrame, horizon: int = 1) ->
     return joined.select("symbol", "bar_date", (ret("close") - ret("market_close")).alias(f"abnormal_return_{horizon}d"))
 
 
-def news_volume(articles: DataFrame, by: str = "ticker", ts: str = "timestamp_utc", days: int = fixed.NEWS_VOLUME_DAYS) -> DataFrame:
+def news_volume(articles: DataFrame, by: str = "ticker", ts: str = "timestamp_utc", days: int = fixed.NEWS_VOLUME_DAYS, daily: DataFrame | None = None) -> DataFrame:
     """Adds the number of the key's articles in the `days` before each one, others at the same instant left out.
 
+    With `daily`, a table of (key, day) and other columns, these are added too, NULL for days it lacks: the counts
+    meet it on their way, so the articles are shuffled once for both.
+
     The span ends in the article's own day, so the count has three parts: earlier articles of that day;
     whole days between; and, of the day where the span begins, the articles from that instant on. The
     first and last come from one running sum inside each (key, day), in which a day's articles and the
@@ -133,6 +136,8 @@ def news_volume(articles: DataFrame, by: str = "ticker", ts: str = "timestamp_ut
     part = F.when(F.col("_own") == 1, F.col("_before")).otherwise(F.col("_all") - F.col("_before"))
     ends = merged.groupBy(by, "_day", "_t").agg(F.sum(part).alias("_ends")).join(middle, [by, "_day"])
     counts = ends.select(by, "_day", "_t", (F.col("_ends") + F.col("_mid")).cast("long").alias("news_volume"))
+    if daily is not None:
+        counts = counts.join(daily.withColumn("_day", F.unix_date("day").cast("long")).drop("day"), [by, "_day"], "left")
     return own.join(counts, [by, "_day", "_t"], "left").withColumn("news_volume", F.coalesce("news_volume", F.lit(0)).cast("long")).drop("_day", "_t")
 
 
@@ -142,23 +147,60 @@ def days_to_next(rows: DataFrame, events: DataFrame, by: str, ts: str, event_ts:
     return found.withColumn(out, F.datediff("_next", F.to_date(ts))).drop("_next")
 
 
+def day_table(bars: DataFrame, benchmark: DataFrame, schedule: DataFrame, earnings: DataFrame | None = None) -> DataFrame:
+    """(ticker, day, asset's features, beta_20d, _today, _next, _event): what an article of each UTC day may know, and its labels.
+
+    One row for each symbol and each day of the calendar's, the benchmark's and its own span. Features are those of the last
+    bar before the day, the beta that of the last joined day before it. _today and _next are the labels of a session on the
+    day and of the first one after it, _event the first earnings day on or after it. Bars are dealt out by symbol once;
+    every window runs inside a symbol, over its days. The benchmark and the calendar have one row a day and are broadcast.
+    """
+    n = fixed.WINDOW
+    bench = F.broadcast(benchmark.select("bar_date", F.col("market_close").cast("double").alias("market_close")))
+    low, high = benchmark.select(F.col("bar_date").alias("d")).unionByName(schedule.select(F.to_date("market_open").alias("d"))).agg(F.min("d"), F.max("d")).first()
+    own = bar_features(bars.repartition("symbol").join(bench, "bar_date", "left"))
+    features = [c for c in own.columns if c not in (*bars.columns, "market_close")]
+    ret = lambda c: F.try_divide(F.col(c), F.lag(c).over(_by())) - 1
+    own = own.select("symbol", F.col("bar_date").alias("day"), F.col("close"), F.struct(*features).alias("_bar"), F.struct((ret("close") - ret("market_close")).alias("r")).alias("_label"))
+    spine = own.groupBy("symbol").agg(F.explode(F.sequence(F.least(F.min("day"), F.lit(low).cast("date")), F.greatest(F.max("day"), F.lit(high).cast("date")))).alias("day"))
+    every = own.withColumn("_event", F.lit(None).cast("date")).unionByName(spine, allowMissingColumns=True)
+    if earnings is not None:
+        days = earnings.select(F.col("ticker").alias("symbol"), F.to_date("earnings_ts").alias("day")).where("day is not null").distinct()
+        every = every.unionByName(days.withColumn("_event", F.col("day")), allowMissingColumns=True)
+    cells = every.repartition("symbol").groupBy("symbol", "day").agg(*[F.max(c).alias(c) for c in ("close", "_bar", "_label", "_event")])
+    sessions = schedule.select(F.to_date("market_open").alias("day")).distinct().withColumn("_open", F.lit(True))
+    cells = cells.join(bench.withColumnRenamed("bar_date", "day"), "day", "left").join(F.broadcast(sessions), "day", "left")
+    # Joined days are counted, so that frames of so many of them can be told on rows of every day.
+    w = W.partitionBy("symbol").orderBy("day")
+    before, ahead = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    joined = F.col("close").isNotNull() | F.col("market_close").isNotNull()
+    cells = cells.withColumn("_joined", joined).withColumn("_i", F.count_if("_joined").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    cells = cells.withColumn("_last", F.last(F.when(joined, F.struct("close", "market_close")), ignorenulls=True).over(before))
+    x, y = (F.when(F.col("_joined"), F.try_divide(F.col(c), F.col(f"_last.{c}")) - 1) for c in ("market_close", "close"))
+    cells = cells.withColumn("_x", F.when(y.isNotNull(), x)).withColumn("_y", F.when(x.isNotNull(), y))
+    frame = W.partitionBy("symbol").orderBy("_i").rangeBetween(2 - n, 0)
+    varied = (F.min("_x").over(frame) < F.max("_x").over(frame)) & (F.min("_y").over(frame) < F.max("_y").over(frame))
+    slope = F.expr(f"regr_slope(_y, _x) over (partition by symbol order by _i range between {n - 2} preceding and current row)")
+    cells = cells.withColumn("_beta", F.when(F.col("_joined"), F.struct(F.when((F.col("_i") >= 3) & varied, slope).alias("b"))))
+    nearest = lambda c, over: F.last(c, ignorenulls=True).over(over)
+    return cells.select(
+        F.col("symbol").alias("ticker"), "day", nearest("_bar", before).alias("_bar"), nearest("_beta", before)["b"].alias("beta_20d"), F.col("_label.r").alias("_today"),
+        F.first(F.when(F.col("_open"), F.coalesce("_label", F.struct(F.lit(None).cast("double").alias("r")))), ignorenulls=True).over(ahead)["r"].alias("_next"),
+        F.first("_event", ignorenulls=True).over(w.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("_event"),
+    ).select("ticker", "day", *[F.col("_bar")[c].alias(c) for c in features], "beta_20d", "_today", "_next", "_event")
+
+
 def build_market_features(articles: DataFrame, bars: DataFrame, benchmark: DataFrame, schedule: DataFrame, earnings: DataFrame | None = None) -> DataFrame:
     """One market row for each article (article_id, ticker, timestamp_utc) with a label, in MARKET_COLUMNS.
 
     Features see only bars before the article's day; the label is that of the next session. News volume
-    counts articles that end up without a label too.
+    counts articles that end up without a label too. Articles meet the calendar by broadcast, and the day table
+    and their news volume in one join.
     """
     out = articles.select("article_id", "ticker", F.col("timestamp_utc").cast("timestamp").alias("timestamp_utc"))
-    out = news_volume(out)
-    out = pit.session_bucket(out, schedule)
-    out = pit.align_next_open(out, schedule)
-    for features in (bar_features(bars).drop("high", "low", "close", "volume"), betas(bars, benchmark)):
-        out = pit.as_of_previous_bar(out, features.withColumnRenamed("symbol", "ticker"), by="ticker").drop("bar_date")
-    labels = session_returns(bars, benchmark).withColumnRenamed("symbol", "ticker").withColumnRenamed("bar_date", "_label_day")
-    out = out.withColumn("_label_day", F.to_date("session_open")).join(labels, ["ticker", "_label_day"], "left").drop("_label_day")
-    out = out.withColumn("label_direction", direction(F.col("abnormal_return_1d")))
-    if earnings is None:
-        out = out.withColumn("days_to_earnings", F.lit(None).cast("int"))
-    else:
-        out = days_to_next(out, earnings, "ticker", "timestamp_utc", "earnings_ts")
+    out = news_volume(out, daily=day_table(bars, benchmark, schedule, earnings))
+    out = pit.align_next_open(pit.session_bucket(out, schedule), schedule)
+    day = F.to_date("timestamp_utc")
+    out = out.withColumn("abnormal_return_1d", F.when(F.to_date("session_open") == day, F.col("_today")).otherwise(F.col("_next")))
+    out = out.withColumns({"label_direction": direction(F.col("abnormal_return_1d")), "days_to_earnings": F.datediff("_event", day)})
     return out.na.drop("all", subset=["abnormal_return_1d"]).select(*MARKET_COLUMNS)

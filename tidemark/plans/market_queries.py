@@ -206,6 +206,11 @@ def merge_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("join_rate", r6("join_rate"))
 
 
+@query(f"WITH {_SIDES} SELECT article_id, CASE WHEN l.article_id IS NULL THEN 'right' ELSE 'left' END AS side FROM l FULL JOIN r USING (article_id) WHERE l.article_id IS NULL OR r.article_id IS NULL")
+def dropped_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.dropped_rows(_text_side(spark, sf_dir), _market_side(spark, sf_dir))
+
+
 def _flat(check: DataFrame) -> DataFrame:
     return check.select("name", "passed", "n_offenders", F.array_join("offenders", ",").alias("offenders"))
 
@@ -271,9 +276,8 @@ _LEAK = f"""{_MARKET_SQL}, steps AS (SELECT symbol, bar_date, close / lag(close)
 
 def _tested(spark, sf_dir):
     rows = _market(spark, sf_dir).select("article_id", "ticker", "timestamp_utc", "session", "momentum_1d")
-    both = integrity.leakage_rows(rows, bars(spark, sf_dir))
-    leaked = both.select("article_id", "ticker", "timestamp_utc", "session", F.when(F.col("article_id") % 10 == 3, F.col("leaky")).otherwise(F.col("momentum_1d")).alias("momentum_1d"))
-    return integrity.leakage_rows(leaked, bars(spark, sf_dir))
+    both = integrity.cutoffs(rows, bars(spark, sf_dir))
+    return integrity.leakage_flags(both.withColumn("momentum_1d", F.when(F.col("article_id") % 10 == 3, F.col("leaky")).otherwise(F.col("momentum_1d"))))
 
 
 @query(f"""WITH {_LEAK} SELECT session, count(*) AS rows, count(*) FILTER (ok) AS matches_correct, count(*) FILTER (bad AND NOT amb) AS real_leaks, count(*) FILTER (amb) AS ambiguous, round(count(*) FILTER (ok) / count(*), 6) + 0.0 AS correct_rate FROM c3 GROUP BY 1""")
