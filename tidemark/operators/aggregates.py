@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import fixed
@@ -50,6 +52,13 @@ def flag_boilerplate(sentences: DataFrame, least: int = fixed.BOILERPLATE_ARTICL
     return dealt.join(often, ["_sha", "_share"], "left").withColumn("is_boilerplate", F.coalesce("_often", F.lit(False))).drop("_often", "_sha", "_share")
 
 
+def with_group_size(df: DataFrame, keys: list[str], out: str = "group_size") -> DataFrame:
+    """`df` with the number of rows of its group. Rows are counted before they are dealt out, and no task holds a group; NULL keys are a group."""
+    sizes = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count("*").cast("long").alias(out))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return df.join(sizes, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def fusion_aggregates(df: DataFrame) -> list[Column]:
     """mean, median, lead, top3_pos, top3_neg, spread of the shipped score over the target population."""
     x = F.when(S.target_population(df), S.fuse())

@@ -250,6 +250,14 @@ def quantile_bins(df: DataFrame, x: str, q: int = 5, out: str = "bin") -> DataFr
     return with_cuts.withColumn(out, F.when(F.col(x).isNotNull(), F.size(F.filter("_e", lambda e: F.col(x) > e)))).drop("_e")
 
 
+def regimes(df: DataFrame, ts: str, peak: str) -> DataFrame:
+    """(regime, days, rows, rows_a_day): `climb` up to the peak's day, that day included, and `descent` after it."""
+    day = F.to_date(ts)
+    span = F.datediff(F.max("_d"), F.min("_d")) + 1
+    out = df.where(F.col(ts).isNotNull()).select(day.alias("_d"), F.when(F.col(ts) <= F.lit(peak).cast("timestamp"), "climb").otherwise("descent").alias("regime"))
+    return out.groupBy("regime").agg(span.alias("days"), F.count("*").cast("long").alias("rows"), (F.count("*") / span).alias("rows_a_day"))
+
+
 def lead_lag(df: DataFrame, x: str, y: str, by: str, order: str, lags: range = range(-5, 6), least: int = 10) -> DataFrame:
     """(lag, n, correlation): of x with y that many sessions later within the key; NULL under `least` pairs."""
     w = W.partitionBy(by).orderBy(order)

@@ -27,19 +27,20 @@ def tag_sentences(sentences: DataFrame, ticker: str, mentions: DataFrame | None
     """SENTENCE_COLUMNS for one company's sentences (article_id, sent_idx, text, and offset with mentions).
 
     A name in the sentence makes it the target's. Otherwise a resolved mention that lies wholly inside
-    does, and the earliest one a name can stand for is its span. A person never makes it the target's.
-    `mentions` is (article_id, start, end) in body offsets.
+    does, and the earliest one a name can stand for, no person's, is its span. `mentions` is (article_id, start,
+    end) in body offsets, and `person` where a parse has told persons.
     """
     named, chief = T.names_any(F.col("text"), T.aliases(ticker, "names")), T.names_any(F.col("text"), T.aliases(ticker, "person"))
     out = sentences.withColumn("_named", named).withColumn("mentions_ceo", chief)
     if mentions is None:
         out = out.withColumn("_hit", F.lit(False)).withColumn("_span", F.lit(None).cast("struct<s: int, e: int>"))
     else:
-        m = mentions.select("article_id", F.col("start").alias("_a"), F.col("end").alias("_b")).where("_b > _a")
+        person = F.coalesce("person", F.lit(False)) if "person" in mentions.columns else F.lit(False)
+        m = mentions.select("article_id", F.col("start").alias("_a"), F.col("end").alias("_b"), person.alias("_person")).where("_b > _a")
         inside = (F.col("_a") >= F.col("offset")) & (F.col("_b") <= F.col("offset") + F.length("text"))
         met = out.where(~F.col("_named")).select("article_id", "sent_idx", "text", "offset").join(m, "article_id").where(inside)
         surface = F.expr("substr(text, cast(_a - offset + 1 as int), cast(_b - _a as int))")
-        usable = ~T.is_person(surface) & T.is_substitutable(surface)
+        usable = ~F.col("_person") & ~T.is_person(surface) & T.is_substitutable(surface)
         span = F.struct((F.col("_a") - F.col("offset")).cast("int").alias("s"), (F.col("_b") - F.col("offset")).cast("int").alias("e"))
         spans = met.groupBy("article_id", "sent_idx").agg(F.lit(True).alias("_hit"), F.min(F.when(usable, span)).alias("_span"))
         out = out.join(spans, ["article_id", "sent_idx"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
@@ -49,18 +50,23 @@ def tag_sentences(sentences: DataFrame, ticker: str, mentions: DataFrame | None
     return out.select(*SENTENCE_COLUMNS)
 
 
-def map_clusters(docs: DataFrame, ticker: str, body: str = "text", clusters: str = "clusters", persons: str | None = None) -> DataFrame:
-    """(article_id, start, end): the mentions of every cluster that names the company in some mention but a person's.
+def map_clusters(docs: DataFrame, ticker: str, body: str = "text", clusters: str = "clusters", persons: str | None = None, expletives: str | None = None) -> DataFrame:
+    """(article_id, start, end, person): the mentions of every cluster that names the company in some mention but a person's.
 
-    `persons` is a column of person spans; a mention that overlaps one, or holds a title, cannot name the company.
+    `persons` and `expletives` are columns of spans that a parse has found; without one there are none. A mention that
+    overlaps a person, or holds a title, cannot name the company nor be replaced by its name; one that overlaps an
+    expletive, an "it" that refers to nothing, is no mention.
     """
     pattern = T.name_pattern(T.aliases(ticker, "names"))
-    over = "false" if persons is None else f"exists(coalesce(`{persons}`, array()), p -> m.s < p.e and p.s < m.e)"
+    met = lambda spans: "false" if spans is None else f"exists(coalesce(`{spans}`, array()), p -> m.s < p.e and p.s < m.e)"
+    over = met(persons)
     quoted = lambda p: p.replace("\\", "\\\\").replace("'", "\\'")
     surface = f"substr(`{body}`, m.s + 1, m.e - m.s)"
     names = "false" if pattern is None else f"{surface} rlike '{quoted(pattern)}'"
     keyed = F.expr(f"filter(`{clusters}`, c -> exists(c, m -> m.e > m.s and not ({over}) and not {surface} rlike '(?i){quoted(fixed.TITLE_WORDS)}' and {names}))")
-    return docs.select("article_id", F.explode(F.flatten(keyed)).alias("m")).select("article_id", F.col("m.s").alias("start"), F.col("m.e").alias("end"))
+    flat = docs.withColumn("_m", F.flatten(keyed)).withColumn("_m", F.expr(f"filter(_m, m -> not {met(expletives)})"))
+    flat = flat.withColumn("_m", F.expr(f"transform(_m, m -> named_struct('start', m.s, 'end', m.e, 'person', {over}))"))
+    return flat.select("article_id", F.explode("_m").alias("m")).select("article_id", "m.start", "m.end", "m.person")
 
 
 def tag_reactive(sentences: DataFrame, threshold: float = 1.0) -> DataFrame:

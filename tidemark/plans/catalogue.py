@@ -1,6 +1,7 @@
 """All registered queries and their SQL counterparts."""
 
-from tidemark.plans import evaluation_queries, market_queries, text_queries
+from tidemark.plans import evaluation_queries, market_queries, pipeline_queries, text_queries
 
-QUERIES: dict = {**market_queries.QUERIES, **text_queries.QUERIES, **evaluation_queries.QUERIES}
-ORACLES: dict = {**market_queries.ORACLES, **text_queries.ORACLES, **evaluation_queries.ORACLES}
+PARTS = (market_queries, text_queries, evaluation_queries, pipeline_queries)
+QUERIES: dict = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+ORACLES: dict = {name: sql for part in PARTS for name, sql in part.ORACLES.items()}

@@ -254,24 +254,46 @@ def _model_rows(spark, sf_dir):
     return g.select("article_id", "session_open", "score", (i % 11).alias("f1"), F.when(i % 5 != 0, F.col("score") * 2).alias("f2"), label.alias("label_direction"))
 
 
-@query()
+_FOLDS = f"""{_GRP}, rws AS (SELECT article_id, session_open, CASE WHEN score + (article_id % 7 - 3) / 10.0 > 0 THEN 1 ELSE -1 END AS label FROM grp), sizes AS (SELECT session_open, count(*) AS n FROM rws GROUP BY 1),
+  upto AS (SELECT session_open, sum(n) OVER (ORDER BY session_open) AS c, row_number() OVER (ORDER BY session_open) AS i FROM sizes),
+  cuts AS (SELECT k, arg_min(session_open, {{'d': abs(c - (SELECT sum(n) FROM sizes) * k / 4.0), 'i': -i}}) AS cut FROM upto, range(1, 4) r(k) GROUP BY k),
+  ch AS (SELECT *, (SELECT count(*) FROM cuts WHERE g.session_open > cut) AS chunk FROM rws g),
+  maj AS (SELECT k, CASE WHEN count(*) FILTER (label = 1) > count(*) FILTER (label = -1) THEN 1 ELSE -1 END AS m FROM ch, range(1, 4) r(k) WHERE chunk < k GROUP BY 1)"""
+
+
+@query(f"WITH {_FOLDS} SELECT CAST(k AS INTEGER) AS fold, count(*) AS n, round(avg(CASE WHEN label = m THEN 1.0 ELSE 0 END), 6) + 0.0 AS majority_baseline_accuracy, true AS better, true AS agrees FROM ch JOIN maj ON chunk = k GROUP BY 1")
 def model_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold's rows and baseline; whether the model, which sees the number the label is made of, is better, and the test says so."""
     p = models.walk_forward(_model_rows(spark, sf_dir), ["score", "f1", "f2"], "label_direction", "session_open", ["article_id"], 3, models.logistic)
-    return models.fold_metrics(p, "label_direction")
+    m = models.fold_metrics(p, "label_direction")
+    return m.select("fold", "n", r6("majority_baseline_accuracy").alias("majority_baseline_accuracy"), F.col("beats_baseline").alias("better"), (F.col("significantly_beats_baseline") == (F.col("p_value") < 0.05)).alias("agrees"))
 
 
-@query()
+@query(f"WITH {_GRP} SELECT article_id, true AS is_share, true AS agrees FROM grp")
 def model_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One prediction a row, its direction that of its probability."""
     rows = _model_rows(spark, sf_dir)
     model = models.fit(rows, ["score", "f1"], "label_direction", models.logistic)
-    return models.predict(model, rows, ["score", "f1"]).select("article_id", "pred_direction", "proba_up")
+    p = F.col("proba_up")
+    return models.predict(model, rows, ["score", "f1"]).select("article_id", p.between(0, 1).alias("is_share"), ((p >= 0.5) == (F.col("pred_direction") == 1)).alias("agrees"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('score', true, true), ('f1', false, true), ('f2', false, true)) v(feature, most, is_share)")
 def model_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _model_rows(spark, sf_dir)
+    """Each feature with whether it weighs most: the label is made of the score."""
+    rows = _model_rows(spark, sf_dir).withColumn("f2", F.col("article_id") % 3)
     fitted = models.fit(rows, ["score", "f1", "f2"], "label_direction", lambda: models.boosted_trees(maxIter=3))
-    return models.importance_summary(models.importances(fitted, ["score", "f1", "f2"], spark))
+    found = models.importance_summary(models.importances(fitted, ["score", "f1", "f2"], spark))
+    return found.select("feature", (F.col("mean") > 0.5).alias("most"), F.col("mean").between(0, 1).alias("is_share"))
+
+
+@query("SELECT * FROM (VALUES ('score', true), ('f1', false), ('f2', false)) v(feature, dropped)")
+def telltale_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features by which a model tells two periods, here that of the score, and what is left without them."""
+    rows = _model_rows(spark, sf_dir).withColumns({"period": F.when(F.col("score") > 0, 1).otherwise(-1), "f2": F.col("article_id") % 3})
+    names = ["score", "f1", "f2"]
+    dropped = models.telltale_features(rows, names, "period", 1)
+    return spark.createDataFrame([(n, n in dropped) for n in names], "feature string, dropped boolean")
 
 
 def _feed(ticker, first, last):

@@ -427,6 +427,27 @@ def relative_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("article_id", r9(aggregates.demeaned("score", "session_open", "ticker")).alias("within_session"), r9(aggregates.demeaned("score", "session_open")).alias("across"), size.alias("group_size"))
 
 
+@query("SELECT event_id AS article_id, count(*) OVER (PARTITION BY event_type, user_id) AS group_size FROM events")
+def group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("article_id"), "event_type", "user_id")
+    return aggregates.with_group_size(e, ["event_type", "user_id"]).select("article_id", "group_size")
+
+
+@query(f"WITH {ORD}, r AS (SELECT CASE WHEN ts <= TIMESTAMP '1995-06-30' THEN 'climb' ELSE 'descent' END AS regime, CAST(ts AS DATE) AS d FROM ord) SELECT regime, CAST(datediff('day', min(d), max(d)) + 1 AS INTEGER) AS days, count(*) AS rows, round(count(*) / (datediff('day', min(d), max(d)) + 1), 6) + 0.0 AS rows_a_day FROM r GROUP BY 1")
+def regime_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = coverage.regimes(order_articles(spark, sf_dir), "timestamp_utc", "1995-06-30")
+    return out.withColumn("rows_a_day", r6("rows_a_day"))
+
+
+@query(f"""WITH {_MARKET_SQL}, m AS (SELECT *, round(abnormal_return_1d, 6) + 0.0 AS r FROM mkt)
+SELECT session_open, ticker, any_value(r) AS abnormal_return_1d, count(*) AS n_articles, count(DISTINCT r) AS n_returns, CAST(sum(news_volume) AS BIGINT) AS news_volume FROM m GROUP BY 1, 2""", times=("session_open",))
+def day_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles rolled up to the day their label is of: the return is constant within it, so the session and ticker are its key."""
+    m = _market(spark, sf_dir).withColumn("r", r6("abnormal_return_1d"))
+    out = m.groupBy("session_open", "ticker").agg(F.min("r").alias("abnormal_return_1d"), F.count("*").alias("n_articles"), F.countDistinct("r").alias("n_returns"), F.sum("news_volume").alias("news_volume"))
+    return out.withColumn("session_open", ntz("session_open"))
+
+
 @query("SELECT o_orderkey AS article_id, o_totalprice AS price FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def largest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25).select(F.col("o_orderkey").alias("article_id"), F.col("o_totalprice").alias("price"))

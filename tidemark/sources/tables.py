@@ -42,6 +42,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for a table of this application in the folder that spark.checkpoint.dir names, else in the warehouse: both are shared."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/tidemark-scratch/{spark.sparkContext.applicationId}/{name}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
