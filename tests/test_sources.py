@@ -127,6 +127,32 @@ def test_pages(spark):
     assert got[2].processed_body == "" and got[2].s == "host" and got[2].utc is None and got[3].processed_body == "x"
 
 
+def test_fetch_follows_the_original_and_resumes(spark, tmp_path):
+    def web(url):
+        if url == "http://gone/":
+            raise TimeoutError
+        if url == "http://first/":
+            return 200, url, '<meta property="article:published_time" content="2025-01-01T09:00:00Z"><p>original</p>'
+        link = '<link rel="canonical" href="http://first/">' if "copy" in url else ""
+        return (500 if "broken" in url else 200), url, f"{link}<p>{'long body ' * 60}</p>"
+
+    rows = [(1, "http://copy/a"), (2, "http://gone/"), (3, "http://broken/"), (4, "http://plain/"), (5, None)]
+    df = spark.createDataFrame(rows, "article_id long, url string").withColumn("timestamp_utc", F.lit("2025-01-20 09:00:00").cast("timestamp"))
+    got = {r.article_id: r for r in pages.fetched(df, web).collect()}
+    assert (got[1].status, got[1].n_fetch, got[1].time_source, got[1].corrected, got[1].utc.day, got[1].true_source) == ("200", 2, "corrected", True, 1, "copy")
+    assert (got[2].status, got[2].n_fetch, got[2].utc, got[2].text_ok) == ("TimeoutError", 0, None, False)
+    assert (got[3].status, got[3].raw_body) == ("500", None) and (got[4].time_source, got[4].text_ok, got[4].n_fetch) == ("api", True, 1)
+    chunked = tables.numbered_chunks(df, "article_id", 2)
+    path, asked = str(tmp_path / "fetched"), []
+
+    def step(todo):
+        asked.append(todo.count())
+        return pages.fetched(todo, web).join(todo.select("article_id", "chunk"), "article_id")
+
+    tables.process_chunks(chunked.where("chunk < 1"), path, step)
+    assert tables.process_chunks(chunked, path, step).count() == 5 and asked == [2, 3]
+
+
 @pytest.mark.parametrize("text,ok", [("2025-01-01T10:00:00", False), ("2025-01-01T10:00:00Z", True), ("2025-01-01T10:00:00.5+0100", True), ("soon", False), (None, False)])
 def test_zoneless_times_are_not_trusted(spark, text, ok):
     row = spark.createDataFrame([(text,)], "t string").select(pages.to_utc(F.col("t")).alias("u")).first()

@@ -103,5 +103,6 @@ SESSIONS = ["pre-market", "market-hours", "after-hours"]
 CHANNELS = ["surface", "coref_span", "coref_nospan"]
 TRUSTED_CHANNELS = ["surface", "coref_span"]
 FETCH_CAP = 100
+SCRAPE_WORKERS = 8
 SCRAPE_CHUNK = 500
 BODY_CHROME_TAGS = ["script", "style", "nav", "aside", "footer", "header", "form", "figure"]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.operators import aggregates, caching, integrity, models
 from tidemark.plans import pipelines, reports
 from tidemark.plans.inputs import POOLED, SENT, pooled, r6, r9, registry, sentences, table
-from tidemark.sources import tables
+from tidemark.sources import pages, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -128,3 +128,23 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = order_articles(spark, sf_dir)
     texts = [reports.model_card({"features": aggregates.SESSION_FEATURES, "n": 1}, a.groupBy("ticker").agg(F.count("*").alias("n")).orderBy("ticker")), reports.cross_report(a), reports.feature_dictionary(a.select("article_id", "ticker"), {"ticker": "the company"})]
     return spark.createDataFrame([(t.split("\n")[0].removeprefix("# "), t.startswith("# "), "| --- |" in t or "|---|" in t) for t in texts], "report string, titled boolean, tabled boolean")
+
+
+def _site(url: str) -> tuple[int, str, str]:
+    """A web of pages made from their addresses: queries are not found, fragments are refused, every third page tells its time."""
+    if "#" in url:
+        raise ConnectionError(url)
+    if "?" in url:
+        return 404, url, ""
+    linked = '<script type="application/ld+json">{"datePublished": "2024-01-05T08:00:00Z", "publisher": "x"}</script>' if len(url) % 3 == 0 else ""
+    return 200, url, f"{linked}<p>{url}</p><p>{'text ' * (len(url) * 3)}</p>"
+
+
+@query("""WITH p AS (SELECT page_id AS article_id, url, length(url) AS n, CASE WHEN strpos(url, '#') > 0 THEN 'ConnectionError' WHEN strpos(url, '?') > 0 THEN '404' ELSE '200' END AS status FROM pages)
+SELECT article_id, status, CAST(CASE WHEN status = 'ConnectionError' THEN 0 ELSE 1 END AS INTEGER) AS n_fetch, CASE WHEN status = '200' THEN regexp_extract(url, '://([^/]*)', 1) END AS true_source, status = '200' AND n % 3 = 0 AS corrected,
+  CASE WHEN status = '200' THEN CASE WHEN n % 3 = 0 THEN '2024-01-05 08:00:00' ELSE '2024-01-05 06:00:00' END END AS utc, CAST(CASE WHEN status = '200' THEN n + n * 15 END AS INTEGER) AS n_chars, status = '200' AND n * 16 >= 500 AS text_ok FROM p""")
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' addresses fetched from a made web by threads in every partition: status, outlet, time and body of each."""
+    a = table(spark, sf_dir, "pages").select(F.col("page_id").alias("article_id"), "url", F.lit("2024-01-05 06:00:00").cast("timestamp").alias("timestamp_utc"))
+    out = pages.fetched(a, _site)
+    return out.select("article_id", "status", "n_fetch", "true_source", "corrected", F.date_format("utc", "yyyy-MM-dd HH:mm:ss").alias("utc"), F.length("processed_body").alias("n_chars"), "text_ok")

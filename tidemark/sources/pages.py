@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from html.parser import HTMLParser
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions import fixed
 from tidemark.session import ship
+from tidemark.sources import windows
 
 CHROME = set(fixed.BODY_CHROME_TAGS)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -19,7 +22,7 @@ ZONED = r"(?i)^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?\s*(Z|[+-]\d{2}
 
 
 class _Page(HTMLParser):
-    """Paragraph texts outside page chrome, JSON-LD scripts, and the published-time meta tag.
+    """Paragraph texts outside page chrome, JSON-LD scripts, the published-time meta tag and the canonical link.
 
     A paragraph that is not closed goes on in those that follow, whose text then counts for both.
     """
@@ -31,6 +34,7 @@ class _Page(HTMLParser):
         self.paragraphs: list[list[str]] = []
         self.scripts: list[str] = []
         self.meta: str | None = None
+        self.canonical: str | None = None
         self.linked = False
 
     def handle_starttag(self, tag, attrs):
@@ -38,6 +42,9 @@ class _Page(HTMLParser):
         if tag == "meta":
             if attrs.get("property") == "article:published_time" and self.meta is None:
                 self.meta = attrs.get("content") or None
+        elif tag == "link":
+            if "canonical" in (attrs.get("rel") or "").split() and self.canonical is None:
+                self.canonical = attrs.get("href") or None
         elif tag == "script":
             self.linked = (attrs.get("type") or "") == "application/ld+json"
             if self.linked:
@@ -71,6 +78,11 @@ class _Page(HTMLParser):
 
 def parse(html: str | None) -> tuple[str, list[str], str | None]:
     """(body, JSON-LD objects as text, meta publication time)."""
+    return _parse(html)[:3]
+
+
+def _parse(html: str | None) -> tuple[str, list[str], str | None, str | None]:
+    """parse(), and where the page says that it stands first."""
     page = _Page()
     page.feed(html or "")
     page.close()
@@ -82,7 +94,7 @@ def parse(html: str | None) -> tuple[str, list[str], str | None]:
         except ValueError:
             continue
         objects += [json.dumps(o) for o in (data if isinstance(data, list) else [data]) if isinstance(o, dict)]
-    return body, objects, page.meta
+    return body, objects, page.meta, page.canonical
 
 
 def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -98,6 +110,73 @@ def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.mapInPandas(run, schema)
 
 
+#: fetch(url) -> (status, URL it came from, html); errors of the network are raised as OSError.
+Fetch = Callable[[str], tuple[int, str, str]]
+_FETCHED = "article_id {kind}, status string, n_fetch int, host string, raw_body string, processed_body string, ld_objects array<string>, meta_time string, other_objects array<string>, other_time string"
+
+
+def _fetch_one(url: str | None, fetch: Fetch, pace: windows.Pacer | None) -> tuple:
+    """status, n_fetch, host, html, body, linked data and time of one page; and those of the page on another host that it names as its original."""
+    lost = (None,) * 7
+    try:
+        if pace:
+            pace.wait()
+        code, final, html = fetch(url or "")
+    except OSError as e:
+        return (type(e).__name__, 0, *lost)
+    if code != 200:
+        return (str(code), 1, *lost)
+    host, (body, objects, meta, canonical) = urlparse(final).netloc, _parse(html)
+    other, n = (None, None), 1
+    if canonical and urlparse(canonical).netloc not in ("", host):
+        try:
+            if pace:
+                pace.wait()
+            code, _, first = fetch(canonical)
+            n = 2
+            if code == 200:
+                other = _parse(first)[1:3]
+        except OSError:
+            pass
+    return ("200", n, host, html, body, objects, meta, *other)
+
+
+def fetched(articles: DataFrame, fetch: Fetch, rate: float = 0.0, workers: int = fixed.SCRAPE_WORKERS, least: int = fixed.LEAST_BODY_CHARS) -> DataFrame:
+    """One row for each of `articles` (article_id, url, timestamp_utc): status, n_fetch, true_source, source_ok, utc, time_source, corrected, raw_body, processed_body, text_ok.
+
+    Each partition fetches with `workers` threads, batch by batch; `rate`, calls a second of the whole job, is parted
+    among the partitions that run at once. A page that fails has its status, which is the error's name where it has none,
+    and NULLs. Runs go on where they stopped by tables.process_chunks() over tables.numbered_chunks().
+    """
+    spark = articles.sparkSession
+    ship(spark)
+    share = rate / max(1, spark.sparkContext.defaultParallelism) if rate else 0.0
+    kind = articles.schema["article_id"].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = windows.pacer(share) if share else None
+        names = [c.split()[0] for c in _FETCHED.split(", ")]
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            for frame in frames:
+                found = list(pool.map(lambda url: _fetch_one(url, fetch, pace), frame["url"]))
+                yield pd.DataFrame([(i, *f) for i, f in zip(frame["article_id"], found)], columns=names)
+        if pace:
+            pace.hold()
+
+    got = articles.select("article_id", "url").mapInPandas(run, _FETCHED.format(kind=kind))
+    out = got.join(articles.select("article_id", F.col("timestamp_utc").alias("_api")), "article_id", "left")
+    other = published(F.col("other_objects"), F.col("other_time"))
+    cross = other.isNotNull()
+    candidate = to_utc(F.coalesce(other, published(F.col("ld_objects"), F.col("meta_time"))))
+    reached = F.col("status") == "200"
+    utc, source = resolved_time(candidate, F.col("_api"), cross)
+    outlet = true_source(F.col("ld_objects"), F.col("host"))
+    return out.select(
+        "article_id", "status", "n_fetch", F.when(reached, outlet).alias("true_source"), F.coalesce(reached & outlet.isNotNull(), F.lit(False)).alias("source_ok"), F.when(reached, utc).alias("utc"), F.when(reached, source).alias("time_source"),
+        F.coalesce(reached & (source == "corrected"), F.lit(False)).alias("corrected"), "raw_body", "processed_body", F.coalesce(F.length("processed_body") >= least, F.lit(False)).alias("text_ok"),
+    )
+
+
 def _first(objects: Column, path: str) -> Column:
     return F.try_element_at(F.filter(F.transform(objects, lambda o: F.get_json_object(o, path)), lambda v: v.isNotNull() & (v != "")), F.lit(1))
 
