@@ -164,6 +164,18 @@ def test_large_group_is_split_exactly(monkeypatch):
             assert find(int(fps[i])) == find(int(fps[j]))
 
 
+def test_keys_over_many_batches_are_linked_whole():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    key = np.sort(np.concatenate([np.full(500, 7), rng.integers(0, 40, 300)]))
+    fp = rng.integers(0, 1 << 62, len(key)) & ~0xFF | rng.integers(0, 4, len(key))
+    fp[key == 7] = (5 << 40) + np.arange((key == 7).sum()) % 200
+    batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(fp[a:b])], ["key", "fp"])
+    links = lambda cuts: sorted((u, v) for out in simhash._links(batch(a, b) for a, b in zip(cuts, cuts[1:])) for u, v in zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+    assert links([0, len(key)]) == links([0, 1, 3, 3, 120, 130, 400, 401, len(key)]) != []
+
+
 @pytest.mark.parametrize("rows", CASES)
 def test_simhash_matches_brute_force(spark, rows):
     found = simhash.near_dedup(docs(spark, rows)).collect()

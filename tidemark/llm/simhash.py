@@ -11,8 +11,9 @@ choice of 3 of that segment's 4 nibbles: 16 keys of 28 bits. Inside a key the ch
 third segment before the full Hamming check.
 
 Only distinct fingerprints are filed. A key's fingerprints are explored breadth first from unvisited
-ones, so a group of n yields at most n - 1 links, never all pairs; the links' components over all keys
-are those of the full link graph.
+ones, so a group of n yields at most n - 1 links, never all pairs; one of more than SPLIT_AT is first parted four
+ways, each of its fingerprints then lies in four groups and gives at most as many times n - 1. The links'
+components over all keys are those of the full link graph.
 
 Edges: a null or empty text, or one of white space, has fingerprint zero and links like any other.
 With fewer than 3 words the whole sequence is one shingle. Rows with a null id get a fingerprint and
@@ -140,16 +141,21 @@ def _forest(fps: np.ndarray, start: int, free: tuple[int, ...] = (0, 4, 8, 12, 1
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each key's fingerprints; rows come sorted by key, and a key's rows may span batches."""
-    held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         key, fp = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
         if len(key) == 0:
             continue
-        key, fp = np.concatenate([held_k, key]), np.concatenate([held_f, fp])
         last = np.searchsorted(key, key[-1])
-        yield from _linked(key[:last], fp[:last])
-        held_k, held_f = key[last:], fp[last:]
-    yield from _linked(held_k, held_f)
+        if held and held[-1][0][-1] == key[-1]:
+            # All of one key: kept as they are until it ends.
+            held.append((key, fp))
+            continue
+        held.append((key[:last], fp[:last]))
+        yield from _linked(*map(np.concatenate, zip(*held)))
+        held = [(key[last:], fp[last:])]
+    if held:
+        yield from _linked(*map(np.concatenate, zip(*held)))
 
 
 def _linked(key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
