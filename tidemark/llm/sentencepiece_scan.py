@@ -42,19 +42,31 @@ LONE = re.compile("[\udc80-\udcff]")
 NEVER = -(1 << 60)
 #: State before the first character.
 START = (-2, 0)
+#: Texts that usual normalisers change.
+PROBES = ("  two  blanks ", "\tA\u00a0B\n", "\ufb01 \u2167 \uff21 e\u0301 \u212b", "I\u0130 Stra\u00dfe")
 #: Piece number of a character that is no piece; it is written as its bytes.
 UNKNOWN = -1
 
 
 def load(path: str = MODEL) -> dict:
-    """Plain tables of a vocabulary file: pieces that texts can hold with their merge scores, byte pieces, all pieces."""
+    """Plain tables of a vocabulary file: pieces that texts can hold with their merge scores, byte pieces, all pieces.
+
+    Weights are 0 and minus infinity only, so a vocabulary must be a BPE one, whose scores are ranks, with a piece
+    for every byte, a blank put in front and no other normalisation; any other raises.
+    """
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     n = sp.get_piece_size()
     pieces = [sp.id_to_piece(i) for i in range(n)]
     kept = {pieces[i]: i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    if any(sp.get_score(i) != int(sp.get_score(i)) for i in kept.values()):
+        raise ValueError(f"{path} is no BPE vocabulary: its scores are no ranks")
+    if any(sp.decode(sp.encode(text)) != text for text in PROBES):
+        raise ValueError(f"{path} normalises texts, which is not done here")
     bytes_ = {int(pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
+    if len(bytes_) < 256:
+        raise ValueError(f"{path} lacks pieces for bytes")
     return {"pieces": pieces, "kept": kept, "scores": [sp.get_score(i) for i in range(n)], "bytes": [bytes_[b] for b in range(256)], "silent": [i for i in range(n) if sp.is_control(i)]}
 
 
