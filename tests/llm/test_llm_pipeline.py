@@ -3,11 +3,11 @@ import re
 import duckdb
 import pytest
 import xxhash
-from test_llm_queries import lowered, plain_pseudonyms
+from test_llm_queries import lowered, placed, plain_bins, plain_pseudonyms
 
 import __spark_entry__
 import corpus_pipeline
-from tidemark.llm import common
+from tidemark.llm import common, language
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,7 +63,9 @@ def fingerprint(text):
 
 def test_run_matches_brute_force(spark):
     docs = dict(duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall())
-    docs = {i: t for i, t in docs.items() if any(c.isalpha() for c in t)}
+    model = language.train(language.labelled_sample(spark.read.parquet(f"{SF}/documents.parquet")))
+    known = {i: model.label([t], True)[0] for i, t in docs.items()}
+    docs = {i: t for i, t in docs.items() if known[i][0] != "und" and known[i][2] <= language.MOST_SURPRISE}
     last = {}
     for i in sorted(docs):
         last[lowered(docs[i])] = i
@@ -73,7 +75,17 @@ def test_run_matches_brute_force(spark):
     for _ in range(8):
         label = {i: min(label[j] for j in docs if (prints[i] ^ prints[j]).bit_count() <= 3) for i in docs}
     docs = {i: plain_pseudonyms(t) for i, t in docs.items() if label[i] == i}
+    sources = dict(duckdb.sql(f"select doc_id, source from '{SF}/documents.parquet'").fetchall())
+    got = corpus_pipeline.run(spark, SF).collect()
     total = {}
-    for r in corpus_pipeline.run(spark, SF).collect():
+    for r in got:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.span_end - r.span_start
     assert total == {i: len(t) + 1 for i, t in docs.items()}
+    assert placed(got) == plain_bins({i: (t, sources[i]) for i, t in docs.items()})
+
+
+def test_junk_and_foreign_texts_go_and_clean_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(90_001, "litwo ojczyzno moja ty jestes jak zdrowie ile cie trzeba cenic ten tylko sie dowie kto cie stracil", None, "a", 90), (90_002, "xqzt kjvw qqzx wvkj zzxq jkqv xwzq vvkq zjxw qkzv xjqw " * 20, None, "a", 900), (90_003, "....", "en", "a", 4)]
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs.unionByName(spark.createDataFrame(rows, docs.schema)), SF).select("doc_id").collect()}
+    assert kept.isdisjoint({90_001, 90_002, 90_003}) and len(kept) >= 0.99 * docs.where("text rlike '[A-Za-z]'").count()

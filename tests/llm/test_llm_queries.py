@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from test_llm_text import draw, plain_added
+from test_llm_text import brute_pack, draw, plain_added
 
 from tidemark.llm import entries, packing, pii, secrets
 
@@ -53,6 +53,27 @@ def test_op2(spark, docs):
         texts = [lowered(docs[r.doc_id][0]) for r in members]
         names = [docs[r.doc_id][2] for r in members]
         assert len(set(texts)) == len(texts) and max(names.count(s) for s in names) <= packing.PER_SOURCE
+    assert placed(got) == plain_bins({i: (t, s) for i, (t, _, s) in docs.items()})
+
+
+def placed(rows):
+    """Of a plan the spans of each bin, with their offsets."""
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.bin_id, set()).add((r.doc_id, r.span_start, r.span_end, r.bin_offset))
+    return {frozenset(b) for b in bins.values()}
+
+
+def plain_bins(docs):
+    """The bins of best-fit decreasing over {id: (text, source)}, as long as all is one shard: for each span every open bin is tried."""
+    spans = [(i, a, min(a + packing.CAPACITY, len(t or "") + 1)) for i, (t, _) in docs.items() for a in range(0, len(t or "") + 1, packing.CAPACITY)]
+    assert len(spans) <= packing.SHARD_ROWS
+    spans.sort(key=lambda s: (s[1] - s[2], s[0], s[1]))
+    made = brute_pack([b - a for _, a, b in spans], [docs[i][1] for i, _, _ in spans], [lowered(docs[i][0]) for i, _, _ in spans], packing.CAPACITY, packing.PER_SOURCE)
+    bins = {}
+    for (i, a, b), (at, offset) in zip(spans, made):
+        bins.setdefault(at, set()).add((i, a, b, offset))
+    return {frozenset(b) for b in bins.values()}
 
 
 def test_op3(spark):

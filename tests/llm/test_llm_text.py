@@ -168,6 +168,42 @@ def test_unlearned_languages_and_gibberish_go(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     kept = {r.doc_id for r in language.in_a_language(df, language.train(language.labelled_sample(df))).collect()}
     assert kept == set(range(400)) | {2000 + i for i in range(len(stay))}
+    german = {r.doc_id for r in language.in_a_language(df, language.train(language.labelled_sample(df)), allowed=["de"]).collect()}
+    assert german - {2000, 2001} == {i for i in range(400) if sorted(phrases)[i % 4] == "de"}
+
+
+def test_features_in_blocks_change_nothing(monkeypatch):
+    model = language.train([(lang, text) for _, text, lang in labelled(300)])
+    texts = ["the and of " * 400, "der " + "x" * 3000 + " und", "", "le les des"]
+    whole = model.label(texts, True)
+    monkeypatch.setattr(language, "BLOCK_CHARS", 100)
+    assert model.label(texts, True) == whole
+
+
+def test_vocabularies_of_another_kind_are_refused(monkeypatch):
+    import sentencepiece
+
+    real = sentencepiece.SentencePieceProcessor(model_file=scan.MODEL)
+
+    class Other:
+        def __init__(self, model_file=None):
+            self.__class__.made = self
+
+        def __getattr__(self, name):
+            return getattr(real, name)
+
+    class Unigram(Other):
+        def get_score(self, i):
+            return real.get_score(i) / 7
+
+    class Folding(Other):
+        def encode(self, text):
+            return real.encode(text.lower())
+
+    for kind in (Unigram, Folding):
+        monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", kind)
+        with pytest.raises(ValueError):
+            scan.load()
 
 
 def test_posteriors_match_plain_forward_backward():

@@ -19,7 +19,7 @@ probabilities were not counted from, and is lower for shorter texts; gibberish a
 that no label names fall below it whatever the number of languages, code-switched prose does not.
 
 Edges: a null text, or one without letters, is `und` with score 0; so is every text where no labelled
-row can be learned from. Ties go to the first language in alphabetical order. Rows with a null id are
+row can be learned from. An empty `lang` is no label and is not learned from. Ties go to the first language in alphabetical order. Rows with a null id are
 held in. Rows come back one for one; an empty table gives an empty result.
 """
 
@@ -39,7 +39,7 @@ ORDERS = (2, 3, 4)
 GRAM_BITS, LEXICON_BITS = 16, 15
 ROUNDS, RATE, SHRINK = 30, 0.35, 1e-6
 SEGMENT = 32
-#: Characters worked on at a time; longer texts are worked on alone.
+#: Characters worked on at a time; longer texts are worked on alone, their features in blocks of whole words.
 BLOCK_CHARS = 200_000
 UNDETERMINED = "und"
 MARK = 1
@@ -196,6 +196,22 @@ class Model:
         each = self.threes[threes - (ORDERS.index(3) << GRAM_BITS)] - self.twos[twos - (ORDERS.index(2) << GRAM_BITS)]
         return np.add.reduceat(each * valid[:, None].astype(np.float32), starts, axis=0)
 
+    def read(self, chars: np.ndarray, starts: np.ndarray, surprise: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Emissions of each word, and with `surprise` the log probability of its letters; BLOCK_CHARS letters at a time, which bounds what features take."""
+        n, k = len(starts), len(self.languages)
+        emit, known = np.empty((n, k)), np.empty((n, k)) if surprise else None
+        ends = np.concatenate([starts[1:], [len(chars)]])
+        a = 0
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(ends, starts[a] + BLOCK_CHARS, side="right")))
+            own = starts[a:b] - starts[a]
+            grams, lexicon = features(chars[starts[a] : ends[b - 1]], own)
+            emit[a:b] = self.emissions(grams, lexicon, own)
+            if surprise:
+                known[a:b] = self.knowledge(grams, own)
+            a = b
+        return emit, known
+
     def label(self, texts: list[str], surprise: bool = False) -> list[tuple]:
         """(language, score) of each text; with `surprise` also how many spreads its letters are less probable than usual."""
         out: list = [(UNDETERMINED, 0.0, np.inf)[: 2 + surprise]] * len(texts)
@@ -208,8 +224,8 @@ class Model:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         doc = np.searchsorted(np.cumsum(lengths), begin, side="right")
         some, sizes = np.unique(doc, return_counts=True)
-        grams, lexicon = features(chars, starts)
-        marg, _ = self.posteriors(self.emissions(grams, lexicon, starts), sizes)
+        emit, letters = self.read(chars, starts, surprise)
+        marg, _ = self.posteriors(emit, sizes)
         weight = np.diff(np.concatenate([starts, [len(chars)]])) - 2
         firsts = np.cumsum(sizes) - sizes
         share = np.add.reduceat(marg * weight[:, None], firsts, axis=0)
@@ -222,7 +238,7 @@ class Model:
             raw = np.frombuffer(f"\n{joined}\n".encode("utf-32-le", "surrogatepass"), np.uint32)
             prose = ~(_is_digit(raw[begin]) | _is_digit(raw[begin + weight + 1]))
             prose |= np.repeat(np.add.reduceat(prose.astype(np.int64), firsts) == 0, sizes)
-            known = np.add.reduceat((marg * self.knowledge(grams, starts)).sum(axis=1) * prose, firsts) / np.add.reduceat(weight * prose, firsts)
+            known = np.add.reduceat((marg * letters).sum(axis=1) * prose, firsts) / np.add.reduceat(weight * prose, firsts)
             sizes = np.add.reduceat(prose.astype(np.int64), firsts)
             for d, x in zip(some.tolist(), ((self.usual - known) / (self.spread * np.sqrt(np.maximum(1, RUN_WORDS / sizes)))).tolist()):
                 out[d] += (x,)
@@ -372,11 +388,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return own.mapInArrow(_Label(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def in_a_language(docs: DataFrame, model: Model, text_col: str = "text", most: float = MOST_SURPRISE) -> DataFrame:
-    """The rows of `docs`, all columns, whose text has letters and is at most `most` spreads less probable than labelled prose."""
+def in_a_language(docs: DataFrame, model: Model, text_col: str = "text", most: float = MOST_SURPRISE, allowed: list[str] | None = None) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has letters and is at most `most` spreads less probable than labelled prose.
+
+    With `allowed`, a list of learned languages, also those alone whose language is one of them.
+    """
     ship(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = packed.schema["row"].dataType.simpleString()
     labelled = packed.mapInArrow(_Label(shared, surprise=True), f"row {kind}, lang_pred string, score double, surprise double")
-    return labelled.where((F.col("lang_pred") != UNDETERMINED) & (F.col("surprise") <= most)).select("row.*")
+    kept = (F.col("lang_pred") != UNDETERMINED) & (F.col("surprise") <= most)
+    return labelled.where(kept if allowed is None else kept & F.col("lang_pred").isin(allowed)).select("row.*")
