@@ -287,7 +287,7 @@ def test_op10(spark, docs):
 @pytest.mark.parametrize("name", sorted(entries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     result = con.execute(entries.ORACLES[name])
     names = [d[0] for d in result.description]

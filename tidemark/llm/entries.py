@@ -74,6 +74,23 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: All pairs and their closure, for small tables; the operator's recall is calibrated, not certain.
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+whole AS (
+  SELECT vec_id, list_filter(e, lambda x: x IS NOT NULL AND isfinite(x)) AS e, len(e) AS n FROM v),
+fine AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM whole WHERE len(e) = n AND n > 0 AND list_dot_product(e, e) > 0),
+pairs AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM fine a JOIN fine b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+reach AS (
+  SELECT vec_id AS u, vec_id AS w FROM v UNION SELECT r.u, p.w FROM reach r JOIN pairs p ON r.w = p.u)
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE u = vec_id) AS n_links, low AS component_id, vec_id = low AS kept
+FROM v JOIN (SELECT u, min(w) AS low FROM reach GROUP BY u) r ON r.u = vec_id
+"""
+
 OP5_SQL = """
 WITH keyed AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -117,4 +134,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL, "op7_url_filter": OP7_SQL}
+ORACLES: dict[str, str] = {"op3_embedding_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op7_url_filter": OP7_SQL}
