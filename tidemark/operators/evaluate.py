@@ -68,14 +68,17 @@ def holdout(rows: DataFrame, group: str, share: float = 0.2, out: str = "holdout
 def binomial_tail(b: int, n: int) -> float | None:
     """P(X >= b) for X ~ Binomial(n, 1/2); None when n is 0.
 
-    Terms follow from one another, the first from the log of its factorials, and are summed from the middle outwards
+    Terms follow from one another, the first, of many rows, from the log of its factorials, and are summed from the middle outwards
     until they no longer count; the shorter tail is summed.
     """
     if n == 0:
         return None
     if 2 * b <= n:
         return 1.0 if b <= 0 else 1.0 - binomial_tail(n - b + 1, n)
-    term = math.exp(math.lgamma(n + 1) - math.lgamma(b + 1) - math.lgamma(n - b + 1) - n * math.log(2)) if b <= n else 0.0
+    if n <= 1000:
+        term = math.comb(n, b) / 2**n
+    else:
+        term = math.exp(math.lgamma(n + 1) - math.lgamma(b + 1) - math.lgamma(n - b + 1) - n * math.log(2)) if b <= n else 0.0
     total = 0.0
     while b <= n and term > total * 1e-17:
         total += term
