@@ -172,7 +172,9 @@ def day_table(bars: DataFrame, benchmark: DataFrame, schedule: DataFrame, earnin
     cells = cells.join(bench.withColumnRenamed("bar_date", "day"), "day", "left").join(F.broadcast(sessions), "day", "left")
     # Joined days are counted, so that frames of so many of them can be told on rows of every day.
     w = W.partitionBy("symbol").orderBy("day")
-    before, ahead = w.rowsBetween(W.unboundedPreceding, -1), w.rowsBetween(1, W.unboundedFollowing)
+    # What lies ahead is read in falling order: frames that reach to the end would be added up anew for every row.
+    falling = W.partitionBy("symbol").orderBy(F.desc("day"))
+    before, ahead = w.rowsBetween(W.unboundedPreceding, -1), falling.rowsBetween(W.unboundedPreceding, -1)
     joined = F.col("close").isNotNull() | F.col("market_close").isNotNull()
     cells = cells.withColumn("_joined", joined).withColumn("_i", F.count_if("_joined").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
     cells = cells.withColumn("_last", F.last(F.when(joined, F.struct("close", "market_close")), ignorenulls=True).over(before))
@@ -185,8 +187,8 @@ def day_table(bars: DataFrame, benchmark: DataFrame, schedule: DataFrame, earnin
     nearest = lambda c, over: F.last(c, ignorenulls=True).over(over)
     return cells.select(
         F.col("symbol").alias("ticker"), "day", nearest("_bar", before).alias("_bar"), nearest("_beta", before)["b"].alias("beta_20d"), F.col("_label.r").alias("_today"),
-        F.first(F.when(F.col("_open"), F.coalesce("_label", F.struct(F.lit(None).cast("double").alias("r")))), ignorenulls=True).over(ahead)["r"].alias("_next"),
-        F.first("_event", ignorenulls=True).over(w.rowsBetween(W.currentRow, W.unboundedFollowing)).alias("_event"),
+        nearest(F.when(F.col("_open"), F.coalesce("_label", F.struct(F.lit(None).cast("double").alias("r")))), ahead)["r"].alias("_next"),
+        nearest("_event", falling.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_event"),
     ).select("ticker", "day", *[F.col("_bar")[c].alias(c) for c in features], "beta_20d", "_today", "_next", "_event")
 
 
