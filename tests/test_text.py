@@ -123,6 +123,16 @@ def test_article_aggregates(spark):
     assert set(kept) == {1, 2} and kept[2].fus_conf_graft_floor_mean == 0.0 and kept[2].fus_headline_gap == kept[2].fus_headline and kept[1].fus_headline is None
 
 
+#: Two scores of one size and opposite signs, as order lines make them.
+EVEN = [(0.94, 0.64, 0.1, 0.2, 0.48, 0.1), (0.86, 0.56, 0.1, 0.7000000000000001, 0.42000000000000004, 0.1)]
+
+
+def test_article_keeps_the_first_of_equally_loud_scores(spark):
+    df = sentence_rows(spark, [(a, i, *EVEN[(a + i) % 2], True, False, False, False, None, 5) for a in (0, 1) for i in (0, 1)])
+    got = {r.article_id: r.fus_maxmag for r in aggregates.article_features(df).collect()}
+    assert got == {0: pytest.approx(-0.2352), 1: pytest.approx(0.2352)}
+
+
 def test_channels_partition_the_population(spark):
     rows = [(1, i, 0.5, 0.1, 0.1, 0.5, 0.1, 0.1, i % 5 != 0, False, i % 7 == 0, i % 3 == 0, 1 if i % 2 else None, 5) for i in range(60)]
     df = sentence_rows(spark, rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.fixed import CONF_FLOOR, SHRINKAGE_K
@@ -82,8 +84,12 @@ def score_variants(deadband: float = 0.0) -> dict[str, Column]:
 
 
 def fused(fin: Column, absa: Column, floor: float = CONF_FLOOR) -> Column:
-    """The shipped score: the sign of `absa`, the size of `fin`, scaled from `floor` to 1 by the size of `absa`."""
-    return F.signum(absa) * F.abs(fin) * (F.lit(floor) + (1.0 - floor) * F.abs(absa))
+    """The shipped score: the sign of `absa`, the size of `fin`, scaled from `floor` to 1 by the size of `absa`.
+
+    The rest above the floor is taken in decimals (0.3 of 0.7, not 0.30000000000000004): scores of equal size stay equal,
+    and the first of them is the loudest.
+    """
+    return F.signum(absa) * F.abs(fin) * (F.lit(floor) + float(1 - Decimal(str(floor))) * F.abs(absa))
 
 
 def fuse(pos: str = "pos", neg: str = "neg", absa_pos: str = "absa_pos", absa_neg: str = "absa_neg", floor: float = CONF_FLOOR) -> Column:
