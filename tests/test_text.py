@@ -133,6 +133,12 @@ def test_article_keeps_the_first_of_equally_loud_scores(spark):
     assert got == {0: pytest.approx(-0.2352), 1: pytest.approx(0.2352)}
 
 
+def test_extra_aggregates_keep_the_first_of_equally_loud_scores(spark):
+    df = sentence_rows(spark, [(a, i, *EVEN[(a + i) % 2], True, False, False, False, None, 5) for a in (0, 1) for i in (0, 1)])
+    got = {r.article_id: r for r in df.groupBy("article_id").agg(*aggregates.extra_aggregates(df)).collect()}
+    assert {a: r.fus_maxmag for a, r in got.items()} == {0: pytest.approx(-0.2352), 1: pytest.approx(0.2352)} and got[0].n_trusted_sents == 2
+
+
 def test_channels_partition_the_population(spark):
     rows = [(1, i, 0.5, 0.1, 0.1, 0.5, 0.1, 0.1, i % 5 != 0, False, i % 7 == 0, i % 3 == 0, 1 if i % 2 else None, 5) for i in range(60)]
     df = sentence_rows(spark, rows)
