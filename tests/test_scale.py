@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, caching, coverage, evaluate, models, sentences
+from tidemark.plans import catalogue
 from tidemark.sources import tables
 
 
@@ -28,6 +29,27 @@ def test_counted_values_over_ranges(spark, monkeypatch, held):
     assert coverage.quantiles(df.where("x is null"), "x", shares).first().q == [None] * 6
 
 
+@pytest.mark.parametrize("held", [7, 100_000])
+def test_ranks_within_large_groups(spark, monkeypatch, held):
+    monkeypatch.setattr(coverage, "RANGE", held)
+    rng = np.random.default_rng(1)
+    rows = [(i, [None, "a", "b"][i % 3], i % 2, None if i % 17 == 0 else float(v)) for i, v in enumerate(rng.integers(0, 60, 900) / 4)]
+    df = spark.createDataFrame(rows, "i long, g string, h int, x double")
+    for by in (["g"], ["g", "h"]):
+        got = coverage.rank_within(df.withColumn("e", coverage.average_rank("x", *by)), "x", by, "k")
+        assert got.columns == ["i", "g", "h", "x", "e", "k"] and got.count() == 900 and got.where("not k <=> e").count() == 0
+
+
+def test_no_window_of_average_ranks_runs_over_rows(spark):
+    out = catalogue.QUERIES["average_ranks"](spark, "/root/testdata/sf0.001")
+    todo, held = [out._jdf.queryExecution().optimizedPlan()], []
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        held += [node.output().mkString(" ")] if node.nodeName() == "Window" else []
+    assert held and not any("l_orderkey" in columns for columns in held)
+
+
 def test_bounds_do_not_depend_on_the_run(spark, monkeypatch):
     monkeypatch.setattr(coverage, "RANGE", 500)
     df = spark.range(20_000).select((F.col("id") * 7 % 20_000).alias("x"))

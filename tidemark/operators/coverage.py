@@ -151,7 +151,7 @@ def word_counts(df: DataFrame, text: str, stopwords: list[str], top: int = 20, p
 
 
 def average_rank(x: str, *by: str) -> Column:
-    """Rank with ties sharing their mean rank; NULL ranks NULL."""
+    """Rank with ties sharing their mean rank; NULL ranks NULL. A task holds a group: rank_within() is for groups of any size."""
     low, tied = W.partitionBy(*by).orderBy(F.col(x).asc_nulls_last()), W.partitionBy(*by, x)
     return F.when(F.col(x).isNotNull(), F.rank().over(low) + (F.count("*").over(tied) - 1) / 2.0)
 
@@ -181,17 +181,39 @@ def _above(x: Column, bounds: list) -> Column:
     return among(0, len(bounds))
 
 
-def counted_values(df: DataFrame, x: str) -> DataFrame:
-    """(value, n, upto): each distinct value that is not NULL, its rows, and the rows up to it, ordered by value.
+def counted_values(df: DataFrame, x: str, *by: str) -> DataFrame:
+    """(by, value, n, upto): each distinct value of a group that is not NULL, its rows, and the group's rows up to it, ordered by value.
 
     Values are dealt to ranges by bounds that are literals of the plan, so a row's range does not depend on the run; each
-    range is summed on its own and the ranges' totals, one row each, give its offset.
+    range is summed on its own and the ranges' totals, one row each, give its offset. NULL keys are a group.
     """
-    counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("value")).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).alias("value")).agg(F.count("*").alias("n"))
     parted = counts.withColumn("_p", _above(F.col("value"), _bounds(df, x)))
-    totals = parted.groupBy("_p").agg(F.sum("n").alias("_t")).withColumn("_off", F.coalesce(F.sum("_t").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    upto = F.sum("n").over(W.partitionBy("_p").orderBy("value"))
-    return parted.withColumn("_c", upto).join(F.broadcast(totals.select("_p", "_off")), "_p").select("value", "n", (F.col("_off") + F.col("_c")).alias("upto"))
+    before = W.partitionBy(*by).orderBy("_p") if by else W.orderBy("_p")
+    totals = parted.groupBy(*by, "_p").agg(F.sum("n").alias("_t")).withColumn("_off", F.coalesce(F.sum("_t").over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    upto = F.sum("n").over(W.partitionBy(*by, "_p").orderBy("value"))
+    summed = parted.withColumn("_c", upto)
+    if by:
+        offsets = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("_p").alias("_q"), "_off")
+        out = summed.join(offsets, _same(by) & (F.col("_p") == F.col("_q")))
+    else:
+        out = summed.join(F.broadcast(totals.select("_p", "_off")), "_p")
+    return out.select(*by, "value", "n", (F.col("_off") + F.col("_c")).alias("upto"))
+
+
+def _same(by: tuple[str, ...]) -> Column:
+    """Keys equal to the columns _k0, _k1, ..., NULL to NULL."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)])
+
+
+def rank_within(df: DataFrame, x: str, by: list[str], out: str) -> DataFrame:
+    """`df` with average_rank() of a column within groups of any size: windows run over the distinct values of a group, not its rows.
+
+    The ranks are broadcast where there are at most about RANGE of them, so that no row is shuffled.
+    """
+    ranks = counted_values(df, x, *by).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col("value").alias("_x"), (F.col("upto") - (F.col("n") - 1) / 2.0).alias(out))
+    few = df.agg(F.approx_count_distinct(F.struct(*by, x))).first()[0] <= RANGE
+    return df.join(F.broadcast(ranks) if few else ranks, _same(tuple(by)) & (F.col(x) == F.col("_x")), "left").drop("_x", *[f"_k{i}" for i in range(len(by))])
 
 
 def distributed_rank(df: DataFrame, x: str, out: str) -> DataFrame:

@@ -234,8 +234,8 @@ def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0 AS k FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(k AS DOUBLE) AS k FROM r")
 def average_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", coverage.average_rank("l_quantity", "l_returnflag").cast("double").alias("k"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    return coverage.rank_within(li, "l_quantity", ["l_returnflag"], "k").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("k").cast("double").alias("k"))
 
 
 _LAG = f"{_GRP}, day AS (SELECT ticker, session_open, round(avg(score), 9) AS x, round(stddev_samp(score), 9) AS y FROM grp GROUP BY 1, 2), w AS (SELECT x, " + ", ".join((f"lead(y, {k}) OVER v" if k >= 0 else f"lag(y, {-k}) OVER v") + f" AS y{k + 5}" for k in range(-5, 6)) + " FROM day WINDOW v AS (PARTITION BY ticker ORDER BY session_open))"
