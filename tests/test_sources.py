@@ -1,6 +1,7 @@
 import datetime as dt
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,16 @@ def test_pages(spark):
     assert got[2].processed_body == "" and got[2].s == "host" and got[2].utc is None and got[3].processed_body == "x"
 
 
+def test_python_holds_few_pages_at_a_time(spark):
+    df = spark.range(2_500, numPartitions=1).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>page "), F.col("id"), F.lit("</p>")).alias("html"))
+    out = pages.parsed(df).select("page_id", "processed_body")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "InPandas" not in plan and "Arrow" not in plan
+    assert out.where(F.col("processed_body") == F.concat(F.lit("page "), F.col("page_id"))).count() == 2_500
+    frames = [pd.DataFrame({"url": range(250)}), pd.DataFrame({"url": range(0)}), pd.DataFrame({"url": range(7)})]
+    assert [len(f) for f in pages._pieces(iter(frames))] == [100, 100, 50, 7]
+
+
 def test_fetch_follows_the_original_and_resumes(spark, tmp_path):
     def web(url):
         if url == "http://gone/":

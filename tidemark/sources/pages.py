@@ -98,18 +98,18 @@ def _parse(html: str | None) -> tuple[str, list[str], str | None, str | None]:
 
 
 def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
-    """`pages` with processed_body, ld_objects (array of JSON texts) and meta_time; the html stays."""
-    ship(pages.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + ", processed_body string, ld_objects array<string>, meta_time string"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [parse(h) for h in frame[html]]
-            yield frame.assign(processed_body=[f[0] for f in found], ld_objects=[f[1] for f in found], meta_time=[f[2] for f in found])
+    """`pages` with processed_body, ld_objects (array of JSON texts) and meta_time; the html stays.
 
-    return pages.mapInPandas(run, schema)
+    Python gets the html alone, in pickled batches of at most 100 pages, not in Arrow batches of up to 10,000: what a worker
+    holds does not grow with the table.
+    """
+    ship(pages.sparkSession)
+    read = F.udf(parse, "struct<processed_body: string, ld_objects: array<string>, meta_time: string>", useArrow=False)
+    return pages.withColumn("_found", read(F.col(html))).select("*", "_found.processed_body", "_found.ld_objects", "_found.meta_time").drop("_found")
 
 
+#: Fetched pages that a worker holds at a time.
+HELD = 100
 #: fetch(url) -> (status, URL it came from, html); errors of the network are raised as OSError.
 Fetch = Callable[[str], tuple[int, str, str]]
 _FETCHED = "article_id {kind}, status string, n_fetch int, host string, raw_body string, processed_body string, ld_objects array<string>, meta_time string, other_objects array<string>, other_time string"
@@ -141,10 +141,17 @@ def _fetch_one(url: str | None, fetch: Fetch, pace: windows.Pacer | None) -> tup
     return ("200", n, host, html, body, objects, meta, *other)
 
 
+def _pieces(frames: Iterator[pd.DataFrame], rows: int = HELD) -> Iterator[pd.DataFrame]:
+    """The frames in pieces of at most `rows` rows."""
+    for frame in frames:
+        for at in range(0, len(frame), rows):
+            yield frame.iloc[at : at + rows]
+
+
 def fetched(articles: DataFrame, fetch: Fetch, rate: float = 0.0, workers: int = fixed.SCRAPE_WORKERS, least: int = fixed.LEAST_BODY_CHARS) -> DataFrame:
     """One row for each of `articles` (article_id, url, timestamp_utc): status, n_fetch, true_source, source_ok, utc, time_source, corrected, raw_body, processed_body, text_ok.
 
-    Each partition fetches with `workers` threads, batch by batch; `rate`, calls a second of the whole job, is parted
+    Each partition fetches with `workers` threads, HELD pages at a time; `rate`, calls a second of the whole job, is parted
     among the partitions that run at once. A page that fails has its status, which is the error's name where it has none,
     and NULLs. Runs go on where they stopped by tables.process_chunks() over tables.numbered_chunks().
     """
@@ -157,7 +164,7 @@ def fetched(articles: DataFrame, fetch: Fetch, rate: float = 0.0, workers: int =
         pace = windows.pacer(share) if share else None
         names = [c.split()[0] for c in _FETCHED.split(", ")]
         with ThreadPoolExecutor(max_workers=workers) as pool:
-            for frame in frames:
+            for frame in _pieces(frames):
                 found = list(pool.map(lambda url: _fetch_one(url, fetch, pace), frame["url"]))
                 yield pd.DataFrame([(i, *f) for i, f in zip(frame["article_id"], found)], columns=names)
         if pace:
