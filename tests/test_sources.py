@@ -138,6 +138,11 @@ def test_python_holds_few_pages_at_a_time(spark):
     assert [len(f) for f in pages._pieces(iter(frames))] == [100, 100, 50, 7]
 
 
+def test_html_clean_reads_pages_in_small_batches(spark):
+    plan = __spark_entry__.queries()["html_clean"](spark, __spark_entry__.SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython [") == 1 and "InPandas" not in plan
+
+
 def test_fetch_follows_the_original_and_resumes(spark, tmp_path):
     def web(url):
         if url == "http://gone/":
