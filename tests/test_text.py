@@ -2,6 +2,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import fixed
 from tidemark.functions import scores as S
 from tidemark.functions import text as T
 from tidemark.operators import aggregates, caching, sentences as ops
@@ -31,6 +32,19 @@ def test_reactive(spark, text, score):
     assert one(spark, T.reactive_score(F.col("t")), t=text) == score
 
 
+def test_words_of_patterns_lose_no_hit(spark):
+    known = ["shares of it ROSE", "Stocks quickly fell", "stock finished", "up 3.5 %", "5% rebound", "extended slide", "hits a new all-time low", "fifty-two week high", "52-week low", "a sell-off", "heres why", "Investors shrugged",
+             "underperformed", "after-hours movers", "pre-market trading", "moving the markets", "biggest losers", "what's behind", "shares are down"]
+    odd = ["\u017fhare\u017f ro\u017fe", "h\u0130t a record h\u0131gh", "52-wee\u212a high", "I\u0307nvestors cheered", "market shares fell", "stock", "", None]
+    rows = [(t,) for t in known + odd + [" ".join(known), "\u0130 " + " ".join(known).upper()]]
+    df = spark.createDataFrame(rows, "t string").withColumn("t", F.coalesce("t", F.lit("")))
+    plain = lambda patterns: sum((F.col("t").rlike(f"(?iU){p}").cast("int") for p in patterns), F.lit(0))
+    out = df.select("t", T.reactive_score(F.col("t")).alias("s"), (1.0 * plain(fixed.STRONG_PATTERNS) + 0.5 * plain(fixed.WEAK_PATTERNS)).alias("e"), F.size(T.reactive_hits(F.col("t"))).alias("n"), plain(fixed.STRONG_PATTERNS + fixed.WEAK_PATTERNS).alias("m"))
+    assert [r for r in out.collect() if r.s != r.e or r.n != r.m] == []
+    assert out.where("m > 0").count() >= len(known) + 5 and out.agg(F.max("m")).first()[0] == 17
+    assert "contains(" in df.select(T.reactive_score(F.col("t")))._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_reactive_hits_and_article(spark):
     assert one(spark, T.reactive_hits(F.col("t"), "H"), t="Shares rose, here's why") == ["H! Shares rose", "H? here's why"]
     s = spark.createDataFrame([(1, True, "shares fell hard"), (1, True, "nothing"), (1, False, "stock rose"), (2, False, "x")], "article_id long, mentions_target boolean, text string")

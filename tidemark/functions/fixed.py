@@ -70,6 +70,16 @@ WEAK_PATTERNS = [
     r"\bwhat'?s\s+(driving|behind)\b",
     r"\b(shares?|stocks?)\s+(?:is|are|was|were)\s+(up|down)\b",
 ]
+#: Words without which a pattern cannot fire, in lower case: one of each group must be in the text.
+STRONG_WORDS = [
+    [["share"]], [["stock"]], [["stock"], ["closed", "opened", "traded", "finished"]], [["%"], ["up", "down", "off"]],
+    [["%"], ["higher", "lower", "gain", "loss", "drop", "jump", "surge", "rally", "slide", "tumble", "plunge", "rebound"]],
+    [["extend"], ["gains", "losses", "slide", "rally"]], [["hit"], ["record", "all-time"], ["high", "low"]], [["52-week", "52 week", "fifty-two-week", "fifty-two week"]],
+]
+WEAK_WORDS = [
+    [["rally", "selloff", "sell-off", "slump", "surge", "plunge", "rout", "rebound"]], [["why"], ["here"]], [["investor"]], [["outperform", "underperform"]],
+    [["premarket", "pre-market", "after-hours", "after hours"]], [["moving"], ["market", "stock"]], [["gainer", "loser", "mover"], ["top", "biggest"]], [["driving", "behind"], ["what"]], [["share", "stock"], ["up", "down"]],
+]
 
 # Which mentions a company name may stand for.
 MENTION_PRONOUNS = ["it", "its", "they", "their", "them", "theirs", "it's", "it’s", "they're", "they’re"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -54,19 +56,33 @@ def company_registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "key string, names array<string>, person array<string>, products array<string>")
 
 
-def _hits(text: Column, patterns: list[str]) -> Column:
-    got = F.array(*[F.when(text.rlike(f"(?iU){p}"), F.regexp_extract(text, f"(?iU){p}", 0)) for p in patterns])
-    return F.filter(got, lambda x: x.isNotNull())
+_WORDS = dict(zip(fixed.STRONG_PATTERNS + fixed.WEAK_PATTERNS, fixed.STRONG_WORDS + fixed.WEAK_WORDS, strict=True))
+#: Letters that patterns take for an ASCII one and lower() does not make one: long s, Kelvin sign, I with and without a dot.
+_ODD = "\u017f\u212a\u0130\u0131"
 
 
-def _fired(text: Column, patterns: list[str]) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return sum((text.rlike(f"(?iU){p}").cast("int") for p in patterns[1:]), text.rlike(f"(?iU){patterns[0]}").cast("int"))
+def _lowered(text: Column, made: Callable[[Column, Column], Column]) -> Column:
+    """made(text, text in lower case), both computed once; a text with odd letters has all words in place of its own."""
+    every = " ".join(sorted({w for words in _WORDS.values() for group in words for w in group}))
+    low = F.when(text.rlike(f"[{_ODD}]"), F.lit(every)).otherwise(F.lower(text))
+    return F.transform(F.array(F.struct(text.alias("text"), low.alias("low"))), lambda r: made(r["text"], r["low"]))[0]
+
+
+def _fires(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a price-commentary pattern fires; it is only sought in a text that holds its words."""
+    held = [reduce(lambda a, b: a | b, [low.contains(w) for w in group]) for group in _WORDS[pattern]]
+    return reduce(lambda a, b: a & b, held) & text.rlike(f"(?iU){pattern}")
+
+
+def _hits(text: Column, patterns: list[str]) -> Column:
+    got = _lowered(text, lambda t, low: F.array(*[F.when(_fires(t, low, p), F.regexp_extract(t, f"(?iU){p}", 0)) for p in patterns]))
+    return F.filter(got, lambda x: x.isNotNull())
 
 
 def reactive_score(text: Column, strong: float = 1.0, weak: float = 0.5) -> Column:
     """Weighted number of price-commentary patterns that fire, each counted once."""
-    return strong * _fired(text, fixed.STRONG_PATTERNS) + weak * _fired(text, fixed.WEAK_PATTERNS)
+    fired = lambda t, low, patterns: reduce(lambda a, b: a + b, [_fires(t, low, p).cast("int") for p in patterns])
+    return _lowered(F.coalesce(text, F.lit("")), lambda t, low: strong * fired(t, low, fixed.STRONG_PATTERNS) + weak * fired(t, low, fixed.WEAK_PATTERNS))
 
 
 def reactive_hits(text: Column, prefix: str = "") -> Column:
