@@ -1,7 +1,9 @@
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tidemark.functions import fixed
 from tidemark.functions import scores as S
 from tidemark.functions import text as T
@@ -153,6 +155,18 @@ def test_extra_aggregates_keep_the_first_of_equally_loud_scores(spark):
     assert {a: r.fus_maxmag for a, r in got.items()} == {0: pytest.approx(-0.2352), 1: pytest.approx(0.2352)} and got[0].n_trusted_sents == 2
 
 
+def test_equally_loud_scores_of_lines_without_a_number_come_first(spark, tmp_path):
+    loud = [(0.08, 0.02, 47.0), (0.07, 0.07, 43.0)]
+    orders = [(None, 0), (0, None), (1, 2), (2, 1), (-1, None)]
+    rows = [(k, n, *x, "A", "F") for k, pair in enumerate(orders) for n, x in zip(pair, loud)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_discount double, l_tax double, l_quantity double, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = __spark_entry__.queries()["extra_fusion_aggs"](spark, str(tmp_path)).orderBy("article_id").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(f"SELECT * FROM ({__spark_entry__.oracle_sql()['extra_fusion_aggs']}) q ORDER BY article_id").fetchall()
+    assert [tuple(r) for r in got] == want and [r.fus_maxmag for r in got] == [-0.2352, 0.2352, -0.2352, 0.2352, 0.2352]
+
+
 def test_channels_partition_the_population(spark):
     rows = [(1, i, 0.5, 0.1, 0.1, 0.5, 0.1, 0.1, i % 5 != 0, False, i % 7 == 0, i % 3 == 0, 1 if i % 2 else None, 5) for i in range(60)]
     df = sentence_rows(spark, rows)

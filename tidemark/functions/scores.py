@@ -132,5 +132,8 @@ def top_mean(x: Column, n: int = 3, largest: bool = True) -> Column:
 
 
 def loudest(x: Column, order: Column) -> Column:
-    """Aggregate: the value furthest from zero with its sign, the first by `order` among equals, NULL if none."""
-    return F.max_by(x, F.when(x.isNotNull(), F.struct(F.abs(x), -order)))
+    """Aggregate: the value furthest from zero with its sign, the first by `order` among equals, NULL if none.
+
+    A NULL of `order` comes before all others, as it does in the queries' SQL; Spark alone would put it behind them.
+    """
+    return F.max_by(x, F.when(x.isNotNull(), F.struct(F.abs(x), order.isNull(), -order)))
