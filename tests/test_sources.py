@@ -1,4 +1,5 @@
 import datetime as dt
+import pickle
 import time
 
 import pandas as pd
@@ -143,6 +144,26 @@ def test_html_clean_reads_pages_in_small_batches(spark):
     assert plan.count("BatchEvalPython [") == 1 and "InPandas" not in plan
 
 
+#: Paragraphs that are not closed: the text of each counts for all before it.
+OPEN = "".join(f"<p>piece  {i}" for i in range(300)) + "<nav>menu</nav><p>"
+OPEN_BODY = " ".join(f"piece {j}" for i in range(300) for j in range(i, 300))
+
+
+def test_python_gives_back_text_once_that_bodies_hold_often(spark, monkeypatch):
+    read, made = [], pages.F.udf
+    monkeypatch.setattr(pages.F, "udf", lambda f, *a, **k: read.append(f) or made(f, *a, **k))
+    rows = [(1, OPEN), (2, "<p>a</p><p> </p>out<p>b\x1f\n c<b>d</b></p><p><p>e</p>f</p>"), (3, None)]
+    out = pages.parsed(spark.createDataFrame(rows, "page_id long, html string"))
+    assert {r.page_id: r.processed_body for r in out.collect()} == {1: OPEN_BODY, 2: "a b c d e f e", 3: ""} and pages.parse(OPEN)[0] == OPEN_BODY
+    assert len(OPEN_BODY) > 50 * len(OPEN) and len(pickle.dumps(read[0](OPEN))) < 3 * len(OPEN)
+
+
+def test_fetched_bodies_hold_text_as_often(spark):
+    df = spark.createDataFrame([(1, "u"), (2, "gone"), (3, "none")], "article_id long, url string").withColumn("timestamp_utc", F.lit("2025-01-20 09:00:00").cast("timestamp"))
+    got = {r.article_id: r for r in pages.fetched(df, lambda url: (404 if url == "gone" else 200, url, OPEN if url == "u" else "")).collect()}
+    assert {i: (r.processed_body, r.text_ok) for i, r in got.items()} == {1: (OPEN_BODY, True), 2: (None, False), 3: ("", False)} and got[1].raw_body == OPEN
+
+
 def test_fetch_follows_the_original_and_resumes(spark, tmp_path):
     def web(url):
         if url == "http://gone/":

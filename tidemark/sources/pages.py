@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from html.parser import HTMLParser
@@ -24,14 +23,16 @@ ZONED = r"(?i)^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?\s*(Z|[+-]\d{2}
 class _Page(HTMLParser):
     """Paragraph texts outside page chrome, JSON-LD scripts, the published-time meta tag and the canonical link.
 
-    A paragraph that is not closed goes on in those that follow, whose text then counts for both.
+    A paragraph that is not closed goes on in those that follow, whose text then counts for both. So bodies can grow with the
+    square of a page; what is kept is each piece of text once, and where among the pieces each paragraph begins and ends.
     """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
         self.inside: list[int] = []
-        self.paragraphs: list[list[str]] = []
+        self.texts: list[str] = []
+        self.spans: list[list[int | None]] = []
         self.scripts: list[str] = []
         self.meta: str | None = None
         self.canonical: str | None = None
@@ -50,8 +51,8 @@ class _Page(HTMLParser):
             if self.linked:
                 self.scripts.append("")
         elif tag == "p":
-            self.inside.append(len(self.paragraphs))
-            self.paragraphs.append([])
+            self.inside.append(len(self.spans))
+            self.spans.append([len(self.texts), None])
         if tag not in VOID:
             self.open.append(tag)
 
@@ -66,27 +67,40 @@ class _Page(HTMLParser):
         while self.open and last != tag:
             last = self.open.pop()
             if last == "p":
-                self.inside.pop()
+                self.spans[self.inside.pop()][1] = len(self.texts)
 
     def handle_data(self, data):
         if self.linked and self.open and self.open[-1] == "script":
             self.scripts[-1] += data
         elif self.inside and data.strip() and CHROME.isdisjoint(self.open):
-            for p in self.inside:
-                self.paragraphs[p].append(data.strip())
+            self.texts.append(" ".join(data.split()))
+
+    def runs(self) -> tuple[list[int], list[int]]:
+        """(firsts, ends): texts[first:end] of each in turn are the paragraphs' text; those that follow on each other are one."""
+        firsts, ends = [], []
+        for first, end in self.spans:
+            end = len(self.texts) if end is None else end
+            if first == end:
+                continue
+            if ends and ends[-1] == first:
+                ends[-1] = end
+            else:
+                firsts.append(first)
+                ends.append(end)
+        return firsts, ends
 
 
 def parse(html: str | None) -> tuple[str, list[str], str | None]:
     """(body, JSON-LD objects as text, meta publication time)."""
-    return _parse(html)[:3]
+    texts, firsts, ends, *rest = _parse(html)[:5]
+    return " ".join(t for a, b in zip(firsts, ends) for t in texts[a:b]), *rest
 
 
-def _parse(html: str | None) -> tuple[str, list[str], str | None, str | None]:
-    """parse(), and where the page says that it stands first."""
+def _parse(html: str | None) -> tuple[list[str], list[int], list[int], list[str], str | None, str | None]:
+    """The pieces of the body and its runs of them, JSON-LD objects, meta time, and where the page says that it stands first."""
     page = _Page()
     page.feed(html or "")
     page.close()
-    body = re.sub(r"\s+", " ", " ".join(" ".join(p) for p in page.paragraphs)).strip()
     objects = []
     for script in page.scripts:
         try:
@@ -94,30 +108,40 @@ def _parse(html: str | None) -> tuple[str, list[str], str | None, str | None]:
         except ValueError:
             continue
         objects += [json.dumps(o) for o in (data if isinstance(data, list) else [data]) if isinstance(o, dict)]
-    return body, objects, page.meta, page.canonical
+    return page.texts, *page.runs(), objects, page.meta, page.canonical
+
+
+def _found(html: str | None) -> tuple:
+    return _parse(html)[:5]
+
+
+def _body(texts: Column, firsts: Column, ends: Column) -> Column:
+    """The runs of pieces put together: bodies are made here, not in Python."""
+    return F.array_join(F.flatten(F.zip_with(firsts, ends, lambda a, b: F.transform(F.sequence(a, b - 1), lambda i: F.get(texts, i)))), " ")
 
 
 def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
     """`pages` with processed_body, ld_objects (array of JSON texts) and meta_time; the html stays.
 
-    Python gets the html alone, in pickled batches of at most 100 pages, not in Arrow batches of up to 10,000: what a worker
-    holds does not grow with the table.
+    Python gets the html alone, in pickled batches of at most 100 pages, not in Arrow batches of up to 10,000, and gives back
+    each piece of text once: what a worker holds does not grow with the table, nor with the square of a page.
     """
     ship(pages.sparkSession)
-    read = F.udf(parse, "struct<processed_body: string, ld_objects: array<string>, meta_time: string>", useArrow=False)
-    return pages.withColumn("_found", read(F.col(html))).select("*", "_found.processed_body", "_found.ld_objects", "_found.meta_time").drop("_found")
+    read = F.udf(_found, "struct<texts: array<string>, firsts: array<int>, ends: array<int>, ld_objects: array<string>, meta_time: string>", useArrow=False)
+    body = _body(*[F.col(f"_found.{c}") for c in ("texts", "firsts", "ends")]).alias("processed_body")
+    return pages.withColumn("_found", read(F.col(html))).select("*", body, "_found.ld_objects", "_found.meta_time").drop("_found")
 
 
 #: Fetched pages that a worker holds at a time.
 HELD = 100
 #: fetch(url) -> (status, URL it came from, html); errors of the network are raised as OSError.
 Fetch = Callable[[str], tuple[int, str, str]]
-_FETCHED = "article_id {kind}, status string, n_fetch int, host string, raw_body string, processed_body string, ld_objects array<string>, meta_time string, other_objects array<string>, other_time string"
+_FETCHED = "article_id {kind}, status string, n_fetch int, host string, raw_body string, texts array<string>, firsts array<int>, ends array<int>, ld_objects array<string>, meta_time string, other_objects array<string>, other_time string"
 
 
 def _fetch_one(url: str | None, fetch: Fetch, pace: windows.Pacer | None) -> tuple:
     """status, n_fetch, host, html, body, linked data and time of one page; and those of the page on another host that it names as its original."""
-    lost = (None,) * 7
+    lost = (None,) * 9
     try:
         if pace:
             pace.wait()
@@ -126,7 +150,7 @@ def _fetch_one(url: str | None, fetch: Fetch, pace: windows.Pacer | None) -> tup
         return (type(e).__name__, 0, *lost)
     if code != 200:
         return (str(code), 1, *lost)
-    host, (body, objects, meta, canonical) = urlparse(final).netloc, _parse(html)
+    host, (*found, canonical) = urlparse(final).netloc, _parse(html)
     other, n = (None, None), 1
     if canonical and urlparse(canonical).netloc not in ("", host):
         try:
@@ -135,10 +159,10 @@ def _fetch_one(url: str | None, fetch: Fetch, pace: windows.Pacer | None) -> tup
             code, _, first = fetch(canonical)
             n = 2
             if code == 200:
-                other = _parse(first)[1:3]
+                other = _parse(first)[3:5]
         except OSError:
             pass
-    return ("200", n, host, html, body, objects, meta, *other)
+    return ("200", n, host, html, *found, *other)
 
 
 def _pieces(frames: Iterator[pd.DataFrame], rows: int = HELD) -> Iterator[pd.DataFrame]:
@@ -178,6 +202,7 @@ def fetched(articles: DataFrame, fetch: Fetch, rate: float = 0.0, workers: int =
     reached = F.col("status") == "200"
     utc, source = resolved_time(candidate, F.col("_api"), cross)
     outlet = true_source(F.col("ld_objects"), F.col("host"))
+    out = out.withColumn("processed_body", _body(F.col("texts"), F.col("firsts"), F.col("ends")))
     return out.select(
         "article_id", "status", "n_fetch", F.when(reached, outlet).alias("true_source"), F.coalesce(reached & outlet.isNotNull(), F.lit(False)).alias("source_ok"), F.when(reached, utc).alias("utc"), F.when(reached, source).alias("time_source"),
         F.coalesce(reached & (source == "corrected"), F.lit(False)).alias("corrected"), "raw_body", "processed_body", F.coalesce(F.length("processed_body") >= least, F.lit(False)).alias("text_ok"),
